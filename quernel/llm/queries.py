@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import chat, licenses, linededup, quality
+from quernel.llm import bpe, chat, licenses, linededup, neardup, quality
 from quernel.llm.text import sha256_hex
 
 
@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents: 3-word shingles, similarity of 85 %."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, k=3, per_cent=85)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that a smaller doc_id has."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,6 +33,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded; digests of both."""
+    return bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and verdict of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
