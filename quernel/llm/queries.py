@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, chat, licenses, linededup, neardup, quality
+from quernel.llm import bpe, chat, decontam, licenses, linededup, neardup, quality, toxicity
 from quernel.llm.text import sha256_hex
 
 
@@ -33,6 +33,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that leaks into it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded; digests of both."""
     return bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
@@ -49,3 +55,13 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License places and labels of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = toxicity.train(docs.filter(~out), labels.filter(~out))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
