@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, chat, decontam, licenses, linededup, neardup, quality, toxicity
+from quernel.llm import bpe, chat, decontam, licenses, linededup, neardup, quality, toxicity, wordpiece
 from quernel.llm.text import sha256_hex
 
 
@@ -33,6 +33,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every text."""
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that leaks into it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
