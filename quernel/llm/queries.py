@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, chat, decontam, licenses, linededup, neardup, quality, toxicity, wordpiece
+from quernel.llm import bpe, chat, decontam, licenses, linededup, neardup, ngramlm, quality, toxicity, wordpiece
 from quernel.llm.text import sha256_hex
 
 
@@ -38,6 +38,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and bigram scores of every text; the model learns from nine tenths of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramlm.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that leaks into it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
