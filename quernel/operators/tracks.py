@@ -25,3 +25,74 @@ def summarise(points: DataFrame, gap_hours: float = 6, keys: tuple[str, ...] = (
         .groupBy(*keys, "seg")
         .agg(F.count("*").alias("n_points"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
     )
+
+
+def simplify(points: DataFrame, tolerance: float, key: str = "track_id") -> DataFrame:
+    """One-pass simplification: drop points whose triangle with both neighbours has an area of ``tolerance`` at most.
+
+    First and last points stay, as do points with a null coordinate. One
+    window per track, ordered by (ts, point_id). Needs ts, point_id, x, y.
+    """
+    order = W.partitionBy(key).orderBy("ts", "point_id")
+    cols = {f"__{n}{s}": f(c).over(order) for c, n in (("x", "x"), ("y", "y")) for f, s in ((F.lag, "0"), (F.lead, "1"))}
+    # the neighbour's id, not its coordinate, tells whether there is one
+    ends = {"__p": F.lag("point_id").over(order), "__n": F.lead("point_id").over(order)}
+    area = F.abs((F.col("__x0") - F.col("x")) * (F.col("__y1") - F.col("y")) - (F.col("__x1") - F.col("x")) * (F.col("__y0") - F.col("y"))) / 2
+    keep = F.col("__p").isNull() | F.col("__n").isNull() | F.coalesce(area > tolerance, F.lit(True))
+    return points.withColumns(cols | ends).filter(keep).select(*points.columns)
+
+
+def simplify_iterative(points: DataFrame, tolerance: float, key: str = "track_id", segment: str | None = None) -> DataFrame:
+    """Visvalingam-Whyatt: remove the point of the smallest triangle, re-evaluate its neighbours, until all exceed ``tolerance``.
+
+    Removal depends on what was removed before, so a track is worked on as
+    one unit, in a vectorised grouped function. ``segment`` names a column
+    that splits very long tracks; each segment keeps its ends.
+    """
+    import heapq
+
+    import numpy as np
+    import pandas as pd
+
+    columns = points.columns
+
+    def run(track: pd.DataFrame) -> pd.DataFrame:
+        track = track.sort_values(["ts", "point_id"], kind="stable").reset_index(drop=True)
+        n = len(track)
+        if n < 3:
+            return track
+        x, y = track["x"].to_numpy(float), track["y"].to_numpy(float)
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        alive = np.ones(n, bool)
+
+        def area(i: int) -> float:
+            a, b = before[i], after[i]
+            return abs((x[a] - x[i]) * (y[b] - y[i]) - (x[b] - x[i]) * (y[a] - y[i])) / 2
+
+        now = {i: area(i) for i in range(1, n - 1)}
+        heap = [(v, i) for i, v in now.items() if v == v]
+        heapq.heapify(heap)
+        while heap:
+            v, i = heapq.heappop(heap)
+            if not alive[i] or now[i] != v:
+                continue
+            if v > tolerance:
+                break
+            alive[i] = False
+            a, b = before[i], after[i]
+            after[a], before[b] = b, a
+            for j in (a, b):
+                if 0 < j < n - 1:
+                    now[j] = area(j)
+                    if now[j] == now[j]:
+                        heapq.heappush(heap, (now[j], j))
+        return track[alive]
+
+    keys = [key] if segment is None else [key, segment]
+    return points.groupBy(*keys).applyInPandas(run, points.schema).select(*columns)
+
+
+def map_cache(points: DataFrame, cell_x: float, cell_y: float, zoom: int = 0, key: str = "track_id") -> DataFrame:
+    """Points and distinct tracks per grid cell: zoom, cx, cy, n, n_tracks. Points without a place are in no cell."""
+    placed = points.filter("x IS NOT NULL AND y IS NOT NULL")
+    return placed.groupBy(F.floor(F.col("x") / cell_x).alias("cx"), F.floor(F.col("y") / cell_y).alias("cy")).agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_tracks")).select(F.lit(zoom).alias("zoom"), "cx", "cy", "n", "n_tracks")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernel.functions.geo import haversine
+from quernel.functions.vectors import cosine
+from quernel.operators import joins, tracks
+from quernel.operators.reports import Rule, quality_report, validate
+from quernel.streaming import streams
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
 
@@ -26,6 +32,12 @@ def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _QUERIES.items()}
 
 
+def _load() -> None:
+    from quernel.plans import sqlqueries
+
+    sqlqueries.register(sql)
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in _QUERIES.items() if sql is not None}
 
@@ -34,6 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql(name: str, spark_sql: str, duck_sql: str | None = None, oracle: bool = True) -> None:
+    """Register a SQL query. Tables stand in braces; the same text serves both engines unless ``duck_sql`` is given."""
+    names = sorted(set(re.findall(r"\{([a-z]\w*)\}", spark_sql)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(spark_sql, **{n: table(spark, sf_dir, n) for n in names})
+
+    _QUERIES[name] = (run, re.sub(r"\{([a-z]\w*)\}", r"\1", duck_sql or spark_sql) if oracle else None)
+
+
 @query(
     "track_segment",
     """
@@ -45,7 +67,141 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     FROM b GROUP BY user_id, seg""",
 )
 def track_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quernel.operators.tracks import summarise
-
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("point_id"), "ts", F.col("value").alias("y"))
-    return summarise(e, gap_hours=6).select(F.col("track_id").alias("user_id"), "seg", "n_points", "t0", "t1", F.round("min_y", 6).alias("min_value"), F.round("max_y", 6).alias("max_value"))
+    return tracks.summarise(e, gap_hours=6).select(F.col("track_id").alias("user_id"), "seg", "n_points", "t0", "t1", F.round("min_y", 6).alias("min_value"), F.round("max_y", 6).alias("max_value"))
+
+
+@query(
+    "track_simplify",
+    """
+    WITH p AS (SELECT user_id, event_id, ts, epoch_us(ts) / 3600000000.0 AS x, value AS y FROM events),
+    n AS (SELECT *, lag(x) OVER w x0, lag(y) OVER w y0, lead(x) OVER w x1, lead(y) OVER w y1 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, event_id FROM n WHERE x0 IS NULL OR x1 IS NULL OR abs((x0 - x) * (y1 - y) - (x1 - x) * (y0 - y)) / 2 > 50.0""",
+)
+def track_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.simplify(_points(spark, sf_dir), 50.0).select(F.col("track_id").alias("user_id"), F.col("point_id").alias("event_id"))
+
+
+@query("track_simplify_iterative")
+def track_simplify_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.simplify_iterative(_points(spark, sf_dir), 50.0).select(F.col("track_id").alias("user_id"), F.col("point_id").alias("event_id"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000.0)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("point_id"), "ts", hours.alias("x"), F.col("value").alias("y"))
+
+
+@query(
+    "map_cache",
+    """
+    SELECT 0 AS zoom, CAST(floor(epoch_us(ts) / 1000000.0 / 86400) AS BIGINT) AS cx, CAST(floor(value / 16) AS BIGINT) AS cy, count(*) AS n, count(DISTINCT user_id) AS n_tracks
+    FROM events GROUP BY 2, 3""",
+)
+def map_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir).withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0))
+    return tracks.map_cache(points, 86400, 16)
+
+
+@query(
+    "dq_report",
+    """
+    SELECT 'events' AS dataset_id, "check", CASE WHEN n_failed = 0 THEN 'pass' ELSE 'fail' END AS status, n_failed, n_failed || ' rows' AS detail FROM (
+      SELECT 'value present' AS "check", count(*) FILTER (WHERE value IS NULL) AS n_failed FROM events
+      UNION ALL SELECT 'value not negative', count(*) FILTER (WHERE NOT coalesce(value >= 0, false)) FROM events
+      UNION ALL SELECT 'value up to 300', count(*) FILTER (WHERE NOT coalesce(value <= 300, false)) FROM events
+      UNION ALL SELECT 'unique(event_id)', count(*) - count(DISTINCT event_id) FROM events
+      UNION ALL SELECT 'parent(user_id)', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer))""",
+)
+def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [Rule("value present", F.col("value").isNotNull()), Rule("value not negative", F.col("value") >= 0), Rule("value up to 300", F.col("value") <= 300)]
+    return validate(table(spark, sf_dir, "events"), rules, "events", unique=("event_id",), parents={"user_id": (table(spark, sf_dir, "customer"), "c_custkey")})
+
+
+@query(
+    "dq_orphans",
+    "SELECT count(*) AS orphans FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P')",
+)
+def dq_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    return table(spark, sf_dir, "lineitem").join(whole, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count("*").alias("orphans"))
+
+
+@query(
+    "quality_metrics",
+    """
+    SELECT 'd' AS dataset_id, 'events' AS "table", c AS "column", m AS metric, CAST(v AS DOUBLE) AS value FROM (
+      SELECT '*' AS c, 'rows' AS m, count(*) AS v FROM events
+      UNION ALL SELECT 'event_type', 'nulls', count(*) - count(event_type) FROM events
+      UNION ALL SELECT 'event_type', 'distinct', count(DISTINCT event_type) FROM events
+      UNION ALL SELECT 'value', 'nulls', count(*) - count(value) FROM events
+      UNION ALL SELECT 'value', 'distinct', count(DISTINCT value) FROM events
+      UNION ALL SELECT 'value', 'min', min(value) FROM events
+      UNION ALL SELECT 'value', 'max', max(value) FROM events
+      UNION ALL SELECT 'value', 'p50', quantile_cont(value, 0.5) FROM events)""",
+)
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "events"), "d", "events", ["event_type", "value"])
+
+
+@query(
+    "asof_join",
+    """
+    WITH v AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click')
+    SELECT v.user_id, v.event_id, v.ts, c.event_id AS event_id_asof FROM v ASOF LEFT JOIN c ON v.user_id = c.user_id AND v.ts >= c.ts""",
+)
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return joins.asof_join(e.filter("event_type = 'purchase'").drop("event_type"), e.filter("event_type = 'click'").drop("event_type"), "user_id", "ts", ["event_id"])
+
+
+@query(
+    "interval_join",
+    """
+    SELECT v.user_id, v.event_id AS view_id, c.event_id AS click_id FROM events v JOIN events c ON v.user_id = c.user_id AND c.ts BETWEEN v.ts AND v.ts + INTERVAL 2 HOUR
+    WHERE v.event_type = 'view' AND c.event_type = 'click'""",
+)
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    v = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    c = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
+    return joins.interval_join(v, c, "user_id", "view_ts", "click_ts", 7200).select("user_id", "view_id", "click_id")
+
+
+@query("salted_join", "SELECT l_orderkey, l_linenumber, l_partkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "k")
+    return joins.salted_join(l, table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "k"), "k").select("l_orderkey", "l_linenumber", "l_partkey", "s_name")
+
+
+@query("haversine", """
+    SELECT c_custkey, round(2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b - a) / 2), 2) + cos(radians(a)) * cos(radians(b)) * pow(sin(radians(a - b) / 2), 2), 1.0))), 3) AS metres
+    FROM (SELECT c_custkey, CAST(c_custkey % 90 AS DOUBLE) AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer)""")
+def haversine_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (F.col("c_custkey") % 90).cast("double"), F.col("c_nationkey").cast("double")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(haversine(a, b, b, a), 3).alias("metres"))
+
+
+@query("cosine_topk", """
+    WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
+    SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS sim FROM embeddings, q ORDER BY sim DESC, vec_id LIMIT 10""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    # one query row: its side of the join is bounded by the filter on the key
+    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(10)
+
+
+for _name, _run in {
+    "stream_tumbling": streams.tumbling,
+    "stream_sliding": streams.sliding,
+    "stream_session": streams.sessions,
+    "stream_dedup": streams.dedup,
+    "stream_interval_join": streams.interval_join,
+    "stream_running_count": streams.running_count,
+}.items():
+    _QUERIES[_name] = (_run, None)
+_QUERIES["stream_sliding"] = (streams.sliding, "SELECT t0, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS t0 FROM events) GROUP BY 1")
+
+
+_load()
