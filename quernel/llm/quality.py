@@ -2,38 +2,78 @@ r"""Quality rules: features of a document, and lines that are too frequent on it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.scratch import Scratch
 from quernel.llm.text import ascii_lower, boxed, lines, strip_blanks, unboxed, wide_hash, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
-def repeated_words(ws: Column, n: int = 8) -> Column:
-    """How many words stand in a window of ``n`` words that occurs twice or more in the array.
+#: Bits of a packed window that hold its place; texts with more words take the plain way.
+PLACE_BITS = 24
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``use`` may name its argument often: a one-element transform evaluates it once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _spread(at: Column, n: int) -> Column:
+    """Words that windows of ``n`` at these ascending places cover."""
+    return F.aggregate(F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.coalesce(F.least(b - a, F.lit(n)), F.lit(n)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
 
-    Windows are compared by 64-bit hashes. A document without a repeated
-    window, the usual case, costs a hash set; others sort (hash, position)
-    pairs, take those equal to a neighbour, and add up the words that their
-    windows cover. Nothing is quadratic.
+
+def _equal_neighbours(ordered: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The elements that equal the one before or after them."""
+    return F.filter(ordered, lambda x, i: F.coalesce(same(x, F.get(ordered, i + 1)), F.lit(False)) | F.coalesce((i > 0) & same(x, F.get(ordered, F.greatest(i - 1, F.lit(0)))), F.lit(False)))
+
+
+def repeated_words(ws: Column, n: int = 8) -> Column:
+    """How many words stand in a window of ``n`` words (a power of 2) that occurs twice or more in the array.
+
+    Windows are compared by 64-bit hashes, put together from hashes of their
+    halves. A document without a repeated window, the usual case, costs a
+    hash set. Others sort their windows, take those equal to a neighbour, and
+    add up the words that these cover; nothing is quadratic. For the sort a
+    window is one long, the upper bits of its hash above its place, and whole
+    hashes decide which neighbours are equal.
     """
-    hashes = F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.xxhash64(F.slice(ws, i, n)))
 
-    def covered(hs: Column) -> Column:
-        pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        same = F.transform(
-            F.filter(F.zip_with(F.zip_with(pairs, F.slice(pairs, 2, F.size(pairs)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.concat(F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("i"))), pairs), lambda ab, p: F.struct(ab.getField("a").alias("a"), ab.getField("b").alias("b"), p.alias("p"))), lambda x: x.getField("a").isNotNull() & (F.coalesce(x.getField("a").getField("h") == x.getField("b").getField("h"), F.lit(False)) | F.coalesce(x.getField("a").getField("h") == x.getField("p").getField("h"), F.lit(False)))),
-            lambda x: x.getField("a").getField("i"),
-        )
-        at = F.array_sort(same)
-        return F.aggregate(F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.coalesce(F.least(b - a, F.lit(n)), F.lit(n))), F.lit(0).cast("long"), lambda s, x: s + x)
+    def pair_up(step: int) -> Callable[[Column], Column]:
+        return lambda x: F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda a, b: F.xxhash64(a, b))
 
-    return F.when(F.size(ws) <= n, F.lit(0).cast("long")).otherwise(
-        # one-element transform: binds the window hashes once for the test and the count
-        F.get(F.transform(F.array(hashes), lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(covered(hs))), 0)
-    )
+    def hashes(words_: Column) -> Column:
+        h, step = F.transform(words_, lambda w: F.xxhash64(w)), 1
+        while step < n:
+            h = _bound(h, pair_up(step))
+            step *= 2
+        return F.slice(h, 1, F.size(words_) - (n - 1))
+
+    def packed(hs: Column) -> Column:
+        def whole(x: Column) -> Column:
+            return F.get(hs, x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+
+        def count(ordered: Column) -> Column:
+            at = F.transform(_equal_neighbours(ordered, lambda a, b: whole(a) == whole(b)), lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+            return _bound(F.sort_array(at), lambda p: _spread(p, n))
+
+        return _bound(F.sort_array(F.transform(hs, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))), count)
+
+    def plain(hs: Column) -> Column:
+        def count(ordered: Column) -> Column:
+            at = F.transform(_equal_neighbours(ordered, lambda a, b: a.getField("h") == b.getField("h")), lambda x: x.getField("i").cast("long"))
+            return _bound(F.sort_array(at), lambda p: _spread(p, n))
+
+        return _bound(F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), count)
+
+    def judged(hs: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).when(F.size(hs) < 1 << PLACE_BITS, packed(hs)).otherwise(plain(hs))
+
+    return F.when(F.size(ws) <= n, F.lit(0).cast("long")).otherwise(_bound(hashes(ws), judged))
 
 
 def score_quality(
@@ -70,26 +110,25 @@ def score_quality(
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality")
     w = F.col("ws")
-
-    def has_word(line: Column) -> Column:
-        return strip_blanks(line) != ""
-
     ruled = (
         boxed(docs, text=text, host=host)
         .withColumn("text", F.coalesce("text", F.lit("")))
         .withColumn("uid", F.monotonically_increasing_id())
-        .withColumn("ws", words(F.col("text")))
-        .withColumn("worded", F.filter(lines(F.col("text")), has_word))
+        .withColumn("all_lines", lines(F.col("text")))
+        # no word goes over a line's end, so the lines' words are the text's
+        .withColumn("words_of", F.transform("all_lines", words))
+        .withColumn("ws", F.flatten("words_of"))
+        .withColumn("worded", F.filter(F.zip_with("all_lines", "words_of", lambda x, y: F.struct(x.alias("line"), F.size(y).cast("long").alias("n"))), lambda x: x.getField("n") > 0))
         .select(
             "uid",
             "host",
             "row",
             F.size(w).cast("long").alias("n_words"),
             F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"),
-            (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
+            F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            (F.size("worded") - F.size(F.array_distinct(F.transform("worded", lambda x: x.getField("line"))))).cast("long").alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"),
-            F.transform("worded", lambda x: F.struct(F.xxhash64(ascii_lower(strip_blanks(x))).alias("h"), F.size(words(x)).cast("long").alias("n"))).alias("line_words"),
+            F.transform("worded", lambda x: F.struct(F.xxhash64(ascii_lower(strip_blanks(x.getField("line")))).alias("h"), x.getField("n").alias("n"))).alias("line_words"),
         )
         # the text itself is not kept: the features and 16 bytes a line are
         .withColumn("row", F.col("row").dropFields(text) if len(docs.columns) > 1 else F.lit(None).cast("struct<none:int>"))
