@@ -36,6 +36,7 @@ class LineRuns:
         self.levels: list[list[tuple[str, str]]] = []
 
     def _write(self, df: DataFrame) -> tuple[str, str]:
+        self.schema = df.schema
         name, path = f"line_run_{uuid.uuid4().hex}", self.scratch.place()
         (df.repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).format("parquet").saveAsTable(name))
         return name, path
@@ -65,7 +66,7 @@ class LineRuns:
 
     def owners(self) -> DataFrame:
         """(h1, h2, owner) of all runs, read by path."""
-        return self.spark.read.parquet(*[path for _, path in self._runs()])
+        return self.spark.read.schema(self.schema).parquet(*[path for _, path in self._runs()])
 
     def close(self) -> None:
         """Forget the table names; the files stay for results that read them."""
@@ -104,7 +105,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         .filter(F.length("key") >= min_chars)
     )
     h1, h2 = wide_hash(F.col("key"))
-    found = scratch.keep(found.select(h1.alias("h1"), h2.alias("h2"), "doc_id", "version", "pos", "batch"), partition_by=("batch",)) if docs.columns else found
+    found = scratch.keep(found.select(h1.alias("h1"), h2.alias("h2"), "doc_id", "version", "pos", "batch"), partition_by=("batch",))
     runs = LineRuns(spark, scratch, fanout)
     for k in range(len(set(bounds)) + 1):
         runs.absorb(found.filter(F.col("batch") == k).select(*HASH, "doc_id"))
@@ -122,8 +123,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     cut = joined.withColumn("all_lines", lines(F.col("text")))
     # A sorted list and its counterpart by position: a map would cost more than a search of a few positions.
     kept = F.when(F.col("drops").isNull(), F.col("all_lines")).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.col("drops")), lambda i: F.get("all_lines", i)))
-    n_dropped = F.coalesce(F.size("drops"), F.lit(0)).cast("long")
-    n_dropped = F.when(F.col("drops").isNull(), F.lit(0).cast("long")).otherwise(n_dropped)
+    n_dropped = F.when(F.col("drops").isNull(), F.lit(0).cast("long")).otherwise(F.size("drops").cast("long"))
     return unboxed(
         cut,
         docs.columns,

@@ -35,7 +35,7 @@ class Scratch:
         where = f"{self.path}/{self._n}"
         self._n += 1
         df.write.partitionBy(*partition_by).parquet(where) if partition_by else df.write.parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where) if not partition_by else self.spark.read.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
 
     def place(self) -> str:
         self._n += 1
