@@ -2,4 +2,101 @@
 
 from __future__ import annotations
 
+from quernel.llm.decontam import UNITS
+from quernel.llm.licenses import PHRASES, TEMPLATES, template_grams
+from quernel.llm.text import ASCII_LOWER, ASCII_UPPER
+
 SQL: dict[str, str] = {}
+
+_LOW = f"translate({{}}, '{ASCII_UPPER}', '{ASCII_LOWER}')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL["op1_near_dup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, {_WORD}) AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+sym AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, sym.y FROM r JOIN sym ON r.reach = sym.x)
+SELECT n.doc_id, n.n AS n_shingles, min(reach) AS component_id, min(reach) = n.doc_id AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n"""
+
+SQL["op2_line_dedup"] = f"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, {_LOW.format(f"trim(line, {_BLANKS})")} AS key FROM l),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE owner < doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN o USING (key) GROUP BY doc_id"""
+
+_ESCAPE = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+
+SQL["op3_chat_format"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS joined,
+  {_ESCAPE.format('text')} AS safe, replace({_ESCAPE.format('role')}, chr(10), '<|nl|>') AS head FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(safe) + CASE WHEN joined THEN 10 ELSE 12 + length(head) + 1 + 11 END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id"""
+
+SQL["op8_quality"] = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, {_WORD}) AS ws, list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS}) <> '') AS ls FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 8)),
+m AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) FROM m) GROUP BY doc_id),
+b AS (SELECT doc_id, source, ls, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+x AS (SELECT doc_id, source, {_LOW.format(f"trim(line, {_BLANKS})")} AS key, CAST(len(regexp_extract_all(line, {_WORD})) AS BIGINT) AS n FROM (SELECT doc_id, source, unnest(ls) AS line FROM b)),
+h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+f AS (SELECT x.source, key FROM x JOIN h ON x.source IS NOT DISTINCT FROM h.source GROUP BY x.source, key, h.docs HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) > 0.1 * h.docs),
+r AS (SELECT doc_id, sum(n) AS removed FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source AND x.key = f.key GROUP BY doc_id),
+j AS (SELECT b.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(n_words - coalesce(removed, 0) AS BIGINT) AS n_left_words FROM b LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left_words, n_left_words < 5 OR n_left_words < 0.2 * n_words AS depleted,
+  NOT base_failed AND NOT (n_left_words < 5 OR n_left_words < 0.2 * n_words) AS kept FROM j"""
+
+_UNITS = ", ".join(f"'{u}'" for u in UNITS)
+_SPLIT = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_CANON = rf"list_transform(ws, lambda x: CASE WHEN x < ':' THEN '<number>' WHEN lower(x) IN ({_UNITS}) AND (regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') OR x >= '[' AND x <= '{{{{') THEN '<unit>' WHEN regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') THEN '<name>' ELSE lower(x) END)".replace("{{", "{")
+
+SQL["op6_decontaminate"] = f"""
+WITH b AS (SELECT item_id, ws, {_CANON} AS cs FROM (SELECT item_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM benchmark) WHERE len(ws) >= 5),
+d AS (SELECT doc_id, ws, {_CANON} AS cs FROM (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM documents)),
+bw AS (SELECT item_id, i, size, total, cs[i:i + size - 1] AS win, ws[i:i + size - 1] AS vals FROM (SELECT item_id, ws, cs, least(len(ws), 8) AS size, greatest(len(ws) - 7, 1) AS total, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) AS i FROM b)
+  WHERE len(list_filter(cs[i:i + size - 1], lambda x: x[1] <> '<')) >= 3),
+z AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, i, size, cs[i:i + size - 1] AS win, ws[i:i + size - 1] AS vals FROM (SELECT doc_id, ws, cs, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, z WHERE len(ws) >= size)),
+m AS (SELECT doc_id, item_id, total, bw.size, dw.i - bw.i AS diagonal, bw.i AS place, dw.win AS win, bw.vals AS bv, dw.vals AS dv FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
+p AS (SELECT DISTINCT doc_id, item_id, size, diagonal, win[k][1:2] || lower(bv[k]) AS x, win[k][1:2] || lower(dv[k]) AS y FROM (SELECT *, unnest(range(1, size + 1)) AS k FROM m) WHERE win[k][1] = '<'),
+q AS (SELECT doc_id, item_id, size, diagonal, count(*) AS n, count(DISTINCT x) AS nx, count(DISTINCT y) AS ny, bool_and(x = y) AS same FROM p GROUP BY ALL),
+a AS (SELECT m.doc_id, m.item_id, m.total, m.size, m.diagonal, count(DISTINCT place) AS hits, coalesce(any_value(same), true) AS same, list(DISTINCT place) AS places
+  FROM m LEFT JOIN q ON m.doc_id = q.doc_id AND m.item_id = q.item_id AND m.size = q.size AND m.diagonal = q.diagonal WHERE q.n IS NULL OR (q.n = q.nx AND q.n = q.ny) GROUP BY m.doc_id, m.item_id, m.total, m.size, m.diagonal)
+SELECT doc_id, item_id, len(list_distinct(flatten(list(places)))) / total AS share, max(hits + size - 1) AS run_words, arg_max(same, hits) AS verbatim FROM a
+GROUP BY doc_id, item_id, total HAVING len(list_distinct(flatten(list(places)))) / total >= 0.5 OR max(hits + size - 1) >= 13"""
+
+_GRAMS = ", ".join(f"({t}, '{label}', {p}, {n}, '{' '.join(gram)}')" for t, label, p, n, gram in template_grams(TEMPLATES, 3))
+_PLACE = " OR ".join("(" + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase)) + ")" for phrase in PHRASES)
+_LABEL = " ".join("WHEN " + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase)) + f" THEN '{label}'" for phrase, label in PHRASES.items())
+
+SQL["op9_licenses"] = f"""
+WITH t(t, label, t_pos, t_grams, gram) AS (VALUES {_GRAMS}),
+d AS (SELECT doc_id, list_transform({_SPLIT.format("coalesce(text, '')")}, lambda x: lower(x)) AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+p AS (SELECT doc_id, i - 1 AS start, CASE {_LABEL} END AS label FROM i WHERE {_PLACE}),
+b AS (SELECT doc_id, count(*) AS n_base, CAST(min(start) AS BIGINT) AS first_word, CAST(max(start) AS BIGINT) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY doc_id),
+h AS (SELECT doc_id, t, label, t_grams, t_pos, i - 1 AS pos, i - 1 - t_pos AS diagonal FROM i JOIN t ON gram = ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]),
+v AS (SELECT doc_id, t, label, t_grams, diagonal, list(DISTINCT t_pos) AS found FROM h GROUP BY ALL),
+o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= 4 THEN 0 ELSE 1 END AS opens FROM v),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, t ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM o),
+m AS (SELECT doc_id, label, len(list_distinct(flatten(list(found)))) / t_grams AS share FROM s GROUP BY doc_id, t, label, t_grams, span),
+x AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM m WHERE share >= 0.6 GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(x.labels, [])))), ',') AS labels,
+  greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0))::DOUBLE AS score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id"""
