@@ -18,13 +18,15 @@ _LOWER[65:91] += 32
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 11, 12, 13, 32]] = False
 _powers: dict[int, np.ndarray] = {}
+#: Bytes hashed at a time; a longer word is hashed at once.
+BLOCK = 1 << 19
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, BLOCK * 2)
         have = np.full(size, base, _U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
@@ -61,10 +63,17 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     before[inner[inner < n]] = False
     after[inner[inner > 0] - 1] = False
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[low] * _power(_BASE, n), out=total[1:])
-    # length goes in too: a sum of powers cannot tell trailing symbols that cancel
-    hashes = mix((total[ends] - total[starts]) * _power(_INVERSE, n)[starts] + (ends - starts).astype(_U)) if n else np.zeros(0, _U)
+    hashes = np.empty(len(starts), _U)
+    at = 0
+    while at < len(starts):  # in blocks, so that working arrays stay small whatever the length of a text
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
+        base, size = starts[at], int(ends[to - 1] - starts[at])
+        total = np.zeros(size + 1, _U)
+        np.cumsum(_BYTE[low[base : base + size]] * _power(_BASE, size), out=total[1:])
+        begin, end = starts[at:to] - base, ends[at:to] - base
+        # length goes in too: a sum of powers cannot tell trailing symbols that cancel
+        hashes[at:to] = mix((total[end] - total[begin]) * _power(_INVERSE, size)[begin] + (end - begin).astype(_U))
+        at = to
     return Words(low, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
