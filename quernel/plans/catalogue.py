@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.functions import udfs
 from quernel.functions.geo import haversine
 from quernel.functions.vectors import cosine
 from quernel.operators import joins, tracks
 from quernel.operators.reports import Rule, quality_report, validate
+from quernel.sources import generator, raw
 from quernel.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +194,49 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(10)
 
 
+@query("udf_pandas", "SELECT event_id, least(greatest(value, 10.0), 100.0) AS v FROM events")
+def udf_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", udfs.clipped("value", F.lit(10.0), F.lit(100.0)).alias("v"))
+
+
+@query("udf_arrow", "SELECT c_custkey, c_name[1] || length(c_name) AS v FROM customer")
+def udf_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.initials("c_name").alias("v"))
+
+
+@query("udf_aggregate", "SELECT event_type, round((sum(value) - min(value) - max(value)) / (count(value) - 2), 2) AS v FROM events GROUP BY event_type")
+def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(udfs.trimmed_mean("value"), 2).alias("v"))
+
+
+@query("udf_table", "SELECT p_partkey, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, unnest(w) AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
+def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.udtf.register("numbered_words", udfs.NumberedWords)
+    return spark.sql("SELECT p_partkey, pos, word FROM {part}, LATERAL numbered_words(p_name)", part=table(spark, sf_dir, "part"))
+
+
+@query("udf_row", "SELECT n_nationkey, CAST(n_nationkey // 10 + n_nationkey % 10 AS BIGINT) AS v FROM nation")
+def udf_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", udfs.digit_sum(F.col("n_nationkey").cast("long")).alias("v"))
+
+
+@query("source_tracks", "SELECT CAST(t AS BIGINT) AS track_id, CAST(50 AS BIGINT) AS n FROM range(7) r(t)")
+def source_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    generator.register(spark)
+    return spark.read.format("tracks").options(tracks="7", points="50").load().groupBy("track_id").agg(F.count("*").alias("n"))
+
+
+@query("raw_digests")
+def raw_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and size of a raw file, as the manifest holds them."""
+    return raw.digests(spark, f"{sf_dir}/region.parquet").select(F.element_at(F.split("raw_path", "/"), -1).alias("name"), "raw_sha256", "n_bytes")
+
+
+@query("file_metadata")
+def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").groupBy("_metadata.file_name", "_metadata.file_size").agg(F.count("*").alias("n"))
+
+
 for _name, _run in {
     "stream_tumbling": streams.tumbling,
     "stream_sliding": streams.sliding,

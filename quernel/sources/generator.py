@@ -1,0 +1,49 @@
+"""A custom source: deterministic tracks, one partition per range of tracks."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class TrackRange(InputPartition):
+    def __init__(self, first: int, last: int):
+        super().__init__((first, last))
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.tracks, self.points, self.parts = (int(options.get(k, d)) for k, d in (("tracks", 10), ("points", 100), ("partitions", 4)))
+
+    def partitions(self) -> list[InputPartition]:
+        cut = [self.tracks * i // self.parts for i in range(self.parts + 1)]
+        return [TrackRange(a, b) for a, b in zip(cut, cut[1:]) if a < b]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        first, last = partition.value
+        for track in range(first, last):
+            for i in range(self.points):
+                turn = (track + 1) * i * 0.1
+                yield track, track * self.points + i, datetime(2024, 1, 1) + timedelta(minutes=i), math.cos(turn) * i, math.sin(turn) * i
+
+
+class TrackSource(DataSource):
+    """``format("tracks")`` with options tracks, points and partitions."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tracks"
+
+    def schema(self) -> str:
+        return "track_id long, point_id long, ts timestamp_ntz, x double, y double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(TrackSource)
