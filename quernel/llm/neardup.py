@@ -14,6 +14,14 @@
    each member outside the first one's component with all members of other
    components. Pairs within a component need no test, as it could not change
    the result, so groups of near copies cost their size, not its square.
+5. Groups also hold copies that miss the threshold by little, against each
+   other and against all the rest. Before any pair of the second pass is
+   made, an exact bound excludes these: shingles that at most RARE of its
+   documents have are rare, all others are common and dealt by hash to PARTS
+   parts. Two documents share no more common shingles than the sum over
+   parts of the smaller count, and no more others than the rare ones they
+   share. Pairs that share rare shingles are listed from these, at most RARE
+   for each; all others are bounded by the counts of the parts alone.
 """
 
 from __future__ import annotations
@@ -29,11 +37,13 @@ from pyspark.sql import functions as F
 
 from quernel.llm import tokens
 from quernel.llm.components import components
-from quernel.llm.scratch import Scratch
+from quernel.llm.scratch import Scratch, width_for
 from quernel.llm.text import boxed, unboxed
 
 MINIMA = 128
 BITS = 2
+RARE = 16
+PARTS = 32
 _U = np.uint64
 _SEEDS = np.random.default_rng(77)
 _A = _SEEDS.integers(0, 2**63, MINIMA, dtype=_U) * _U(2) + _U(1)
@@ -90,6 +100,18 @@ def _sketch(k: int, rows: int):
     return run
 
 
+def _shingle_lists(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in tokens.text_slices(batch.column("text")):
+                sh, first = tokens.shingles_of(tokens.words_of(data, offsets), k)
+                own = [np.unique(sh[first[i] : first[i + 1]]).view(np.int64) for i in range(hi - lo)]
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(own)))], ["rep", "shingles"])
+
+    return run
+
+
 def _confirm(k: int, per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -154,8 +176,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     sketch = scratch.keep(own.mapInArrow(_sketch(k, rows), "doc_id long, version long, n long, s1 long, s2 long, bands array<long>, planes array<long>"))
+    width = width_for(spark, sketch.count())
     live = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("version", "doc_id").alias("version"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes")))
+    classes = scratch.keep(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("version", "doc_id").alias("version"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes")), width=width)
     reps = classes.dropDuplicates(["rep"])
     member = reps.select(F.explode("bands").alias("key"), "rep", "n", "planes")
 
@@ -163,41 +186,75 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         return (F.least(n, m) * 100 >= F.greatest(n, m) * per_cent) & (similarity(x, y) >= least)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links, from their texts."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(rep, text) of some representatives."""
         wanted = reps.select("rep", F.col("version").alias("r_version")).join(ids, "rep", "left_semi")
-        texts = scratch.keep(own.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("version") == F.col("r_version"))).select("rep", "text").dropDuplicates(["rep"]))
+        return scratch.keep(own.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("version") == F.col("r_version"))).select("rep", "text").dropDuplicates(["rep"]), width=width)
+
+    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links, from their texts."""
         both = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text")), "a")
-        return scratch.keep(both.sortWithinPartitions("a").mapInArrow(_confirm(k, per_cent), "u long, v long"))
+        return scratch.keep(both.sortWithinPartitions("a").mapInArrow(_confirm(k, per_cent), "u long, v long"), width=width)
+
+    def common_at_most(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda t, a: t + a)
+
+    def may_link(shared: Column, x: Column, y: Column) -> Column:
+        """Whether sets of these sizes with so many common elements at most can reach the threshold."""
+        return 100 * shared >= per_cent * (x + y - shared)
 
     # First pass: members with the smallest representative of their band.
     band = member.groupBy("key").agg(F.min("rep").alias("c_rep"), F.count("*").alias("size")).filter("size > 1")
     centre = member.alias("m").join(band.alias("b"), (F.col("m.key") == F.col("b.key")) & (F.col("m.rep") == F.col("b.c_rep"))).select(F.col("m.key").alias("key"), F.col("m.rep").alias("rep"), F.col("m.n").alias("n"), F.col("m.planes").alias("planes"))
-    centre = scratch.keep(centre)
+    centre = scratch.keep(centre, width=width)
     stars = member.alias("x").join(centre.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") > F.col("y.rep")) & close("x", "y"))
-    first = scratch.keep(stars.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct())
-    links = confirmed(first)
-    found = components(links, scratch)
+    first = scratch.keep(stars.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct(), width=width)
+    ends = first.select(F.col("a").alias("rep")).union(first.select(F.col("b").alias("rep"))).distinct()
+    links = confirmed(first, texts_of(ends))
+    found = components(links, scratch, width)
 
     # Second pass: bands that hold several components.
     placed = reps.join(found, reps.rep == found.node, "left").select("rep", "n", "planes", "bands", F.coalesce("component", "rep").alias("comp"))
     placed = placed.select(F.explode("bands").alias("key"), "rep", "n", "planes", "comp").join(centre.select("key", F.col("rep").alias("c_rep")), "key")
-    main = scratch.keep(found.select(F.col("node").alias("c_node"), F.col("component").alias("c_comp")))
-    placed = scratch.keep(placed.join(main, placed.c_rep == main.c_node, "left").select("key", "rep", "n", "planes", "comp", F.coalesce("c_comp", "c_rep").alias("main")))
+    main = scratch.keep(found.select(F.col("node").alias("c_node"), F.col("component").alias("c_comp")), width=width)
+    placed = scratch.keep(placed.join(main, placed.c_rep == main.c_node, "left").select("key", "rep", "n", "planes", "comp", F.coalesce("c_comp", "c_rep").alias("main")), width=width)
     odd = placed.filter("comp <> main")
-    mixed = odd.select("key").distinct()
-    others = placed.join(mixed, "key", "left_semi")
-    cross = odd.alias("x").join(
-        others.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.rep") < F.col("y.rep")) | (F.col("y.comp") == F.col("y.main"))) & close("x", "y"),
-    )
-    second = scratch.keep(cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        more = confirmed(second)
+    others = placed.join(odd.select("key").distinct(), "key", "left_semi")
+
+    def crossing(x: str, y: str) -> Column:
+        return (F.col(f"{x}.key") == F.col(f"{y}.key")) & (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & close(x, y)
+
+    # those that have any candidate of another component at all
+    left = odd.alias("x").join(others.alias("y"), crossing("x", "y"), "left_semi").select("rep").distinct()
+    right = others.alias("x").join(odd.alias("y"), crossing("x", "y"), "left_semi").select("rep").distinct()
+    open_ = scratch.keep(left.union(right).distinct(), width=width)
+    if not open_.isEmpty():
+        texts = texts_of(open_)
+        shingles = scratch.keep(texts.mapInArrow(_shingle_lists(k), "rep long, shingles array<long>"), width=width)
+        each = shingles.select("rep", F.explode("shingles").alias("shingle"))
+        held = each.groupBy("shingle").agg(F.count("*").alias("docs")).filter("docs > 1")
+        shared = scratch.keep(each.join(held, "shingle"), width=width)
+        part = F.pmod("shingle", F.lit(PARTS))
+        common = shared.filter(F.col("docs") > RARE).groupBy("rep").agg(F.array(*[F.count_if(part == g).cast("int") for g in range(PARTS)]).alias("common"))
+        sizes = reps.select("rep", "n").join(open_, "rep", "left_semi").join(common, "rep", "left").join(placed.select("rep", "comp").distinct(), "rep").select("rep", "n", "comp", F.coalesce("common", F.array_repeat(F.lit(0), PARTS)).alias("common"))
+        sizes = scratch.keep(sizes, width=width)
+        # pairs that share rare shingles, and how many: at most RARE documents have one
+        holders = shared.filter(F.col("docs") <= RARE).groupBy("shingle").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
+        listed = holders.select(F.explode(F.flatten(F.transform("reps", lambda a, i: F.transform(F.filter("reps", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("rare"))
+        of_a, of_b = sizes.select(*[F.col(c).alias(f"a_{c}") for c in sizes.columns]), sizes.select(*[F.col(c).alias(f"b_{c}") for c in sizes.columns])
+        listed = listed.join(of_a, F.col("a") == F.col("a_rep")).join(of_b, F.col("b") == F.col("b_rep")).filter("a_comp <> b_comp").filter(may_link(common_at_most("a_common", "b_common") + F.col("rare"), F.col("a_n"), F.col("b_n"))).select("a", "b")
+        # pairs that share none
+        with_common = lambda df: df.join(sizes.select("rep", "common"), "rep")
+        cross = with_common(odd).alias("x").join(
+            with_common(others).alias("y"),
+            ((F.col("x.rep") < F.col("y.rep")) | (F.col("y.comp") == F.col("y.main"))) & crossing("x", "y") & may_link(common_at_most("x.common", "y.common"), F.col("x.n"), F.col("y.n")),
+        )
+        cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        second = scratch.keep(listed.union(cross).distinct().join(first, ["a", "b"], "left_anti"), width=width)
+        more = confirmed(second, texts)
         if not more.isEmpty():
             # stars of the first pass stand for its links
-            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
+            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch, width)
 
     groups = classes.join(found, classes.rep == found.node, "left").select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), F.coalesce("component", "rep").alias("component"))
     out = sketch.join(groups, (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")

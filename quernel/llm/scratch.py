@@ -17,6 +17,11 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def width_for(spark: SparkSession, rows: int, per_file: int = 50_000) -> int:
+    """Files for so many rows: grows with them, and keeps every core busy."""
+    return max(spark.sparkContext.defaultParallelism, rows // per_file)
+
+
 class Scratch:
     """A folder of intermediate tables under the shared folder.
 
@@ -30,10 +35,16 @@ class Scratch:
         self.path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def keep(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read again."""
+    def keep(self, df: DataFrame, partition_by: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and return it as read again.
+
+        ``width``: at most so many files, for tables that are small beside the
+        shuffles they come from; a folder of many tiny files costs more than
+        the tasks it saves.
+        """
         where = f"{self.path}/{self._n}"
         self._n += 1
+        df = df.coalesce(width) if width else df
         df.write.partitionBy(*partition_by).parquet(where) if partition_by else df.write.parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
