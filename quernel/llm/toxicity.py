@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm import tokens
+from quernel.llm.scratch import Scratch
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -201,7 +202,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(t.astype(np.int64)), pa.array(p.astype(np.int64))], ["gram", "toxic", "plain"])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 20_000, scratch: Scratch | None = None) -> Model:
     """A model from about ``max_docs`` labelled texts at most, a documented bound.
 
     Where more are labelled, those with the smallest hashes of doc_id are
@@ -212,12 +213,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     with both values, are not used. Without texts of both classes for the
     calibration every text scores the share of toxic labels.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     marks = labels.select(F.col(f"`{doc_id}`").alias("l_id"), F.col(f"`{label}`").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND l_id IS NOT NULL").groupBy("l_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     n = marks.count()
     spot = F.pmod(F.xxhash64("l_id"), F.lit(1 << 20))
     chosen = marks.filter(spot < (1 << 20) * min(1.0, max_docs / max(n, 1))).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "l_id"), F.lit(4)))
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = own.join(chosen, own.doc_id == chosen.l_id).select("text", "toxic", "fold")
+    # chosen has about max_docs rows at most, so it is broadcast; the texts are read once and kept, in a table of bounded size
+    rows = own.join(F.broadcast(chosen), own.doc_id == chosen.l_id).select("text", "toxic", "fold")
+    rows = scratch.keep(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism))
     counted = rows.filter("fold > 0").select("text", "toxic").mapInArrow(_count, "gram long, toxic long, plain long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).toArrow()
     grams = counted.column("gram").to_numpy().view(_U)
     order = np.argsort(grams)
