@@ -79,8 +79,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 def text_slices(col: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row past the last, bytes, offsets) of parts of at most ``max_bytes``, or of one text; nulls are empty."""
-    col = col.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    if not len(col):
+        return
+    if col.null_count:
+        col = col.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offsets = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(col):
