@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.scratch import Scratch
-from quernel.llm.text import ascii_lower, boxed, lines, strip_blanks, unboxed, wide_hash, words
+from quernel.llm.text import ascii_lower, boxed, lines, strip_blanks, unboxed, words
 
 SYMBOLS = "[#*$%&|<>]"
 
