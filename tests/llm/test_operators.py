@@ -224,7 +224,7 @@ def test_token_counts(spark, rows):
 
 def test_language_model(spark, rows):
     df = frame(spark, rows)
-    got = ngramlm.score_texts(df, F.col("doc_id") % 4 == 0, chunk_bytes=2000, shard_bytes=3000, prior=50.0)
+    got = ngramlm.score_texts(df, F.col("doc_id") % 4 == 0, chunk_bytes=2000, shard_bytes=3000)
     uni, pairs, heads, texts = Counter(), Counter(), 0, []
     for i, t, _ in rows:
         w = [*words(t or ""), None]
@@ -242,7 +242,9 @@ def test_language_model(spark, rows):
     assert sum(map(len, have.values())) == len(rows)
     for i, out, w in texts:
         b = sum(math.log10(base(x)) for x in w)
-        s = sum(math.log10((pairs[(u, x)] + 50 * base(x)) / ((heads if u == "^" else uni[u]) + 50)) for u, x in zip(["^", *w], w))
+        seen = lambda u: heads if u == "^" else uni[u]
+        weight = lambda u: 3 * (1 + seen(u) ** 0.9)
+        s = sum(math.log10((pairs[(u, x)] + weight(u) * base(x)) / (seen(u) + weight(u))) for u, x in zip(["^", *w], w))
         assert any(
             (r.held_out, r.n_known, r.train_tokens) == (out, sum(uni[x] > 0 for x in w), total) and math.isclose(r.base_score, b, rel_tol=1e-9) and abs(r.score - s) < 0.035 * len(w)
             for r in have[(i, len(w))]
