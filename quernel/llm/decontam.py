@@ -6,7 +6,9 @@ Windows of canonical words are hash-joined; matches along one diagonal (place
 in the text minus place in the item) are one occurrence, whose placeholders
 must be filled consistently: one value of the item for one value of the text
 and the other way round. So verbatim copies match, and so do questions whose
-numbers, names and units were exchanged.
+numbers, names and units were exchanged. Which words are names depends on
+their case; windows of the plain lower-cased words are joined too, so that
+verbatim copies match in any case.
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ def window_hashes(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _lowered(plain: str) -> Column:
+    return F.transform(plain, lambda w: F.lower(w))
+
+
 def _slots(canon: str, plain: str, start: Column, size: int) -> Column:
     """The placeholders' values of one window, in order."""
     pairs = F.arrays_zip(F.slice(canon, start, size).alias("c"), F.slice(plain, start, size).alias("p"))
@@ -66,7 +72,8 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document and item that leaks into it: doc_id, item_id, share, run_words, verbatim.
 
-    An occurrence counts if its placeholders are consistent. ``share`` is the
+    A window matches by its template, or by its lower-cased words alone. An
+    occurrence counts if its placeholders are consistent. ``share`` is the
     share of the item's windows found in consistent occurrences, ``run_words``
     the words of the longest one, ``verbatim`` whether all its values equal
     the item's. A pair is reported from ``min_share`` or ``min_run`` on. Items
@@ -87,11 +94,14 @@ def find_leaks(
     scratch = scratch or Scratch(spark, "decontaminate")
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), license_words(F.coalesce(F.col(f"`{item_text}`"), F.lit(""))).alias("plain")).withColumn("canon", F.transform("plain", canonical)).filter(F.size("plain") >= min_item_words)
     n = F.size("plain")
+    template = F.struct(F.xxhash64("piece").alias("h"), _slots("canon", "plain", F.col("at"), F.col("size")).alias("item_slots"))
+    literal = F.struct(F.xxhash64(F.slice(_lowered("plain"), F.col("at"), F.col("size"))).alias("h"), F.array().cast("array<string>").alias("item_slots"))
     item_windows = scratch.keep(
         items.select("item_id", "plain", "canon", F.least(n, F.lit(window)).alias("size"), F.explode(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))).alias("at"))
         .withColumn("piece", F.slice("canon", F.col("at"), F.col("size")))
         .filter(F.size(F.filter("piece", lambda w: F.substring(w, 1, 1) != "<")) >= min_literals)
-        .select("item_id", "size", "at", F.greatest(F.size("plain") - window + 1, F.lit(1)).alias("of"), F.xxhash64("piece").alias("h"), _slots("canon", "plain", F.col("at"), F.col("size")).alias("item_slots"))
+        .select("item_id", "size", "at", F.greatest(F.size("plain") - window + 1, F.lit(1)).alias("of"), F.explode(F.array_distinct(F.array(template, literal))).alias("w"))
+        .select("item_id", "size", "at", "of", "w.h", "w.item_slots")
     )
     told = item_windows.agg(F.count("*"), F.collect_set("size")).head()
     sizes, few = sorted(told[1]), told[0] <= BROADCAST_WINDOWS
@@ -100,14 +110,16 @@ def find_leaks(
         return F.broadcast(df) if few else df
 
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
-    worded = own.withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical))
-    every = F.concat(*[window_hashes(F.col("canon"), s) for s in sizes]) if sizes else F.array().cast("array<bigint>")
+    worded = own.withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical)).withColumn("low", _lowered("plain"))
+    every = F.concat(*[window_hashes(words, s) for s in sizes for words in (F.col("canon"), F.col("low"))]) if sizes else F.array().cast("array<bigint>")
     touched = scratch.keep(worded.select("doc_id", "version", F.explode(F.array_distinct(every)).alias("h")).join(maybe_broadcast(item_windows.select("h").distinct()), "h", "left_semi").select("doc_id", "version").distinct())
     near = own.alias("o").join(touched.alias("t"), F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("o.version") == F.col("t.version")), "left_semi").select("o.doc_id", "o.text")
-    near = near.withColumn("uid", F.monotonically_increasing_id()).withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical))
+    near = near.withColumn("uid", F.monotonically_increasing_id()).withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical)).withColumn("low", _lowered("plain"))
 
     def windows(s: int) -> Column:
-        return F.transform(window_hashes(F.col("canon"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), _slots("canon", "plain", i + 1, s).alias("slots")))
+        templates = F.transform(window_hashes(F.col("canon"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), _slots("canon", "plain", i + 1, s).alias("slots")))
+        literals = F.transform(window_hashes(F.col("low"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), F.array().cast("array<string>").alias("slots")))
+        return F.array_distinct(F.concat(templates, literals))
 
     places = F.concat(*[windows(s) for s in sizes]) if sizes else F.array().cast("array<struct<h:bigint,at:int,slots:array<string>>>")
     found = near.select("uid", "doc_id", F.explode(places).alias("w")).select("uid", "doc_id", F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("slots")).join(maybe_broadcast(item_windows), "h")

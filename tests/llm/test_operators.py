@@ -317,6 +317,17 @@ def test_decontamination(spark):
         decontam.BROADCAST_WINDOWS = old
 
 
+def leaks(spark, items, docs):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    return {(r.doc_id, r.item_id): r for r in decontam.find_leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id int, text string")).collect()}
+
+
+def test_decontamination_in_any_case(spark):
+    item = "The slow boat leaves the old harbour every day. It carries wool and salt for the hill towns"
+    got = leaks(spark, [item], [f"so. {item.upper()} end", item.lower(), item.title(), "THE SLOW BOAT LEAVES the old harbour at noon"])
+    assert {k: (r.share, r.verbatim) for k, r in got.items()} == {(d, 0): (1.0, True) for d in range(3)}
+
+
 def test_bpe_join_is_exact():
     from tokenizers import Tokenizer
 
