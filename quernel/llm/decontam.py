@@ -4,8 +4,8 @@ Texts and benchmark items become sequences of canonical words: numbers,
 units and names are replaced by typed placeholders, all else is lower-cased.
 Windows of canonical words are hash-joined; matches along one diagonal (place
 in the text minus place in the item) are one occurrence, whose placeholders
-must be filled consistently: one value of the item for one value of the text
-and the other way round. So verbatim copies match, and so do questions whose
+must be filled consistently: one value of the text for one value of the item.
+A conflict splits the occurrence there. So verbatim copies match, and so do questions whose
 numbers, names and units were exchanged. Which words are names depends on
 their case; windows of the plain lower-cased words are joined too, so that
 verbatim copies match in any case.
@@ -56,6 +56,24 @@ def _slots(canon: str, plain: str, start: Column, size: int) -> Column:
     return F.transform(F.filter(pairs, lambda x: F.substring(x.getField("c"), 1, 1) == "<"), lambda x: F.concat(F.substring(x.getField("c"), 1, 2), F.lower(x.getField("p"))))
 
 
+def _is_map(pairs: Column) -> Column:
+    """Whether each item value of distinct pairs has one text value."""
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p.getField("i"))))
+
+
+def _parts(hits: str) -> Column:
+    """(part, at) of each window of one diagonal in order: a window whose values conflict with its part opens the next."""
+
+    def add(state: Column, hit: Column) -> Column:
+        joint = F.array_union(state.getField("bound"), hit.getField("pairs"))
+        part = F.when(_is_map(joint), state.getField("part")).otherwise(state.getField("part") + 1)
+        bound = F.when(_is_map(joint), joint).otherwise(hit.getField("pairs"))
+        return F.struct(part.alias("part"), bound.alias("bound"), F.concat(state.getField("parts"), F.array(F.struct(part.alias("part"), hit.getField("at").alias("at")))).alias("parts"))
+
+    nothing = F.struct(F.lit(0).alias("part"), F.array().cast("array<struct<i:string,d:string>>").alias("bound"), F.array().cast("array<struct<part:int,at:int>>").alias("parts"))
+    return F.aggregate(F.sort_array(hits), nothing, add, lambda state: state.getField("parts"))
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -73,13 +91,15 @@ def find_leaks(
     """One row per document and item that leaks into it: doc_id, item_id, share, run_words, verbatim.
 
     A window matches by its template, or by its lower-cased words alone. An
-    occurrence counts if its placeholders are consistent. ``share`` is the
-    share of the item's windows found in consistent occurrences, ``run_words``
-    the words of the longest one, ``verbatim`` whether all its values equal
-    the item's. A pair is reported from ``min_share`` or ``min_run`` on. Items
-    of ``min_item_words`` to ``window`` - 1 words are one window of their own
-    length; shorter ones match nothing, and so do windows with under
-    ``min_literals`` words that are no placeholders.
+    occurrence counts if its placeholders are consistent: along a diagonal,
+    a window whose values conflict with those before it opens a new part, and
+    the longest part counts, with all windows that hold the item's own values.
+    ``share`` is the share of the item's windows that count, ``run_words`` the
+    words of the longest part, ``verbatim`` whether all values of the longest
+    occurrence equal the item's. A pair is reported from ``min_share`` or
+    ``min_run`` on. Items of ``min_item_words`` to ``window`` - 1 words are one
+    window of their own length; shorter ones match nothing, and so do windows
+    with under ``min_literals`` words that are no placeholders.
 
     Null and empty texts have no windows. Null ids are reported as null.
     Rows that share a doc_id are searched each, and reported as one; so are
@@ -119,22 +139,30 @@ def find_leaks(
     def windows(s: int) -> Column:
         templates = F.transform(window_hashes(F.col("canon"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), _slots("canon", "plain", i + 1, s).alias("slots")))
         literals = F.transform(window_hashes(F.col("low"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), F.array().cast("array<string>").alias("slots")))
-        return F.array_distinct(F.concat(templates, literals))
+        return F.concat(templates, literals)
 
     places = F.concat(*[windows(s) for s in sizes]) if sizes else F.array().cast("array<struct<h:bigint,at:int,slots:array<string>>>")
     found = near.select("uid", "doc_id", F.explode(places).alias("w")).select("uid", "doc_id", F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("slots")).join(maybe_broadcast(item_windows), "h")
-    pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x.getField("item_slots").alias("i"), x.getField("slots").alias("d")))
+    pairs = F.array_distinct(F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x.getField("item_slots").alias("i"), x.getField("slots").alias("d"))))
     along = (
-        found.groupBy("uid", "doc_id", "item_id", "of", "size", (F.col("doc_at") - F.col("at")).alias("diagonal"))
-        .agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
-        .withColumn("values_i", F.size(F.array_distinct(F.transform("pairs", lambda p: p.getField("i")))))
-        .withColumn("values_d", F.size(F.array_distinct(F.transform("pairs", lambda p: p.getField("d")))))
-        .filter((F.size("pairs") == F.col("values_i")) & (F.size("pairs") == F.col("values_d")))
-        .withColumn("verbatim", F.forall("pairs", lambda p: p.getField("i") == p.getField("d")))
+        found.withColumn("pairs", pairs)
+        .filter(_is_map(F.col("pairs")))
+        .groupBy("uid", "doc_id", "item_id", "of", "size", (F.col("doc_at") - F.col("at")).alias("diagonal"))
+        .agg(F.collect_set(F.struct("at", "pairs")).alias("hits"))
+        .withColumn("parts", _parts("hits"))
+        .withColumn("places", F.transform(F.sequence(F.lit(0), F.array_max("parts").getField("part")), lambda k: F.array_distinct(F.transform(F.filter("parts", lambda x: x.getField("part") == k), lambda x: x.getField("at")))))
+        .withColumn("part", F.array_max(F.transform("places", lambda a: F.struct(F.size(a).alias("n"), a.alias("at")))).getField("at"))
+        .withColumn("same", F.array_distinct(F.transform(F.filter("hits", lambda x: F.forall(x.getField("pairs"), lambda p: p.getField("i") == p.getField("d"))), lambda x: x.getField("at"))))
+        .select("uid", "doc_id", "item_id", "of", "size", "part", "same", F.array_union("part", "same").alias("at"))
+        .withColumn("verbatim", F.size("at") == F.size("same"))
     )
     return (
         along.groupBy("uid", "doc_id", "item_id", "of")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.max(F.size("at") + F.col("size") - 1).alias("run_words"), F.max_by("verbatim", F.size("at")).alias("verbatim"))
+        .agg(
+            F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"),
+            F.max(F.greatest(F.size("part"), F.size("same")) + F.col("size") - 1).alias("run_words"),
+            F.max(F.struct(F.size("at").alias("n"), F.col("verbatim").alias("verbatim"))).getField("verbatim").alias("verbatim"),
+        )
         .withColumn("share", F.col("n") / F.col("of"))
         .filter((F.col("share") >= min_share) | (F.col("run_words") >= min_run))
         .groupBy("doc_id", "item_id")

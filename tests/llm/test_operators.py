@@ -328,6 +328,16 @@ def test_decontamination_in_any_case(spark):
     assert {k: (r.share, r.verbatim) for k, r in got.items()} == {(d, 0): (1.0, True) for d in range(3)}
 
 
+def test_decontamination_of_copies_with_a_slip(spark):
+    item = "The boat left the old harbour with wool and salt for the hill towns. The crew saw 12 gulls near the shore and 5 more at the inn by the long grey road"
+    slip = item.replace("The crew", "Our crew")
+    other = "Anna carried 12 boxes of pale grey slate over the ridge while 5 mules stood waiting below"
+    got = leaks(spark, [item, other], [item, slip, other.replace("12", "7").replace("5", "7")])
+    assert set(got) == {(0, 0), (1, 0), (2, 1)}
+    assert got[(0, 0)].verbatim and not got[(1, 0)].verbatim and not got[(2, 1)].verbatim
+    assert got[(1, 0)].share > 0.5 and got[(2, 1)].share == 1.0
+
+
 def test_bpe_join_is_exact():
     from tokenizers import Tokenizer
 
