@@ -43,8 +43,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates: 5-word shingles, similarity of 80 %."""
-    return neardup.keep_one(docs, k=5, per_cent=80)
+    """One document, that of the smallest doc_id, of each group of near-duplicates: 5-word shingles, similarity of 80 %.
+
+    Line dedup has taken the lines that a near copy shares with its original,
+    so what is left of it resembles nothing. Documents are therefore compared
+    as they are now and, where that differs, as the table of documents has
+    them, and blank remnants of copies go with them. A document that lost all
+    its lines to several others, without being a near copy of one, stays as
+    an empty text. Null ids stay, rows that share an id
+    go or stay together, other columns are carried along.
+    """
+    now = docs.select(F.col("doc_id").alias("now_id"), F.xxhash64("text").alias("now_hash"))
+    whole = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = whole.join(now, (whole.doc_id == now.now_id) & (F.xxhash64("text") != now.now_hash), "left_semi")
+    return neardup.keep_one(docs, k=5, per_cent=80, further=whole)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.scratch import Scratch, width_for
+from quernel.llm.scratch import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, width: int | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (u, v); component is the smallest node reachable.
 
     Large-star and small-star rounds: every node points its larger, then its
@@ -18,7 +18,7 @@ def components(edges: DataFrame, scratch: Scratch, width: int | None = None) ->
     edges; its result is a written table, so lineage does not grow. Nothing
     but a count and a checksum comes to the driver.
     """
-    now = scratch.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), width=width)
+    now = scratch.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def check(df: DataFrame):
         return df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).head()
@@ -32,7 +32,8 @@ def components(edges: DataFrame, scratch: Scratch, width: int | None = None) ->
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.col("v").alias("a"), "u", "m")
         nxt = small.select(F.col("a").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = scratch.keep(nxt, width=width_for(edges.sparkSession, 2 * state[0]))  # a round makes two edges of one at most
+        before, now = now, scratch.keep(nxt)
+        scratch.drop(before)
         old, state = state, check(now)
         if tuple(old) == tuple(state):
             break

@@ -8,20 +8,18 @@
 3. Representatives that share a band key are candidates. Those whose sizes
    or whose similarity, estimated from equal bits and corrected for chance
    collisions, are far below the threshold are passed over.
-4. Candidates are confirmed on their full shingle sets, in two passes: first
-   each member of a band with the band's smallest representative, which
-   links most groups; then, in bands that still hold several components,
-   each member outside the first one's component with all members of other
-   components. Pairs within a component need no test, as it could not change
-   the result, so groups of near copies cost their size, not its square.
-5. Groups also hold copies that miss the threshold by little, against each
-   other and against all the rest. Before any pair of the second pass is
-   made, an exact bound excludes these: shingles that at most RARE of its
-   documents have are rare, all others are common and dealt by hash to PARTS
-   parts. Two documents share no more common shingles than the sum over
-   parts of the smaller count, and no more others than the rare ones they
-   share. Pairs that share rare shingles are listed from these, at most RARE
-   for each; all others are bounded by the counts of the parts alone.
+4. First pass: each member of a band is compared on full sets with the band's
+   smallest representative, its centre, which links most groups at the cost
+   of their size.
+5. Second pass, for bands that still hold several components. A member x is
+   written as its difference from the centre, D(x); two members differ by
+   |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. So either they are so near to
+   the centre that they must be linked, which the one nearest to it shows for
+   all of them, or they share a known number of elements of their
+   differences. A prefix filter joins on these elements, the rarest first:
+   no pair is made that shares none of its rare ones, however many members a
+   band has. The pairs that come out are estimated from their bits, and
+   confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -37,13 +35,13 @@ from pyspark.sql import functions as F
 
 from quernel.llm import tokens
 from quernel.llm.components import components
-from quernel.llm.scratch import Scratch, width_for
+from quernel.llm.scratch import Scratch
 from quernel.llm.text import boxed, unboxed
 
 MINIMA = 128
 BITS = 2
-RARE = 16
-PARTS = 32
+#: Members that are compared with one copy of their centre.
+BLOCK = 512
 _U = np.uint64
 _SEEDS = np.random.default_rng(77)
 _A = _SEEDS.integers(0, 2**63, MINIMA, dtype=_U) * _U(2) + _U(1)
@@ -100,36 +98,36 @@ def _sketch(k: int, rows: int):
     return run
 
 
-def _shingle_lists(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in tokens.text_slices(batch.column("text")):
-                sh, first = tokens.shingles_of(tokens.words_of(data, offsets), k)
-                own = [np.unique(sh[first[i] : first[i + 1]]).view(np.int64) for i in range(hi - lo)]
-                cut = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(own)))], ["rep", "shingles"])
-
-    return run
+def _against(k: int, differences: bool):
+    """Compare members with their centre.
 
+    Rows come sorted by (a, block, role), so each centre (role 0) is read
+    before its members (role 1), which are compared one after another.
+    """
 
-def _confirm(k: int, per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-
+        centre = np.zeros(0, _U)
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            ok = np.zeros(len(a), bool)
-            for lo, hi, data, offsets in tokens.text_slices(batch.column("b_text")):
+            role = batch.column("role").to_numpy()
+            for lo, hi, data, offsets in tokens.text_slices(batch.column("text")):
                 sh, first = tokens.shingles_of(tokens.words_of(data, offsets), k)
+                at, size, both, diff = [], [], [], []
                 for i in range(hi - lo):
-                    if a[lo + i] != last[0]:
-                        raw = np.frombuffer((batch.column("a_text")[lo + i].as_py() or "").encode(), np.uint8)
-                        own, _ = tokens.shingles_of(tokens.words_of(raw, np.array([0, len(raw)])), k)
-                        last = (a[lo + i], np.unique(own))
-                    other = np.unique(sh[first[i] : first[i + 1]])
-                    both = len(np.intersect1d(last[1], other, assume_unique=True))
-                    ok[lo + i] = 100 * both >= per_cent * (len(last[1]) + len(other) - both) and both > 0
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["u", "v"])
+                    own = np.unique(sh[first[i] : first[i + 1]])
+                    if role[lo + i] == 0:
+                        centre = own
+                        continue
+                    common = len(np.intersect1d(centre, own, assume_unique=True))
+                    at.append(lo + i)
+                    size.append((len(centre), len(own)))
+                    both.append(common)
+                    if differences:
+                        diff.append(np.setxor1d(centre, own, assume_unique=True).view(np.int64))
+                sizes = np.array(size, np.int64).reshape(-1, 2)
+                part = batch.take(pa.array(at, pa.int64())).select(["a", "a_tag", "b", "b_tag"])
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in diff])]).astype(np.int32) if differences else np.zeros(len(at) + 1, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(diff) if diff else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes[:, 0].copy()), pa.array(sizes[:, 1].copy()), pa.array(np.array(both, np.int64)), lists], ["a", "a_tag", "b", "b_tag", "a_n", "b_n", "both", "diff"])
 
     return run
 
@@ -162,9 +160,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept`` marks its row. Null and empty texts are linked with nothing, as
     are rows with a null doc_id, whose component_id is null and which are
     kept. Equal texts are always in one group. Rows that share a doc_id are
-    all returned, are one node of the graph, and one of their texts stands
-    for it in comparisons. Other columns are ignored. An empty table gives an
-    empty result.
+    all returned and are one node of the graph, which has the links of all
+    their texts. Ids may be of any type that has an order. Very long texts
+    are read whole, one at a time. Other columns are ignored. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-dup")
@@ -173,88 +172,68 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A pair at the threshold falls below this estimate with odds under 1e-9: 6.1 standard deviations.
     agree = threshold + (1 - threshold) * 2.0**-BITS
     least = threshold - 6.1 * math.sqrt(agree * (1 - agree) / MINIMA) / (1 - 2.0**-BITS)
+    up, down = 100 + per_cent, 100 - per_cent
 
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
-    sketch = scratch.keep(own.mapInArrow(_sketch(k, rows), "doc_id long, version long, n long, s1 long, s2 long, bands array<long>, planes array<long>"))
-    width = width_for(spark, sketch.count())
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    sketch = scratch.keep(own.mapInArrow(_sketch(k, rows), f"doc_id {kind}, version long, n long, s1 long, s2 long, bands array<long>, planes array<long>"))
     live = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("version", "doc_id").alias("version"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes")), width=width)
-    reps = classes.dropDuplicates(["rep"])
-    member = reps.select(F.explode("bands").alias("key"), "rep", "n", "planes")
+    first_row = F.min(F.struct("doc_id", "version"))
+    # A doc_id may stand for several classes, if its rows have several texts; (rep, tag) is one of these.
+    classes = live.groupBy("s1", "s2").agg(first_row.alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
+    classes = scratch.keep(classes.select("s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.version").alias("tag"), "n", "bands", "planes"))
+    member = classes.select(F.explode("bands").alias("key"), "rep", "tag", "n", "planes")
 
     def close(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         return (F.least(n, m) * 100 >= F.greatest(n, m) * per_cent) & (similarity(x, y) >= least)
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """(rep, text) of some representatives."""
-        wanted = reps.select("rep", F.col("version").alias("r_version")).join(ids, "rep", "left_semi")
-        return scratch.keep(own.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("version") == F.col("r_version"))).select("rep", "text").dropDuplicates(["rep"]), width=width)
-
-    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links, from their texts."""
-        both = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text")), "a")
-        return scratch.keep(both.sortWithinPartitions("a").mapInArrow(_confirm(k, per_cent), "u long, v long"), width=width)
-
-    def common_at_most(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda t, a: t + a)
-
-    def may_link(shared: Column, x: Column, y: Column) -> Column:
-        """Whether sets of these sizes with so many common elements at most can reach the threshold."""
-        return 100 * shared >= per_cent * (x + y - shared)
+    def compared(pairs: DataFrame, differences: bool = False) -> DataFrame:
+        """(a, a_tag, b, b_tag, a_n, b_n, both, diff) of pairs with a centre a, on full sets.
+
+        A centre's members are dealt to blocks, each with one copy of the
+        centre's text; a block is read as a stream, so neither a large group
+        nor a long text gathers in one task.
+        """
+        blocks = pairs.groupBy("a", "a_tag").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        dealt = pairs.join(blocks, ["a", "a_tag"]).select("a", "a_tag", "b", "b_tag", F.pmod(F.xxhash64("b", "b_tag"), "blocks").alias("block"))
+        centres = dealt.select("a", "a_tag", "block").distinct().select("a", "a_tag", F.lit(None).cast(kind).alias("b"), F.lit(None).cast("long").alias("b_tag"), "block", F.lit(0).alias("role"), F.col("a").alias("want"), F.col("a_tag").alias("w_tag"))
+        wanted = scratch.keep(dealt.select("*", F.lit(1).alias("role"), F.col("b").alias("want"), F.col("b_tag").alias("w_tag")).unionByName(centres))
+        ids = wanted.select("want", "w_tag").distinct()
+        texts = own.join(ids, (own.doc_id == ids.want) & (own.version == ids.w_tag), "left_semi").dropDuplicates(["doc_id", "version"])
+        full = wanted.join(texts, (wanted.want == texts.doc_id) & (wanted.w_tag == texts.version)).select("a", "a_tag", "b", "b_tag", "block", "role", "text")
+        dense = full.repartition("a", "a_tag", "block").sortWithinPartitions("a", "a_tag", "block", "role")
+        return scratch.keep(dense.mapInArrow(_against(k, differences), f"a {kind}, a_tag long, b {kind}, b_tag long, a_n long, b_n long, both long, diff array<long>"))
+
+    def links(found: DataFrame) -> DataFrame:
+        return found.filter(100 * F.col("both") >= per_cent * (F.col("a_n") + F.col("b_n") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     # First pass: members with the smallest representative of their band.
-    band = member.groupBy("key").agg(F.min("rep").alias("c_rep"), F.count("*").alias("size")).filter("size > 1")
-    centre = member.alias("m").join(band.alias("b"), (F.col("m.key") == F.col("b.key")) & (F.col("m.rep") == F.col("b.c_rep"))).select(F.col("m.key").alias("key"), F.col("m.rep").alias("rep"), F.col("m.n").alias("n"), F.col("m.planes").alias("planes"))
-    centre = scratch.keep(centre, width=width)
-    stars = member.alias("x").join(centre.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") > F.col("y.rep")) & close("x", "y"))
-    first = scratch.keep(stars.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct(), width=width)
-    ends = first.select(F.col("a").alias("rep")).union(first.select(F.col("b").alias("rep"))).distinct()
-    links = confirmed(first, texts_of(ends))
-    found = components(links, scratch, width)
-
-    # Second pass: bands that hold several components.
-    placed = reps.join(found, reps.rep == found.node, "left").select("rep", "n", "planes", "bands", F.coalesce("component", "rep").alias("comp"))
-    placed = placed.select(F.explode("bands").alias("key"), "rep", "n", "planes", "comp").join(centre.select("key", F.col("rep").alias("c_rep")), "key")
-    main = scratch.keep(found.select(F.col("node").alias("c_node"), F.col("component").alias("c_comp")), width=width)
-    placed = scratch.keep(placed.join(main, placed.c_rep == main.c_node, "left").select("key", "rep", "n", "planes", "comp", F.coalesce("c_comp", "c_rep").alias("main")), width=width)
-    odd = placed.filter("comp <> main")
-    others = placed.join(odd.select("key").distinct(), "key", "left_semi")
-
-    def crossing(x: str, y: str) -> Column:
-        return (F.col(f"{x}.key") == F.col(f"{y}.key")) & (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & close(x, y)
-
-    # those that have any candidate of another component at all
-    left = odd.alias("x").join(others.alias("y"), crossing("x", "y"), "left_semi").select("rep").distinct()
-    right = others.alias("x").join(odd.alias("y"), crossing("x", "y"), "left_semi").select("rep").distinct()
-    open_ = scratch.keep(left.union(right).distinct(), width=width)
-    if not open_.isEmpty():
-        texts = texts_of(open_)
-        shingles = scratch.keep(texts.mapInArrow(_shingle_lists(k), "rep long, shingles array<long>"), width=width)
-        each = shingles.select("rep", F.explode("shingles").alias("shingle"))
-        held = each.groupBy("shingle").agg(F.count("*").alias("docs")).filter("docs > 1")
-        shared = scratch.keep(each.join(held, "shingle"), width=width)
-        part = F.pmod("shingle", F.lit(PARTS))
-        common = shared.filter(F.col("docs") > RARE).groupBy("rep").agg(F.array(*[F.count_if(part == g).cast("int") for g in range(PARTS)]).alias("common"))
-        sizes = reps.select("rep", "n").join(open_, "rep", "left_semi").join(common, "rep", "left").join(placed.select("rep", "comp").distinct(), "rep").select("rep", "n", "comp", F.coalesce("common", F.array_repeat(F.lit(0), PARTS)).alias("common"))
-        sizes = scratch.keep(sizes, width=width)
-        # pairs that share rare shingles, and how many: at most RARE documents have one
-        holders = shared.filter(F.col("docs") <= RARE).groupBy("shingle").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
-        listed = holders.select(F.explode(F.flatten(F.transform("reps", lambda a, i: F.transform(F.filter("reps", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("rare"))
-        of_a, of_b = sizes.select(*[F.col(c).alias(f"a_{c}") for c in sizes.columns]), sizes.select(*[F.col(c).alias(f"b_{c}") for c in sizes.columns])
-        listed = listed.join(of_a, F.col("a") == F.col("a_rep")).join(of_b, F.col("b") == F.col("b_rep")).filter("a_comp <> b_comp").filter(may_link(common_at_most("a_common", "b_common") + F.col("rare"), F.col("a_n"), F.col("b_n"))).select("a", "b")
-        # pairs that share none
-        with_common = lambda df: df.join(sizes.select("rep", "common"), "rep")
-        cross = with_common(odd).alias("x").join(
-            with_common(others).alias("y"),
-            ((F.col("x.rep") < F.col("y.rep")) | (F.col("y.comp") == F.col("y.main"))) & crossing("x", "y") & may_link(common_at_most("x.common", "y.common"), F.col("x.n"), F.col("y.n")),
-        )
-        cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        second = scratch.keep(listed.union(cross).distinct().join(first, ["a", "b"], "left_anti"), width=width)
-        more = confirmed(second, texts)
+    centre = member.groupBy("key").agg(F.min(F.struct("rep", "tag", "n", "planes")).alias("c"), F.count("*").alias("size")).filter("size > 1").select("key", "size", "c.*")
+    centre = scratch.keep(centre)
+    stars = member.alias("x").join(centre.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & close("x", "y"))
+    stars = scratch.keep(stars.select(F.col("y.rep").alias("a"), F.col("y.tag").alias("a_tag"), F.col("x.rep").alias("b"), F.col("x.tag").alias("b_tag")).distinct())
+    edges = links(compared(stars))
+    # Rows that share a doc_id join their classes.
+    placed = live.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
+    several = placed.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u"), F.count_distinct("rep").alias("n")).filter("n > 1").select("doc_id")
+    shared = placed.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    edges = scratch.keep(edges.union(shared.filter("u <> v")).distinct())
+    found = components(edges, scratch)
+
+    # Second pass: bands of three or more that hold several components.
+    component = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    placed = classes.join(component, "rep", "left").select(F.explode("bands").alias("key"), "rep", "tag", "n", F.coalesce("comp", "rep").alias("comp"))
+    centres = centre.filter("size > 2").select("key", F.col("rep").alias("a"), F.col("tag").alias("a_tag"), F.col("n").alias("c_n"))
+    centres = centres.join(component.select(F.col("rep").alias("a"), F.col("comp").alias("c_comp")), "a", "left").withColumn("main", F.coalesce("c_comp", "a")).drop("c_comp")
+    mates = placed.join(centres, "key").filter((F.col("rep") != F.col("a")) | (F.col("tag") != F.col("a_tag")))
+    odd_keys = mates.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("comp") != F.col("main")).alias("odd")).filter("odd AND n > 1").select("key")
+    mates = scratch.keep(mates.join(odd_keys, "key", "left_semi").select("a", "a_tag", F.col("rep").alias("b"), F.col("tag").alias("b_tag"), "comp", "main").distinct())
+    if not mates.isEmpty():
+        more = scratch.keep(links(compared(_second_candidates(compared(mates.select("a", "a_tag", "b", "b_tag"), True), mates, classes, up, down, close, scratch))))
         if not more.isEmpty():
             # stars of the first pass stand for its links
-            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch, width)
+            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
 
     groups = classes.join(found, classes.rep == found.node, "left").select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), F.coalesce("component", "rep").alias("component"))
     out = sketch.join(groups, (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
@@ -262,8 +241,71 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """The documents without the near-duplicates of a smaller doc_id; rows with a null doc_id stay."""
-    dropped = near_duplicates(docs, doc_id, text, k, per_cent, scratch).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
+def _second_candidates(against: DataFrame, mates: DataFrame, classes: DataFrame, up: int, down: int, close, scratch: Scratch) -> DataFrame:
+    """Pairs (a, a_tag, b, b_tag) of members of one centre, of different components, that may be linked.
+
+    With S(x) = up * |D(x)| - down * |x|, up and down being 100 plus and
+    minus the threshold, x and y are linked exactly if
+    S(x) + S(y) <= 2 * up * |D(x) & D(y)|. Where S(x) + S(y) <= 0 they are,
+    and so is each with the member of the smallest S. Otherwise they share
+    at least (S(x) + S(y)) / (2 * up) elements. Elements that only one
+    member has are left out first; a member that then has too few left for
+    its easiest partner is out, and of all others those elements count that
+    a partner cannot miss all of.
+    """
+    group, me = ["a", "a_tag"], ["b", "b_tag"]
+    rows = against.join(mates, [*group, *me]).select(*group, *me, "diff", "comp", (F.col("comp") != F.col("main")).alias("odd"), (F.size("diff") * F.lit(up) - F.col("b_n") * down).cast("long").alias("s"))
+    rows = scratch.keep(rows)
+    bounds = rows.groupBy(*group).agg(F.min("s").alias("s_all"), F.min(F.when(F.col("odd"), F.col("s"))).alias("s_odd"), F.min_by(F.struct(*me, "comp", "s"), F.struct("s", *me)).alias("near"))
+    bounds = scratch.keep(bounds)
+    # near the centre: all with the nearest one
+    near = rows.join(bounds.select(*group, "near"), group).filter((F.col("s") + F.col("near.s") <= 0) & (F.col("comp") != F.col("near.comp")))
+    near = near.select(F.col("near.b").alias("a"), F.col("near.b_tag").alias("a_tag"), "b", "b_tag")
+
+    each = rows.select(*group, *me, F.explode("diff").alias("e"))
+    held = each.groupBy(*group, "e").agg(F.count("*").alias("df")).filter("df > 1")
+    listed = each.join(held, [*group, "e"]).groupBy(*group, *me).agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    of = rows.drop("diff").join(listed, [*group, *me]).join(bounds.drop("near"), group)
+
+    def share(s: Column, other: Column) -> Column:
+        """Elements that a partner of this S shares at least, if the pair is not near the centre."""
+        return F.greatest(F.lit(1), F.ceil((s + other) / F.lit(2 * up)))
+
+    size = F.size("es")
+    prefix_odd, prefix_all = size - share(F.col("s"), F.col("s_odd")) + 1, size - share(F.col("s"), F.col("s_all")) + 1
+    longest = F.when(F.col("odd"), F.greatest(prefix_odd, prefix_all)).otherwise(prefix_odd)
+    entries = of.withColumn("prefix_odd", prefix_odd).withColumn("prefix", longest).filter("prefix > 0 AND s_odd IS NOT NULL")
+    entries = entries.select(*group, *me, "comp", "odd", "s", size.alias("f"), "prefix_odd", F.posexplode(F.slice("es", F.lit(1), F.col("prefix").cast("int"))).alias("pos", "x"))
+    entries = scratch.keep(entries.select(*group, *me, "comp", "odd", "s", "f", "pos", (F.col("pos") < F.col("prefix_odd")).alias("tight"), F.col("x.e").alias("e")))
+
+    def joined(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+        x, y = left.alias("x"), right.alias("y")
+        same = (F.col("x.a") == F.col("y.a")) & (F.col("x.a_tag") == F.col("y.a_tag")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") != F.col("y.comp"))
+        if once:
+            same = same & (F.col("x.b") < F.col("y.b"))
+        # from the first element that they share on, either has so many left at most
+        left_over = F.least(F.col("x.f") - F.col("x.pos"), F.col("y.f") - F.col("y.pos"))
+        total = F.col("x.s") + F.col("y.s")
+        pairs = x.join(y, same & (total > 0) & (left_over * (2 * up) >= total))
+        return pairs.select(F.col("x.b").alias("a"), F.col("x.b_tag").alias("a_tag"), F.col("y.b").alias("b"), F.col("y.b_tag").alias("b_tag"))
+
+    odd = entries.filter("odd")
+    pairs = joined(odd.filter("tight"), odd.filter("tight"), True).union(joined(odd, entries.filter("NOT odd AND tight"), False)).distinct()
+    of_a = classes.select(F.col("rep").alias("a"), F.col("tag").alias("a_tag"), "n", "planes").alias("x")
+    of_b = classes.select(F.col("rep").alias("b"), F.col("tag").alias("b_tag"), "n", "planes").alias("y")
+    pairs = pairs.join(of_a, group).join(of_b, me).filter(close("x", "y")).select(*group, *me)
+    return scratch.keep(near.union(pairs).distinct())
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, further: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """The documents without the near-duplicates of a smaller doc_id; rows with a null doc_id stay.
+
+    ``further`` holds other texts of the same documents, (doc_id, text), as
+    they were before an earlier step cut them: a document has the links of
+    all its texts.
+    """
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    texts = texts if further is None else texts.unionByName(further.select("doc_id", "text"))
+    dropped = near_duplicates(texts, k=k, per_cent=per_cent, scratch=scratch).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
     rows = boxed(docs, doc_id=doc_id)
     return unboxed(rows.join(dropped, rows.doc_id == dropped.dropped_id, "left_anti"), docs.columns)

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where that is unset, as in local tests, a temporary one."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one serves sessions whose executors run
+    in the driver's own process, as in local tests; on a cluster no other
+    machine could read it, so there that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quernel-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def width_for(spark: SparkSession, rows: int, per_file: int = 50_000) -> int:
-    """Files for so many rows: grows with them, and keeps every core busy."""
-    return max(spark.sparkContext.defaultParallelism, rows // per_file)
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Scratch:
@@ -27,32 +35,35 @@ class Scratch:
 
     A written table cuts lineage: losing an executor costs the tasks that it
     ran, not the steps before. The tables stay for as long as results are
-    read from them; ``clear()`` removes them.
+    read from them; ``drop()`` removes one that nothing reads any more, and
+    ``clear()`` all.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._where: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
-    def keep(self, df: DataFrame, partition_by: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Write ``df`` as Parquet and return it as read again.
 
-        ``width``: at most so many files, for tables that are small beside the
-        shuffles they come from; a folder of many tiny files costs more than
-        the tasks it saves.
+        The partitions are those of the plan: adaptive execution joins small
+        ones and splits skewed ones, so nothing here fixes their number.
         """
-        where = f"{self.path}/{self._n}"
-        self._n += 1
-        df = df.coalesce(width) if width else df
+        where = self.place()
         df.write.partitionBy(*partition_by).parquet(where) if partition_by else df.write.parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
+        out = self.spark.read.schema(df.schema).parquet(where)
+        self._where[out] = where
+        return out
 
     def place(self) -> str:
         self._n += 1
         return f"{self.path}/{self._n - 1}"
 
+    def drop(self, df: DataFrame) -> None:
+        """Remove a kept table that no result reads."""
+        _delete(self.spark, self._where.pop(df))
+
     def clear(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,31 +10,18 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=_U) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+#: Words over so many bytes are hashed one by one, by blake2b.
+LONG_WORD = 256
+#: A random number for each byte at each place of a word: simple tabulation hashing, whose sums no arithmetic pattern of bytes can cancel.
+_TABLE = np.random.default_rng(20240229).integers(0, 2**64, LONG_WORD * 256, dtype=_U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 11, 12, 13, 32]] = False
-_powers: dict[int, np.ndarray] = {}
-#: Bytes hashed at a time; a longer word is hashed at once.
+#: Bytes hashed at a time.
 BLOCK = 1 << 19
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK * 2)
-        have = np.full(size, base, _U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on every input bit."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -64,16 +52,26 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     after[inner[inner > 0] - 1] = False
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
     hashes = np.empty(len(starts), _U)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
     at = 0
     while at < len(starts):  # in blocks, so that working arrays stay small whatever the length of a text
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
-        base, size = starts[at], int(ends[to - 1] - starts[at])
+        if to == at + 1 and ends[at] - starts[at] > LONG_WORD:
+            at = to
+            continue
+        base, size = starts[at], int(min(ends[to - 1], starts[to - 1] + LONG_WORD) - starts[at])
+        begin = starts[at:to] - base
+        place = np.zeros(size, np.int32)
+        place[begin] = begin
+        np.maximum.accumulate(place, out=place)
+        place = np.minimum(np.arange(size, dtype=np.int32) - place, LONG_WORD - 1)
         total = np.zeros(size + 1, _U)
-        np.cumsum(_BYTE[low[base : base + size]] * _power(_BASE, size), out=total[1:])
-        begin, end = starts[at:to] - base, ends[at:to] - base
-        # length goes in too: a sum of powers cannot tell trailing symbols that cancel
-        hashes[at:to] = mix((total[end] - total[begin]) * _power(_INVERSE, size)[begin] + (end - begin).astype(_U))
+        np.cumsum(_TABLE[place << 8 | low[base : base + size]], out=total[1:])
+        end = np.minimum(ends[at:to] - base, size)
+        hashes[at:to] = mix(total[end] - total[begin] + (end - begin).astype(_U))
         at = to
+    for i in long:
+        hashes[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return Words(low, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 

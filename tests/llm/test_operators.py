@@ -61,25 +61,26 @@ def unique_rows():
 
 
 def links_brute(rows, k, per_cent):
-    sets = {}
+    """{id: (size of the last text's set, smallest id of its group)}; rows that share an id are one node."""
+    sets = []
     for i, t, _ in rows:
         w = words(t or "")
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
-    root = {i: i for i in sets}
+        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()))
+    root = {i: i for i, _ in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and sets[j]:
-                both = len(sets[i] & sets[j])
-                if 100 * both >= per_cent * (len(sets[i]) + len(sets[j]) - both):
+    for n, (i, x) in enumerate(sets):
+        for j, y in sets[n + 1 :]:
+            if i != j and x and y:
+                both = len(x & y)
+                if 100 * both >= per_cent * (len(x) + len(y) - both):
                     a, b = sorted((find(i), find(j)))
                     root[b] = a
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return {i: (len(x), find(i)) for i, x in sets}
 
 
 @pytest.mark.parametrize(("k", "per_cent"), [(3, 85), (5, 80)])
@@ -105,6 +106,54 @@ def test_near_duplicates_of_a_crowd(spark):
     assert got == links_brute(rows, 3, 85)
 
 
+def test_near_duplicates_of_a_far_crowd(spark):
+    """A crowd in which almost nothing is linked, around a centre that is not there."""
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        w = [f"w{j}" for j in range(120)]
+        for p in r.sample(range(120), r.choice([2, 3, 4])):
+            w[p] = f"v{r.randrange(30)}"
+        rows.append((i, " ".join(w), None))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(frame(spark, rows), k=3, per_cent=85).collect()}
+    assert got == links_brute(rows, 3, 85)
+
+
+def test_near_duplicates_of_repeated_and_string_ids(spark):
+    """Rows that share an id keep the links of all their texts, whatever the order of rows."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a, None), (3, b, None), (7, b + " more", None), (5, a.upper(), None), (9, a + " b", None), (9, "quite another text of this id", None), (11, "quite another text of this id", None), (12, b, None)]
+    for order in (rows, rows[::-1]):
+        got = {(x.doc_id, x.component_id) for x in neardup.near_duplicates(frame(spark, order), k=3, per_cent=85).collect()}
+        assert got == {(i, 3) for i in (3, 5, 7, 9, 11, 12)}
+    named = spark.createDataFrame([(f"d{i:02d}", t) for i, t, _ in rows], "doc_id string, text string")
+    assert {(x.doc_id, x.component_id) for x in neardup.near_duplicates(named, k=3, per_cent=85).collect()} == {(f"d{i:02d}", "d03") for i in (3, 5, 7, 9, 11, 12)}
+
+
+def mirrored_words(n=1024):
+    """Two words that hashes by sums of powers modulo 2**64 cannot tell apart."""
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return ("".join("ab"[x] for x in out), "".join("ba"[x] for x in out))
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024])
+def test_words_of_a_known_construction_differ(spark, n):
+    x, y = mirrored_words(n)
+    data = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
+    h = tokens.words_of(data, np.array([0, len(data)])).hashes
+    assert h[0] == h[2] != h[1]
+    df = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert {r.component_id for r in neardup.near_duplicates(df, k=3, per_cent=85).collect()} == {1, 2}
+    assert {(r.doc_id, r.n_known) for r in ngramlm.score_texts(df, F.col("doc_id") == 2).collect()} == {(1, 2), (2, 1)}
+    pieces = {b"a", b"b", x.encode()}
+    machine = wordpiece.LongestMatch(pieces)
+    assert machine.counts(tokens.words_of(data, np.array([0, len(data)]))).tolist() == [1, greedy(y.encode(), pieces, pieces), 1]
+    ws = tokens.words_of(data, np.array([0, len(data)]))
+    assert len(toxicity.distinct_words(ws)[0]) == 2
+
+
 def test_near_duplicates_odd_rows(spark, rows):
     got = neardup.near_duplicates(frame(spark, rows)).collect()
     assert len(got) == len(rows)

@@ -69,7 +69,11 @@ def test_stages(spark, sf_dir):
 
     near = stages["near dedup"](spark, lines, sf_dir)
     assert near.columns == columns
-    groups = links_brute([(i, t, None) for i, t in want.items() if i is not None], 5, 80)
+    # a near copy has lost the lines that it shares, and is known by its whole text
+    whole = [(x.doc_id, x.text, None) for x in docs.collect() if x.doc_id is not None and x.doc_id in want]
+    groups = links_brute(whole + [(i, t, None) for i, t in want.items() if i is not None], 5, 80)
+    copies = {i for i in range(400, 440) if groups[i][1] != i}
+    assert len(copies) > 20 and not copies & {x.doc_id for x in near.collect()}
     assert {x.doc_id for x in near.collect()} == {None} | {i for i, (_, c) in groups.items() if c == i}
 
     safe = stages["decontamination"](spark, near, sf_dir)
