@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,12 +182,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A doc_id may stand for several classes, if its rows have several texts; (rep, tag) is one of these.
     classes = live.groupBy("s1", "s2").agg(first_row.alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     classes = scratch.keep(classes.select("s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.version").alias("tag"), "n", "bands", "planes"))
-    member = classes.select(F.explode("bands").alias("key"), "rep", "tag", "n", "planes")
+    # Bands of two or more; the rows carry ids alone, as most bands have one member and go no further.
+    member = classes.select(F.explode("bands").alias("key"), "rep", "tag")
+    band = member.groupBy("key").agg(F.min("rep").alias("c_rep"), F.count("*").alias("size")).filter("size > 1")
+    member = scratch.keep(member.join(band, "key"))
+    of_a = classes.select(F.col("rep").alias("a"), F.col("tag").alias("a_tag"), "n", "planes").alias("x")
+    of_b = classes.select(F.col("rep").alias("b"), F.col("tag").alias("b_tag"), "n", "planes").alias("y")
 
     def close(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         return (F.least(n, m) * 100 >= F.greatest(n, m) * per_cent) & (similarity(x, y) >= least)
 
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, a_tag, b, b_tag) whose sizes and bits allow a link."""
+        return pairs.join(of_a, ["a", "a_tag"]).join(of_b, ["b", "b_tag"]).filter(close("x", "y")).select("a", "a_tag", "b", "b_tag")
+
     def compared(pairs: DataFrame, differences: bool = False) -> DataFrame:
         """(a, a_tag, b, b_tag, a_n, b_n, both, diff) of pairs with a centre a, on full sets.
 
@@ -199,8 +208,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         dealt = pairs.join(blocks, ["a", "a_tag"]).select("a", "a_tag", "b", "b_tag", F.pmod(F.xxhash64("b", "b_tag"), "blocks").alias("block"))
         centres = dealt.select("a", "a_tag", "block").distinct().select("a", "a_tag", F.lit(None).cast(kind).alias("b"), F.lit(None).cast("long").alias("b_tag"), "block", F.lit(0).alias("role"), F.col("a").alias("want"), F.col("a_tag").alias("w_tag"))
         wanted = scratch.keep(dealt.select("*", F.lit(1).alias("role"), F.col("b").alias("want"), F.col("b_tag").alias("w_tag")).unionByName(centres))
-        ids = wanted.select("want", "w_tag").distinct()
-        texts = own.join(ids, (own.doc_id == ids.want) & (own.version == ids.w_tag), "left_semi").dropDuplicates(["doc_id", "version"])
         full = wanted.join(texts, (wanted.want == texts.doc_id) & (wanted.w_tag == texts.version)).select("a", "a_tag", "b", "b_tag", "block", "role", "text")
         dense = full.repartition("a", "a_tag", "block").sortWithinPartitions("a", "a_tag", "block", "role")
         return scratch.keep(dense.mapInArrow(_against(k, differences), f"a {kind}, a_tag long, b {kind}, b_tag long, a_n long, b_n long, both long, diff array<long>"))
@@ -209,10 +216,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return found.filter(100 * F.col("both") >= per_cent * (F.col("a_n") + F.col("b_n") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     # First pass: members with the smallest representative of their band.
-    centre = member.groupBy("key").agg(F.min(F.struct("rep", "tag", "n", "planes")).alias("c"), F.count("*").alias("size")).filter("size > 1").select("key", "size", "c.*")
-    centre = scratch.keep(centre)
-    stars = member.alias("x").join(centre.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & close("x", "y"))
-    stars = scratch.keep(stars.select(F.col("y.rep").alias("a"), F.col("y.tag").alias("a_tag"), F.col("x.rep").alias("b"), F.col("x.tag").alias("b_tag")).distinct())
+    centre = member.filter("rep = c_rep").select("key", F.col("rep").alias("a"), F.col("tag").alias("a_tag"))
+    stars = member.filter("rep <> c_rep").join(centre, "key").select("a", "a_tag", F.col("rep").alias("b"), F.col("tag").alias("b_tag")).distinct()
+    stars = scratch.keep(candidates(stars))
+    # The texts of all that either pass may compare are looked up once.
+    ids = stars.select(F.col("a").alias("want"), F.col("a_tag").alias("w_tag")).union(stars.select("b", "b_tag")).union(member.filter("size > 2").select("rep", "tag")).distinct()
+    texts = scratch.keep(own.join(ids, (own.doc_id == ids.want) & (own.version == ids.w_tag), "left_semi").dropDuplicates(["doc_id", "version"]))
     edges = links(compared(stars))
     # Rows that share a doc_id join their classes.
     placed = live.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
@@ -223,14 +232,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Second pass: bands of three or more that hold several components.
     component = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    placed = classes.join(component, "rep", "left").select(F.explode("bands").alias("key"), "rep", "tag", "n", F.coalesce("comp", "rep").alias("comp"))
-    centres = centre.filter("size > 2").select("key", F.col("rep").alias("a"), F.col("tag").alias("a_tag"), F.col("n").alias("c_n"))
-    centres = centres.join(component.select(F.col("rep").alias("a"), F.col("comp").alias("c_comp")), "a", "left").withColumn("main", F.coalesce("c_comp", "a")).drop("c_comp")
-    mates = placed.join(centres, "key").filter((F.col("rep") != F.col("a")) | (F.col("tag") != F.col("a_tag")))
+    comps = lambda name, out: component.select(F.col("rep").alias(name), F.col("comp").alias(out))
+    placed = member.filter("size > 2").join(comps("rep", "r_comp"), "rep", "left").join(comps("c_rep", "c_comp"), "c_rep", "left")
+    placed = placed.select("key", "rep", "tag", "c_rep", F.coalesce("r_comp", "rep").alias("comp"), F.coalesce("c_comp", "c_rep").alias("main"))
+    mates = placed.filter("rep <> c_rep").join(centre, "key")
     odd_keys = mates.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("comp") != F.col("main")).alias("odd")).filter("odd AND n > 1").select("key")
     mates = scratch.keep(mates.join(odd_keys, "key", "left_semi").select("a", "a_tag", F.col("rep").alias("b"), F.col("tag").alias("b_tag"), "comp", "main").distinct())
     if not mates.isEmpty():
-        more = scratch.keep(links(compared(_second_candidates(compared(mates.select("a", "a_tag", "b", "b_tag"), True), mates, classes, up, down, close, scratch))))
+        more = scratch.keep(links(compared(_second_candidates(compared(mates.select("a", "a_tag", "b", "b_tag"), True), mates, candidates, up, down, scratch))))
         if not more.isEmpty():
             # stars of the first pass stand for its links
             found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
@@ -241,7 +250,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _second_candidates(against: DataFrame, mates: DataFrame, classes: DataFrame, up: int, down: int, close, scratch: Scratch) -> DataFrame:
+def _second_candidates(against: DataFrame, mates: DataFrame, candidates: Callable[[DataFrame], DataFrame], up: int, down: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, a_tag, b, b_tag) of members of one centre, of different components, that may be linked.
 
     With S(x) = up * |D(x)| - down * |x|, up and down being 100 plus and
@@ -291,10 +300,7 @@ def _second_candidates(against: DataFrame, mates: DataFrame, classes: DataFrame,
 
     odd = entries.filter("odd")
     pairs = joined(odd.filter("tight"), odd.filter("tight"), True).union(joined(odd, entries.filter("NOT odd AND tight"), False)).distinct()
-    of_a = classes.select(F.col("rep").alias("a"), F.col("tag").alias("a_tag"), "n", "planes").alias("x")
-    of_b = classes.select(F.col("rep").alias("b"), F.col("tag").alias("b_tag"), "n", "planes").alias("y")
-    pairs = pairs.join(of_a, group).join(of_b, me).filter(close("x", "y")).select(*group, *me)
-    return scratch.keep(near.union(pairs).distinct())
+    return scratch.keep(near.union(candidates(pairs)).distinct())
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, further: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
