@@ -39,7 +39,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unigram and bigram scores of every text; the model learns from nine tenths of them."""
+    """Unigram and trigram scores of every text; the model learns from nine tenths of them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngramlm.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
 
