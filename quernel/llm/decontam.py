@@ -3,22 +3,25 @@
 Texts and benchmark items become sequences of canonical words: numbers,
 units and names are replaced by typed placeholders, all else is lower-cased.
 Windows of canonical words are hash-joined; matches along one diagonal (place
-in the text minus place in the item) are one occurrence, whose placeholders
-must be filled consistently: one value of the text for one value of the item.
-A conflict splits the occurrence there. So verbatim copies match, and so do questions whose
-numbers, names and units were exchanged. Which words are names depends on
-their case; windows of the plain lower-cased words are joined too, so that
-verbatim copies match in any case.
+in the text minus place in the item) are one occurrence. Its placeholders
+must be filled consistently: each value of the item stands for the value of
+the text that most of its windows give it, and windows that say otherwise do
+not count. So verbatim copies match, and so do questions whose numbers, names
+and units were exchanged throughout. Which words are names depends on their
+case, and a window of placeholders alone would match anything; windows of the
+plain lower-cased words are joined too, so that verbatim copies match in any
+case and whatever they consist of.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernel.llm.licenses import license_words
 from quernel.llm.scratch import Scratch
-from quernel.llm.text import boxed, unboxed
+from quernel.llm.text import bound, boxed, unboxed
 
 # Units that a re-parameterised question may exchange.
 UNITS = [
@@ -27,8 +30,8 @@ UNITS = [
     "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "kmh", "mph", "degrees", "watt", "watts", "volt", "volts", "joule", "joules", "newton", "newtons",
 ]
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
-#: Benchmark windows up to this many are broadcast (24 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmark windows are broadcast up to this many bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def canonical(word: Column) -> Column:
@@ -43,7 +46,22 @@ def canonical(word: Column) -> Column:
 
 
 def window_hashes(words: Column, size: int) -> Column:
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    """A hash of each window of ``size`` words: words are hashed once, windows from the hashes of their halves."""
+
+    def join(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda a, b: F.xxhash64(a, b))
+
+    def powers(h: Column, step: int) -> Column:
+        if step * 2 <= size:
+            return bound(join(h, F.slice(h, step + 1, F.size(h))), lambda x: powers(x, step * 2))
+        return h
+
+    def odd(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(F.slice(h, i, size)))
+
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    of = bound(hashed, (lambda h: F.slice(powers(h, 1), 1, F.size(words) - size + 1)) if size & (size - 1) == 0 else odd)
+    return F.when(F.size(words) >= size, of).otherwise(F.array().cast("array<bigint>"))
 
 
 def _lowered(plain: str) -> Column:
@@ -56,24 +74,6 @@ def _slots(canon: str, plain: str, start: Column, size: int) -> Column:
     return F.transform(F.filter(pairs, lambda x: F.substring(x.getField("c"), 1, 1) == "<"), lambda x: F.concat(F.substring(x.getField("c"), 1, 2), F.lower(x.getField("p"))))
 
 
-def _is_map(pairs: Column) -> Column:
-    """Whether each item value of distinct pairs has one text value."""
-    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p.getField("i"))))
-
-
-def _parts(hits: str) -> Column:
-    """(part, at) of each window of one diagonal in order: a window whose values conflict with its part opens the next."""
-
-    def add(state: Column, hit: Column) -> Column:
-        joint = F.array_union(state.getField("bound"), hit.getField("pairs"))
-        part = F.when(_is_map(joint), state.getField("part")).otherwise(state.getField("part") + 1)
-        bound = F.when(_is_map(joint), joint).otherwise(hit.getField("pairs"))
-        return F.struct(part.alias("part"), bound.alias("bound"), F.concat(state.getField("parts"), F.array(F.struct(part.alias("part"), hit.getField("at").alias("at")))).alias("parts"))
-
-    nothing = F.struct(F.lit(0).alias("part"), F.array().cast("array<struct<i:string,d:string>>").alias("bound"), F.array().cast("array<struct<part:int,at:int>>").alias("parts"))
-    return F.aggregate(F.sort_array(hits), nothing, add, lambda state: state.getField("parts"))
-
-
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -90,20 +90,22 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document and item that leaks into it: doc_id, item_id, share, run_words, verbatim.
 
-    A window matches by its template, or by its lower-cased words alone. An
-    occurrence counts if its placeholders are consistent: along a diagonal,
-    a window whose values conflict with those before it opens a new part, and
-    the longest part counts, with all windows that hold the item's own values.
-    ``share`` is the share of the item's windows that count, ``run_words`` the
-    words of the longest part, ``verbatim`` whether all values of the longest
-    occurrence equal the item's. A pair is reported from ``min_share`` or
-    ``min_run`` on. Items of ``min_item_words`` to ``window`` - 1 words are one
-    window of their own length; shorter ones match nothing, and so do windows
-    with under ``min_literals`` words that are no placeholders.
+    A window of an item counts if a window of the text has its lower-cased
+    words, or its template with values that agree with those of most windows
+    of the occurrence. Templates with under ``min_literals`` words that are
+    no placeholders are not searched, nor is that of an item of one window,
+    which would be found in whatever is phrased like it: for these only the
+    words count. ``share`` is the share of the item's windows that count,
+    ``run_words`` the words of the longest run of windows, one after another,
+    that count, ``verbatim`` whether in the occurrence with most windows all
+    have the item's own words. A pair is reported from ``min_share`` or
+    ``min_run`` on. Items of ``min_item_words`` to ``window`` - 1 words are
+    one window of their own length; shorter ones match nothing.
 
     Null and empty texts have no windows. Null ids are reported as null.
     Rows that share a doc_id are searched each, and reported as one; so are
-    items that share an item_id. Other columns are ignored. Empty tables give
+    items that share an item_id. Very long texts are one row each; only
+    windows that hit leave it. Other columns are ignored. Empty tables give
     an empty result.
 
     A first pass finds the documents that have any window of the benchmark,
@@ -114,17 +116,24 @@ def find_leaks(
     scratch = scratch or Scratch(spark, "decontaminate")
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), license_words(F.coalesce(F.col(f"`{item_text}`"), F.lit(""))).alias("plain")).withColumn("canon", F.transform("plain", canonical)).filter(F.size("plain") >= min_item_words)
     n = F.size("plain")
-    template = F.struct(F.xxhash64("piece").alias("h"), _slots("canon", "plain", F.col("at"), F.col("size")).alias("item_slots"))
-    literal = F.struct(F.xxhash64(F.slice(_lowered("plain"), F.col("at"), F.col("size"))).alias("h"), F.array().cast("array<string>").alias("item_slots"))
-    item_windows = scratch.keep(
-        items.select("item_id", "plain", "canon", F.least(n, F.lit(window)).alias("size"), F.explode(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))).alias("at"))
-        .withColumn("piece", F.slice("canon", F.col("at"), F.col("size")))
-        .filter(F.size(F.filter("piece", lambda w: F.substring(w, 1, 1) != "<")) >= min_literals)
-        .select("item_id", "size", "at", F.greatest(F.size("plain") - window + 1, F.lit(1)).alias("of"), F.explode(F.array_distinct(F.array(template, literal))).alias("w"))
-        .select("item_id", "size", "at", "of", "w.h", "w.item_slots")
-    )
-    told = item_windows.agg(F.count("*"), F.collect_set("size")).head()
-    sizes, few = sorted(told[1]), told[0] <= BROADCAST_WINDOWS
+    # one array of windows for each length that items have
+    lengths = sorted(r.size for r in items.select(F.least(n, F.lit(window)).alias("size")).distinct().collect())
+
+    def of_item(words: str) -> Column:
+        out = F.array().cast("array<bigint>")
+        for s in lengths:
+            out = F.when(F.col("size") == s, window_hashes(F.col(words), s)).otherwise(out)
+        return out
+
+    placed = items.withColumn("size", F.least(n, F.lit(window))).withColumn("low", _lowered("plain")).withColumn("of", F.greatest(n - window + 1, F.lit(1)))
+    placed = placed.select("item_id", "plain", "canon", "size", "of", F.posexplode(F.arrays_zip(of_item("canon").alias("t"), of_item("low").alias("l"))).alias("pos", "h")).withColumn("at", F.col("pos") + 1)
+    literals = F.size(F.filter(F.slice("canon", F.col("at"), F.col("size")), lambda w: F.substring(w, 1, 1) != "<"))
+    none = F.lit(None).cast("array<string>")
+    template = F.when((literals >= min_literals) & (F.col("of") > 1), F.struct(F.col("h.t").alias("h"), _slots("canon", "plain", F.col("at"), F.col("size")).alias("item_slots")))
+    literal = F.struct(F.col("h.l").alias("h"), none.alias("item_slots"))
+    item_windows = scratch.keep(placed.select("item_id", "size", "at", "of", F.explode(F.array(literal, template)).alias("w")).filter("w IS NOT NULL").select("item_id", "size", "at", "of", "w.h", "w.item_slots"))
+    told = item_windows.agg(F.sum(64 + F.coalesce(F.aggregate("item_slots", F.lit(0), lambda t, x: t + F.length(x) + 16), F.lit(0)))).head()
+    sizes, few = lengths, (told[0] or 0) <= BROADCAST_BYTES
 
     def maybe_broadcast(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
@@ -132,36 +141,39 @@ def find_leaks(
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     worded = own.withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical)).withColumn("low", _lowered("plain"))
     every = F.concat(*[window_hashes(words, s) for s in sizes for words in (F.col("canon"), F.col("low"))]) if sizes else F.array().cast("array<bigint>")
-    touched = scratch.keep(worded.select("doc_id", "version", F.explode(F.array_distinct(every)).alias("h")).join(maybe_broadcast(item_windows.select("h").distinct()), "h", "left_semi").select("doc_id", "version").distinct())
+    touched = scratch.keep(worded.select("doc_id", "version", F.explode(every).alias("h")).join(maybe_broadcast(item_windows.select("h").distinct()), "h", "left_semi").select("doc_id", "version").distinct())
     near = own.alias("o").join(touched.alias("t"), F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("o.version") == F.col("t.version")), "left_semi").select("o.doc_id", "o.text")
     near = near.withColumn("uid", F.monotonically_increasing_id()).withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical)).withColumn("low", _lowered("plain"))
 
     def windows(s: int) -> Column:
         templates = F.transform(window_hashes(F.col("canon"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), _slots("canon", "plain", i + 1, s).alias("slots")))
-        literals = F.transform(window_hashes(F.col("low"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), F.array().cast("array<string>").alias("slots")))
+        literals = F.transform(window_hashes(F.col("low"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), F.lit(None).cast("array<string>").alias("slots")))
         return F.concat(templates, literals)
 
     places = F.concat(*[windows(s) for s in sizes]) if sizes else F.array().cast("array<struct<h:bigint,at:int,slots:array<string>>>")
-    found = near.select("uid", "doc_id", F.explode(places).alias("w")).select("uid", "doc_id", F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("slots")).join(maybe_broadcast(item_windows), "h")
-    pairs = F.array_distinct(F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x.getField("item_slots").alias("i"), x.getField("slots").alias("d"))))
-    along = (
-        found.withColumn("pairs", pairs)
-        .filter(_is_map(F.col("pairs")))
-        .groupBy("uid", "doc_id", "item_id", "of", "size", (F.col("doc_at") - F.col("at")).alias("diagonal"))
-        .agg(F.collect_set(F.struct("at", "pairs")).alias("hits"))
-        .withColumn("parts", _parts("hits"))
-        .withColumn("places", F.transform(F.sequence(F.lit(0), F.array_max("parts").getField("part")), lambda k: F.array_distinct(F.transform(F.filter("parts", lambda x: x.getField("part") == k), lambda x: x.getField("at")))))
-        .withColumn("part", F.array_max(F.transform("places", lambda a: F.struct(F.size(a).alias("n"), a.alias("at")))).getField("at"))
-        .withColumn("same", F.array_distinct(F.transform(F.filter("hits", lambda x: F.forall(x.getField("pairs"), lambda p: p.getField("i") == p.getField("d"))), lambda x: x.getField("at"))))
-        .select("uid", "doc_id", "item_id", "of", "size", "part", "same", F.array_union("part", "same").alias("at"))
-        .withColumn("verbatim", F.size("at") == F.size("same"))
+    found = near.select("uid", "doc_id", F.explode(places).alias("w")).select("uid", "doc_id", F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("slots"))
+    found = found.join(maybe_broadcast(item_windows), "h").filter(F.col("slots").isNull() == F.col("item_slots").isNull())
+    values = F.array_distinct(F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x.getField("item_slots").alias("i"), x.getField("slots").alias("d"))))
+    key = ["uid", "doc_id", "item_id", "of", "size", "diagonal"]
+    hits = scratch.keep(
+        found.select("uid", "doc_id", "item_id", "of", "size", (F.col("doc_at") - F.col("at")).alias("diagonal"), "at", F.when(F.col("slots").isNotNull(), values).alias("pairs"))
+        .distinct()
     )
+    # what each value of the item stands for along a diagonal
+    each = hits.select(*key, "at", F.explode("pairs").alias("p")).groupBy(*key, "p").agg(F.count_distinct("at").alias("n"))
+    chosen = each.groupBy(*key, F.col("p.i").alias("i")).agg(F.max_by("p.d", F.struct("n", "p.d")).alias("d")).groupBy(*key).agg(F.collect_set(F.struct("i", "d")).alias("agreed"))
+    counted = hits.alias("x").join(chosen.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in key], "left").select("x.*", "agreed")
+    counted = counted.filter(F.col("pairs").isNull() | (F.size(F.array_except("pairs", F.coalesce("agreed", F.array().cast("array<struct<i:string,d:string>>")))) == 0))
+    counted = counted.groupBy(*key, "at").agg(F.bool_or(F.col("pairs").isNull()).alias("same"))
+    along = W.partitionBy(*key).orderBy("at")
+    runs = counted.withColumn("run", F.col("at") - F.row_number().over(along))
+    occurrences = runs.groupBy(*key, "run").agg(F.count("*").alias("n"), F.bool_and("same").alias("same"), F.collect_list("at").alias("at")).groupBy(*key).agg(F.max("n").alias("longest"), F.sum("n").alias("n"), F.bool_and("same").alias("verbatim"), F.flatten(F.collect_list("at")).alias("at"))
     return (
-        along.groupBy("uid", "doc_id", "item_id", "of")
+        occurrences.groupBy("uid", "doc_id", "item_id", "of")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"),
-            F.max(F.greatest(F.size("part"), F.size("same")) + F.col("size") - 1).alias("run_words"),
-            F.max(F.struct(F.size("at").alias("n"), F.col("verbatim").alias("verbatim"))).getField("verbatim").alias("verbatim"),
+            F.max(F.col("longest") + F.col("size") - 1).alias("run_words"),
+            F.max(F.struct("n", "verbatim")).getField("verbatim").alias("verbatim"),
         )
         .withColumn("share", F.col("n") / F.col("of"))
         .filter((F.col("share") >= min_share) | (F.col("run_words") >= min_run))

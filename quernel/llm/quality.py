@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.scratch import Scratch
-from quernel.llm.text import ascii_lower, boxed, lines, strip_blanks, unboxed, words
+from quernel.llm.text import ascii_lower, bound, boxed, lines, strip_blanks, unboxed, words
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -17,11 +17,6 @@ SYMBOLS = "[#*$%&|<>]"
 PLACE_BITS = 24
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, where ``use`` may name its argument often: a one-element transform evaluates it once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _spread(at: Column, n: int) -> Column:
     """Words that windows of ``n`` at these ascending places cover."""
     return F.aggregate(F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.coalesce(F.least(b - a, F.lit(n)), F.lit(n)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -49,7 +44,7 @@ def repeated_words(ws: Column, n: int = 8) -> Column:
     def hashes(words_: Column) -> Column:
         h, step = F.transform(words_, lambda w: F.xxhash64(w)), 1
         while step < n:
-            h = _bound(h, pair_up(step))
+            h = bound(h, pair_up(step))
             step *= 2
         return F.slice(h, 1, F.size(words_) - (n - 1))
 
@@ -59,21 +54,21 @@ def repeated_words(ws: Column, n: int = 8) -> Column:
 
         def count(ordered: Column) -> Column:
             at = F.transform(_equal_neighbours(ordered, lambda a, b: whole(a) == whole(b)), lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
-            return _bound(F.sort_array(at), lambda p: _spread(p, n))
+            return bound(F.sort_array(at), lambda p: _spread(p, n))
 
-        return _bound(F.sort_array(F.transform(hs, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))), count)
+        return bound(F.sort_array(F.transform(hs, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))), count)
 
     def plain(hs: Column) -> Column:
         def count(ordered: Column) -> Column:
             at = F.transform(_equal_neighbours(ordered, lambda a, b: a.getField("h") == b.getField("h")), lambda x: x.getField("i").cast("long"))
-            return _bound(F.sort_array(at), lambda p: _spread(p, n))
+            return bound(F.sort_array(at), lambda p: _spread(p, n))
 
-        return _bound(F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), count)
+        return bound(F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), count)
 
     def judged(hs: Column) -> Column:
         return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).when(F.size(hs) < 1 << PLACE_BITS, packed(hs)).otherwise(plain(hs))
 
-    return F.when(F.size(ws) <= n, F.lit(0).cast("long")).otherwise(_bound(hashes(ws), judged))
+    return F.when(F.size(ws) <= n, F.lit(0).cast("long")).otherwise(bound(hashes(ws), judged))
 
 
 def score_quality(

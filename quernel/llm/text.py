@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def wide_hash(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit("second half"), *cols)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``use`` may name its argument often: a one-element transform evaluates it once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def boxed(df: DataFrame, **inputs: str) -> DataFrame:
     """The named input columns, and the whole row as ``row``: no name of the caller's can clash with a working name."""
     return df.select(*[F.col(f"`{name}`").alias(alias) for alias, name in inputs.items()], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
