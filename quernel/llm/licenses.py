@@ -3,8 +3,11 @@ r"""License scans by diagonal voting.
 Every word k-gram of a text is joined by hash to the positions that it has
 in the license templates. A hit votes for the diagonal (position in the text
 minus position in the template); neighbouring diagonals are merged, so that
-a few inserted or missing words do not split a copy; the span is then
-verified by the share of the template's k-grams that it holds.
+a few inserted or missing words do not split a copy. The span is then
+verified: its hits must be most of the template's k-grams, stand in a stretch
+not much longer than the template, and hold the words that tell it from its
+relatives. Where verified spans of several
+labels overlap, the one that covers most words stays.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernel.llm.notices import templates as all_templates
 from quernel.llm.scratch import Scratch
 from quernel.llm.text import boxed, unboxed
 
@@ -25,36 +29,22 @@ GAP_CHARS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x6
 # Phrases and labels of the base scan.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-# Notices of public licenses.
-TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "Licensed under CC BY 4.0."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("all-rights-reserved", "All rights reserved."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
-
-
 def license_words(text: Column) -> Column:
     bare = F.btrim(text, F.lit(GAP_CHARS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
 
-def template_grams(templates: list[tuple[str, str]], k: int) -> list[tuple[int, str, int, int, list[str]]]:
-    """(template, label, position, k-grams of the template, gram), from the fixed list."""
+def template_grams(templates: list[tuple[str, str, str]], k: int) -> list[tuple[int, str, int, int, int, int, list[str]]]:
+    """(template, label, position, words of the template, first and last position of the grams it requires, gram), from the fixed list."""
+    split = lambda text: [w for w in re.split(GAP, text.lower()) if w]
     out = []
-    for t, (label, body) in enumerate(templates):
-        ws = [w for w in re.split(GAP, body.lower()) if w]
+    for t, (label, body, required) in enumerate(templates):
+        ws, need = split(body), split(required)
+        if len(need) < k:
+            raise ValueError(f"a template needs {k} required words or more: {required!r}")
+        at = next(i for i in range(len(ws)) if ws[i : i + len(need)] == need)
         for p in range(len(ws) - k + 1):
-            out.append((t, label, p, len(ws) - k + 1, ws[p : p + k]))
+            out.append((t, label, p, len(ws), at, at + len(need) - k, ws[p : p + k]))
     return out
 
 
@@ -77,15 +67,22 @@ def base_scan(ws: Column) -> Column:
     return F.filter(places, lambda x: x.isNotNull() & x.getField("label").isNotNull())
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, k: int = 3, slack: int = 4, min_share: float = 0.6, scratch: Scratch | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str, str]] | None = None, k: int = 3, slack: int = 4, min_share: float = 0.6, scratch: Scratch | None = None) -> DataFrame:
     """The documents with n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     ``spans`` holds (label, start, end, share) of the verified copies of
     templates: words from 0, ``end`` excluded, ``share`` of the template's
-    k-grams found between. ``score`` is the largest share, or 1 where a base
-    phrase stands. Null and empty texts have no words, no places and score 0.
-    Rows are never merged, so repeated rows get equal results; results
-    replace columns of the same names. An empty table gives an empty result.
+    k-grams that hits found. A span is verified if that is ``min_share`` or
+    more, if it is at most half as long again as the template and ``slack``
+    words, and if it holds all k-grams of the template's required words. Of
+    overlapping spans with different labels the one with most covered words
+    stays; among equals the larger share, then the smaller label.
+
+    ``score`` is the largest share, or 1 where a base phrase stands. Null and
+    empty texts have no words, no places and score 0. Rows are never merged,
+    so repeated rows get equal results; results replace columns of the same
+    names. Very long texts are one row each, whose grams stay in it but for
+    those that hit. An empty table gives an empty result.
 
     The templates are the caller's fixed list, so their grams are a local
     table of proven size, which is broadcast; the texts' grams are never
@@ -93,8 +90,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "licenses")
-    grams = template_grams(TEMPLATES if templates is None else templates, k)
-    table = spark.createDataFrame(grams, "t int, label string, t_pos int, t_grams int, gram array<string>").select("t", "label", "t_pos", "t_grams", F.xxhash64("gram").alias("h"))
+    grams = template_grams(all_templates() if templates is None else templates, k)
+    table = spark.createDataFrame(grams, "t int, label string, t_pos int, t_words int, need_lo int, need_hi int, gram array<string>")
+    table = table.withColumn("h", F.xxhash64(*[F.xxhash64(F.get("gram", i)) for i in range(k)])).drop("gram")
     base = (
         boxed(docs, text=text)
         .withColumn("uid", F.monotonically_increasing_id())
@@ -105,7 +103,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     places = F.when(F.contains(F.lower("text"), F.lit("license")), base_scan(F.col("words_lower"))).otherwise(F.array().cast("array<struct<label:string,start:bigint>>"))
     row = F.col("row").dropFields(text) if len(docs.columns) > 1 else F.lit(None).cast("struct<none:int>")
     # A gram whose first word begins no template gram has nothing to join; a hash-set test on the word spares its hash.
-    first_words = sorted({g[4][0] for g in grams})
+    first_words = sorted({g[-1][0] for g in grams})
     starts = F.filter(F.transform("words_lower", lambda w, i: F.when(w.isin(first_words), i)), lambda i: i.isNotNull() & (i + k <= F.size("words_lower")))
     kept = scratch.keep(
         base.select(
@@ -113,22 +111,34 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
             row.alias("row"),
             F.size("ws").cast("long").alias("n_words"),
             F.coalesce(places, F.array().cast("array<struct<label:string,start:bigint>>")).alias("places"),
-            F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("words_lower", i + 1, k)).alias("h"))).alias("grams"),
+            F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.xxhash64(F.get("words_lower", i + j)) for j in range(k)]).alias("h"))).alias("grams"),
         )
     )
     hits = kept.select("uid", F.explode("grams").alias("g")).select("uid", F.col("g.pos").alias("pos"), F.col("g.h").alias("h")).join(F.broadcast(table), "h")
-    votes = hits.groupBy("uid", "t", "label", "t_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("t_at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    of = ["uid", "t", "label", "t_words", "need_lo", "need_hi"]
+    votes = hits.groupBy(*of, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("t_at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     # Neighbouring diagonals: a new span begins where the step to the next diagonal exceeds the slack.
     along = W.partitionBy("uid", "t").orderBy("diagonal")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("found", lambda p: F.sequence(p, p + (k - 1))))))
     merged = (
         votes.withColumn("opens", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > slack).cast("int"), F.lit(1)))
         .withColumn("span", F.sum("opens").over(along.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy("uid", "t", "label", "t_grams", "span")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("t_at")))).alias("found"))
-        .withColumn("share", F.col("found") / F.col("t_grams"))
+        .groupBy(*of, "span")
+        .agg(F.min("lo").alias("lo"), (F.max("hi") + k).alias("end"), F.array_distinct(F.flatten(F.collect_list("t_at"))).alias("found"))
+        .withColumn("covered", covered)
+        .withColumn("share", F.size("found") / (F.col("t_words") - (k - 1)))
         .filter(F.col("share") >= min_share)
+        .filter(2 * (F.col("end") - F.col("lo")) <= 3 * F.col("t_words") + 2 * slack)
+        .filter(F.size(F.filter("found", lambda p: p.between(F.col("need_lo"), F.col("need_hi")))) == F.col("need_hi") - F.col("need_lo") + 1)
     )
-    spans = merged.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(F.col("lo").cast("long").alias("start"), (F.col("hi") + k).cast("long").alias("end"), "label", "share"))).alias("spans"))
+    found = F.struct(F.col("lo").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "share", "covered")
+
+    def beaten(x: Column, y: Column) -> Column:
+        """Whether span y, of another label, overlaps x and is better."""
+        rank = lambda s: F.struct(-s.getField("covered"), -s.getField("share"), s.getField("label"))
+        return (x.getField("label") != y.getField("label")) & (x.getField("start") < y.getField("end")) & (y.getField("start") < x.getField("end")) & (rank(y) < rank(x))
+
+    spans = merged.groupBy("uid").agg(F.array_sort(F.collect_list(found)).alias("all")).withColumn("spans", F.filter("all", lambda x: ~F.exists("all", lambda y: beaten(x, y)))).select("uid", F.transform("spans", lambda s: s.dropFields("covered")).alias("spans"))
     judged = kept.join(spans, "uid", "left")
 
     def joined(labels: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quernel.llm.decontam import UNITS
-from quernel.llm.licenses import PHRASES, TEMPLATES, template_grams
+from quernel.llm.licenses import PHRASES, template_grams
+from quernel.llm.notices import templates
 from quernel.llm.text import ASCII_LOWER, ASCII_UPPER
 
 SQL: dict[str, str] = {}
@@ -68,34 +69,45 @@ _CANON = rf"list_transform(ws, lambda x: CASE WHEN x < ':' THEN '<number>' WHEN
 SQL["op6_decontaminate"] = f"""
 WITH b AS (SELECT item_id, ws, {_CANON} AS cs FROM (SELECT item_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM benchmark) WHERE len(ws) >= 5),
 d AS (SELECT doc_id, ws, {_CANON} AS cs FROM (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM documents)),
-bw AS (SELECT item_id, i, size, total, cs[i:i + size - 1] AS win, ws[i:i + size - 1] AS vals FROM (SELECT item_id, ws, cs, least(len(ws), 8) AS size, greatest(len(ws) - 7, 1) AS total, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) AS i FROM b)
-  WHERE len(list_filter(cs[i:i + size - 1], lambda x: x[1] <> '<')) >= 3),
+v AS (SELECT item_id, ws, cs, least(len(ws), 8) AS size, greatest(len(ws) - 7, 1) AS total, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) AS i FROM b),
+bw AS (SELECT item_id, i, size, total, false AS template, list_transform(ws[i:i + size - 1], lambda x: lower(x)) AS win, ws[i:i + size - 1] AS vals FROM v
+  UNION ALL SELECT item_id, i, size, total, true, cs[i:i + size - 1], ws[i:i + size - 1] FROM v WHERE total > 1 AND len(list_filter(cs[i:i + size - 1], lambda x: x[1] <> '<')) >= 3),
 z AS (SELECT DISTINCT size FROM bw),
-dw AS (SELECT doc_id, i, size, cs[i:i + size - 1] AS win, ws[i:i + size - 1] AS vals FROM (SELECT doc_id, ws, cs, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, z WHERE len(ws) >= size)),
-m AS (SELECT doc_id, item_id, total, bw.size, dw.i - bw.i AS diagonal, bw.i AS place, dw.win AS win, bw.vals AS bv, dw.vals AS dv FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
-p AS (SELECT DISTINCT doc_id, item_id, size, diagonal, win[k][1:2] || lower(bv[k]) AS x, win[k][1:2] || lower(dv[k]) AS y FROM (SELECT *, unnest(range(1, size + 1)) AS k FROM m) WHERE win[k][1] = '<'),
-q AS (SELECT doc_id, item_id, size, diagonal, count(*) AS n, count(DISTINCT x) AS nx, count(DISTINCT y) AS ny, bool_and(x = y) AS same FROM p GROUP BY ALL),
-a AS (SELECT m.doc_id, m.item_id, m.total, m.size, m.diagonal, count(DISTINCT place) AS hits, coalesce(any_value(same), true) AS same, list(DISTINCT place) AS places
-  FROM m LEFT JOIN q ON m.doc_id = q.doc_id AND m.item_id = q.item_id AND m.size = q.size AND m.diagonal = q.diagonal WHERE q.n IS NULL OR (q.n = q.nx AND q.n = q.ny) GROUP BY m.doc_id, m.item_id, m.total, m.size, m.diagonal)
-SELECT doc_id, item_id, len(list_distinct(flatten(list(places)))) / total AS share, max(hits + size - 1) AS run_words, arg_max(same, hits) AS verbatim FROM a
-GROUP BY doc_id, item_id, total HAVING len(list_distinct(flatten(list(places)))) / total >= 0.5 OR max(hits + size - 1) >= 13"""
+u AS (SELECT doc_id, ws, cs, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, z WHERE len(ws) >= size),
+dw AS (SELECT doc_id, i, size, false AS template, list_transform(ws[i:i + size - 1], lambda x: lower(x)) AS win, ws[i:i + size - 1] AS vals FROM u
+  UNION ALL SELECT doc_id, i, size, true, cs[i:i + size - 1], ws[i:i + size - 1] FROM u),
+m AS (SELECT doc_id, item_id, total, bw.size, bw.template, dw.i - bw.i AS diagonal, bw.i AS place, dw.i AS at, dw.win AS win, bw.vals AS bv, dw.vals AS dv FROM dw JOIN bw ON dw.size = bw.size AND dw.template = bw.template AND dw.win = bw.win),
+p AS (SELECT DISTINCT doc_id, item_id, size, diagonal, place, win[k][1:2] || lower(bv[k]) AS x, win[k][1:2] || lower(dv[k]) AS y FROM (SELECT *, unnest(range(1, size + 1)) AS k FROM m WHERE template) WHERE win[k][1] = '<'),
+n AS (SELECT doc_id, item_id, size, diagonal, x, y, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT doc_id, item_id, size, diagonal, x, y FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, size, diagonal, x ORDER BY n DESC, y DESC) = 1),
+w AS (SELECT DISTINCT doc_id, item_id, size, diagonal, place FROM p ANTI JOIN c USING (doc_id, item_id, size, diagonal, x, y)),
+g AS (SELECT doc_id, item_id, total, size, diagonal, place, bool_or(NOT template) AS same FROM m WHERE NOT template OR NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = m.doc_id AND w.item_id = m.item_id AND w.size = m.size AND w.diagonal = m.diagonal AND w.place = m.place) GROUP BY ALL),
+r AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, size, diagonal ORDER BY place) AS run FROM g),
+l AS (SELECT doc_id, item_id, total, size, diagonal, run, count(*) AS n, bool_and(same) AS same, list(place) AS places FROM r GROUP BY ALL),
+a AS (SELECT doc_id, item_id, total, size, diagonal, max(n) AS longest, sum(n) AS hits, bool_and(same) AS same, flatten(list(places)) AS places FROM l GROUP BY ALL)
+SELECT doc_id, item_id, len(list_distinct(flatten(list(places)))) / total AS share, CAST(max(longest + size - 1) AS BIGINT) AS run_words, max(struct_pack(n := hits, v := same)).v AS verbatim FROM a
+GROUP BY doc_id, item_id, total HAVING len(list_distinct(flatten(list(places)))) / total >= 0.5 OR max(longest + size - 1) >= 13"""
 
-_GRAMS = ", ".join(f"({t}, '{label}', {p}, {n}, '{' '.join(gram)}')" for t, label, p, n, gram in template_grams(TEMPLATES, 3))
+_GRAMS = ", ".join(f"({t}, '{label}', {p}, {n}, {lo}, {hi}, '{' '.join(gram)}')" for t, label, p, n, lo, hi, gram in template_grams(templates(), 3))
 _PLACE = " OR ".join("(" + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase)) + ")" for phrase in PHRASES)
 _LABEL = " ".join("WHEN " + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase)) + f" THEN '{label}'" for phrase, label in PHRASES.items())
 
 SQL["op9_licenses"] = f"""
-WITH t(t, label, t_pos, t_grams, gram) AS (VALUES {_GRAMS}),
+WITH t(t, label, t_pos, t_words, need_lo, need_hi, gram) AS (VALUES {_GRAMS}),
 d AS (SELECT doc_id, list_transform({_SPLIT.format("coalesce(text, '')")}, lambda x: lower(x)) AS ws FROM documents),
 i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
 p AS (SELECT doc_id, i - 1 AS start, CASE {_LABEL} END AS label FROM i WHERE {_PLACE}),
 b AS (SELECT doc_id, count(*) AS n_base, CAST(min(start) AS BIGINT) AS first_word, CAST(max(start) AS BIGINT) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY doc_id),
-h AS (SELECT doc_id, t, label, t_grams, t_pos, i - 1 AS pos, i - 1 - t_pos AS diagonal FROM i JOIN t ON gram = ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]),
-v AS (SELECT doc_id, t, label, t_grams, diagonal, list(DISTINCT t_pos) AS found FROM h GROUP BY ALL),
+h AS (SELECT doc_id, t, label, t_words, need_lo, need_hi, t_pos, i - 1 AS pos, i - 1 - t_pos AS diagonal FROM i JOIN t ON gram = ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]),
+v AS (SELECT doc_id, t, label, t_words, need_lo, need_hi, diagonal, list(DISTINCT t_pos) AS found, min(pos) AS lo, max(pos) + 3 AS hi FROM h GROUP BY ALL),
 o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= 4 THEN 0 ELSE 1 END AS opens FROM v),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, t ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM o),
-m AS (SELECT doc_id, label, len(list_distinct(flatten(list(found)))) / t_grams AS share FROM s GROUP BY doc_id, t, label, t_grams, span),
-x AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM m WHERE share >= 0.6 GROUP BY doc_id)
+g AS (SELECT doc_id, t, label, t_words, need_lo, need_hi, span, min(lo) AS lo, max(hi) AS hi, list_distinct(flatten(list(found))) AS found FROM s GROUP BY doc_id, t, label, t_words, need_lo, need_hi, span),
+c AS (SELECT *, len(list_distinct(flatten(list_transform(found, lambda p: [p, p + 1, p + 2])))) AS covered FROM g),
+m AS (SELECT *, len(found) / (t_words - 2) AS share FROM c WHERE len(found) / (t_words - 2) >= 0.6 AND 2 * (hi - lo) <= 3 * t_words + 8 AND len(list_filter(found, lambda p: p BETWEEN need_lo AND need_hi)) = need_hi - need_lo + 1),
+y AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = m.doc_id AND b.label <> m.label AND b.lo < m.hi AND m.lo < b.hi
+  AND (b.covered > m.covered OR (b.covered = m.covered AND (b.share > m.share OR (b.share = m.share AND b.label < m.label)))))),
+x AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM y GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(x.labels, [])))), ',') AS labels,
   greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0))::DOUBLE AS score
