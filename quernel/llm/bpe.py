@@ -8,8 +8,9 @@ token the right side's. Why this is exact: a sequence of tokens is the BPE
 encoding of its text if every pair of neighbours is, and each pair of the
 joined sequence lies within one side or within the window, which share a
 token. A window also begins and ends at places where the splitting pattern
-sees the same on either side: before a space that follows a non-blank
-character, where every scan has a boundary, or else within a run of letters.
+sees the same on either side: before a space between two characters that are
+no blanks, where every scan has a boundary, or else within a run of letters,
+of numbers or of other characters, in any script.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.scratch import Scratch
-
 # Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SCHEMA = "ids array<int>, decoded string"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,6 +38,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _kind(c: str) -> str:
+    """The class of the splitting pattern that a character is in: letters, numbers, blanks or others."""
+    kind = unicodedata.category(c)[0]
+    return kind if kind in "LN" else " " if c.isspace() else "o"
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file of the tokenizers library.
 
@@ -93,13 +97,21 @@ class ByteBpe:
 
     def _even(self, before: bytes, after: bytes) -> bool:
         """Whether the pattern sees the same at this place from either side."""
-        return (before[-1:] not in b" \t\n\r\x0b\x0c" and before[-1:] < b"\x80" and after[:1] == b" " and after[1:2].isalnum()) or (before[-2:].isalpha() and len(before) > 1 and after[:2].isalpha() and len(after) > 1)
+        if not after or after[0] & 0xC0 == 0x80:
+            return False
+        b, a = before.decode("utf-8", "ignore")[-2:], after.decode("utf-8", "ignore")[:2]
+        if len(b) < 2 or len(a) < 2:
+            return False
+        kinds = [_kind(c) for c in b + a]
+        if a[0] == " ":
+            return kinds[1] != " " != kinds[3]
+        return kinds[0] != " " and len(set(kinds)) == 1 and "'" not in b + a
 
     def _whole_start(self, ids: list[int], at: int) -> bool:
-        return at == 0 or self._even(self.token_bytes(ids[max(0, at - 2) : at]), self.token_bytes(ids[at : at + 2]))
+        return at == 0 or self._even(self.token_bytes(ids[max(0, at - 8) : at]), self.token_bytes(ids[at : at + 8]))
 
     def _whole_end(self, ids: list[int], at: int) -> bool:
-        return at == len(ids) or self._even(self.token_bytes(ids[max(0, at - 2) : at]), self.token_bytes(ids[at : at + 2]))
+        return at == len(ids) or self._even(self.token_bytes(ids[max(0, at - 8) : at]), self.token_bytes(ids[at : at + 8]))
 
     def join_tree(self, parts: list[list[int]]) -> list[int]:
         """Neighbours are joined level by level."""
@@ -119,13 +131,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _emit(keys: pa.Array | pa.ChunkedArray, encoded: list[list[int]], bpe: ByteBpe, digest: bool, name: str) -> pa.RecordBatch:
+def _emit(keys: pa.Array | pa.ChunkedArray, encoded: list[list[int]], bpe: ByteBpe, digest: bool, with_ids: bool) -> pa.RecordBatch:
+    out = {"doc_id": keys}
+    if with_ids:
+        out["ids"] = pa.array(encoded, pa.list_(pa.int32()))
+    decoded = [bpe.decode(x) for x in encoded]
     if digest:
-        n = pa.array([len(x) for x in encoded], pa.int64())
-        ids = pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in encoded], pa.string())
-        text = pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in encoded], pa.string())
-        return pa.RecordBatch.from_arrays([keys, n, ids, text], [name, "n_tokens", "ids_sha256", "decoded_sha256"])
-    return pa.RecordBatch.from_arrays([keys, pa.array(encoded, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in encoded], pa.string())], [name, "ids", "decoded"])
+        out["n_tokens"] = pa.array([len(x) for x in encoded], pa.int64())
+        out["ids_sha256"] = pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in encoded], pa.string())
+        out["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())
+    else:
+        out["decoded"] = pa.array(decoded, pa.string())
+    return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out.values()], list(out))
 
 
 def _slices(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -144,12 +161,12 @@ def cut_places(text_length: int, leaf: int) -> int:
     return -(-text_length // leaf)
 
 
-def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, leaf_chars: int = 1 << 15, digest: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, leaf_chars: int = 1 << 15, digest: bool = False, with_ids: bool | None = None) -> DataFrame:
     """One row per input row: doc_id, ids (array of int) and decoded (string).
 
     With ``digest``: doc_id, n_tokens, ids_sha256 (ids as little-endian
-    unsigned 32-bit integers) and decoded_sha256, without moving the ids out
-    of the Python worker. Null and empty texts have no tokens and decode to
+    unsigned 32-bit integers) and decoded_sha256, and ids before them if
+    ``with_ids`` says so; without, they do not leave the Python worker. Null and empty texts have no tokens and decode to
     the empty text. A doc_id may be null or repeated: rows are independent
     and texts too long for one leaf are held together by a key of their own.
     Other columns are ignored. An empty table gives an empty result.
@@ -159,13 +176,14 @@ def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     path = vocabulary or default_vocabulary()
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {id_type}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else SCHEMA)
+    with_ids = not digest if with_ids is None else with_ids
+    out = f"doc_id {id_type}, " + ("ids array<int>, " if with_ids else "") + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "decoded string")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
             for part in _slices(batch):
-                yield _emit(part.column("doc_id"), [bpe.encode(x) for x in part.column("text").to_pylist()], bpe, digest, "doc_id")
+                yield _emit(part.column("doc_id"), [bpe.encode(x) for x in part.column("text").to_pylist()], bpe, digest, with_ids)
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -178,7 +196,7 @@ def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
         bpe = load(path)
         group = group.sort_by("k")
         ids = bpe.join_tree([np.frombuffer(x, "<u4").tolist() for x in group.column("ids").to_pylist()])
-        return pa.Table.from_batches([_emit(group.column("doc_id").combine_chunks().slice(0, 1), [ids], bpe, digest, "doc_id")])
+        return pa.Table.from_batches([_emit(group.column("doc_id").slice(0, 1), [ids], bpe, digest, with_ids)])
 
     short = own.filter(F.length("text") <= leaf_chars).mapInArrow(whole, out)
     leaves = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / leaf_chars).cast("int") - 1), lambda k: F.substring(F.col("text"), k * leaf_chars + 1, F.lit(leaf_chars)))
