@@ -65,5 +65,9 @@ class Scratch:
         """Remove a kept table that no result reads."""
         _delete(self.spark, self._where.pop(df))
 
+    def remove(self, where: str) -> None:
+        """Remove the files of a place that nothing reads."""
+        _delete(self.spark, where)
+
     def clear(self) -> None:
         _delete(self.spark, self.path)
