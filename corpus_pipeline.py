@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages from raw documents to token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it
-kept, and returns the columns of documents; the last returns digests of the
-encoded texts. Stages are written and read again between them, so a lost
+kept, and returns the columns of documents; the last returns the ids of the
+encoded texts and digests. Stages are written and read again between them, so a lost
 executor costs its tasks only.
 """
 
@@ -23,17 +23,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models do not call toxic; null and empty texts and null ids stay.
+    """Rows whose texts the class-conditional models do not call toxic; null and empty texts and null ids stay.
 
     The models learn from the labelled documents outside the held-out
-    quarter. Scores are joined back by doc_id; rows that share one go if any
-    of them is toxic.
+    quarter. Rows are judged one by one, those that share a doc_id too.
     """
     labels = _read(spark, sf_dir, "labels").select("doc_id", "toxic")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = toxicity.train(docs.filter(~out), labels.filter(~out))
-    toxic = toxicity.score_toxicity(docs, model).filter(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("toxic_id")).distinct()
-    return docs.join(toxic, docs.doc_id == toxic.toxic_id, "left_anti")
+    return toxicity.keep_clean(docs, model, TOXIC_FROM)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,13 +58,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks. Null ids stay; rows that share an id go if an item leaks into one; other columns are carried along."""
     return decontam.drop_leaks(docs, _read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text."""
-    return bpe.encode_texts(docs.select("doc_id", "text"), digest=True)
+    """doc_id, the token ids, their number, and digests of the ids and of the decoded text; null and empty texts have no ids."""
+    return bpe.encode_texts(docs.select("doc_id", "text"), digest=True, with_ids=True)
 
 
 STAGES = [

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import tokens
 from quernel.llm.scratch import Scratch
+from quernel.llm.text import boxed, unboxed
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -264,3 +265,21 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, below: float, text: str = "text") -> DataFrame:
+    """The rows whose texts score less than ``below``, with all their columns.
+
+    Rows are scored and kept one by one, in place: nothing is shuffled or
+    joined. Null and empty texts, null and repeated ids are rows like others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in tokens.text_slices(batch.column("text")):
+                clean = shared.value.score(tokens.words_of(data, offsets)) < below
+                yield batch.slice(lo, hi - lo).select(["row"]).filter(pa.array(clean))
+
+    rows = boxed(docs, text=text)
+    return unboxed(rows.mapInArrow(run, rows.select("row").schema), docs.columns)
