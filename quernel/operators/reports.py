@@ -1,4 +1,4 @@
-"""Import validation and data-quality reports, each one pass over its table."""
+"""Import validation and data-quality reports."""
 
 from __future__ import annotations
 
@@ -21,7 +21,8 @@ class Rule:
 def validate(df: DataFrame, rules: list[Rule], dataset_id: str, unique: tuple[str, ...] = (), parents: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
     """One row per check: dataset_id, check, status, n_failed, detail.
 
-    Row rules are counted in a single aggregate. ``unique`` columns form a
+    All row rules are counted in one pass; the key and each parent take one
+    more. ``unique`` columns form a
     key; surplus rows are failures. ``parents`` maps a column to a table and
     its key; values without a parent are failures, nulls are not. An empty
     table passes every check.
@@ -44,14 +45,17 @@ def validate(df: DataFrame, rules: list[Rule], dataset_id: str, unique: tuple[st
     return out.select(F.lit(dataset_id).alias("dataset_id"), "check", status.alias("status"), "n_failed", F.concat(F.col("n_failed").cast("string"), F.lit(" rows")).alias("detail"))
 
 
-def quality_report(df: DataFrame, dataset_id: str, table: str, columns: list[str] | None = None, quantiles: tuple[float, ...] = (0.5,), approximate: bool = False) -> DataFrame:
+def quality_report(df: DataFrame, dataset_id: str, table: str, columns: list[str] | None = None, quantiles: tuple[float, ...] = (0.5,), approximate: bool | None = None, exact_rows: int = 5_000_000) -> DataFrame:
     """One row per column and metric: dataset_id, table, column, metric, value.
 
     Metrics: rows, nulls and distinct values of every column; minimum,
-    maximum and quantiles of numeric ones. ``approximate`` uses sketches for
-    distinct values and quantiles, which merge map-side and keep one row per
-    partition in the shuffle at any size.
+    maximum and quantiles of numeric ones. Exact distinct values
+    and quantiles gather all values of a column in the last task, so beyond
+    ``exact_rows`` rows, or with ``approximate``, sketches take their place,
+    which merge map-side and keep one row per partition in the shuffle.
     """
+    if approximate is None:
+        approximate = df.count() > exact_rows
     kinds = {f.name: f.dataType for f in df.schema}
     columns = [c for c in (columns or df.columns) if not isinstance(kinds[c], (T.MapType, T.VariantType))]
     cells: list[tuple[str, str, Column]] = [("*", "rows", F.count("*"))]

@@ -13,7 +13,8 @@ from quernel.functions.geo import haversine
 from quernel.functions.vectors import cosine
 from quernel.operators import joins, tracks
 from quernel.operators.reports import Rule, quality_report, validate
-from quernel.sources import generator, raw
+from quernel.sources import generator, imports, raw
+from quernel.sources.shared import shared_place
 from quernel.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,27 +227,69 @@ def source_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("tracks").options(tracks="7", points="50").load().groupBy("track_id").agg(F.count("*").alias("n"))
 
 
-@query("raw_digests")
+@query("raw_digests", "SELECT true AS same, true AS whole")
 def raw_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest and size of a raw file, as the manifest holds them."""
-    return raw.digests(spark, f"{sf_dir}/region.parquet").select(F.element_at(F.split("raw_path", "/"), -1).alias("name"), "raw_sha256", "n_bytes")
+    """Whether the digests and sizes that are read in blocks are those of the files' contents."""
+    path = f"{sf_dir}/region.parquet"
+    whole = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha"), "length")
+    found = raw.digests(spark, path)
+    both = found.join(whole, found.raw_path == whole.path, "full")
+    return both.agg(F.bool_and(F.coalesce(F.col("raw_sha256") == F.col("sha"), F.lit(False))).alias("same"), F.bool_and(F.coalesce(F.col("n_bytes") == F.col("length"), F.lit(False))).alias("whole"))
 
 
-@query("file_metadata")
+@query("file_metadata", "SELECT count(*) AS n, true AS named, true AS sized FROM nation")
 def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").groupBy("_metadata.file_name", "_metadata.file_size").agg(F.count("*").alias("n"))
-
-
-for _name, _run in {
-    "stream_tumbling": streams.tumbling,
-    "stream_sliding": streams.sliding,
-    "stream_session": streams.sessions,
-    "stream_dedup": streams.dedup,
-    "stream_interval_join": streams.interval_join,
-    "stream_running_count": streams.running_count,
-}.items():
-    _QUERIES[_name] = (_run, None)
-_QUERIES["stream_sliding"] = (streams.sliding, "SELECT t0, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS t0 FROM events) GROUP BY 1")
+    rows = table(spark, sf_dir, "nation").select("_metadata.file_path", "_metadata.file_size")
+    return rows.agg(F.count("*").alias("n"), F.bool_and(F.contains("file_path", F.lit("nation.parquet"))).alias("named"), F.bool_and(F.col("file_size") > 0).alias("sized"))
+
+
+@query(
+    "import_flow",
+    """
+    WITH p AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, value FROM events),
+    s AS (SELECT count(*) AS n FROM p WHERE b IS NULL OR ts > b + INTERVAL 6 HOUR)
+    SELECT (SELECT count(*) FROM events) AS points, CAST(2 AS BIGINT) AS bad, s.n AS segments, (SELECT count(*) FROM events WHERE value > 300) AS above, 'warn' AS parsed, 'pass' AS keyed, true AS unchanged,
+      (SELECT CAST(max(value) AS DOUBLE) FROM events) AS top FROM s""",
+)
+def import_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload of events and two broken lines: registered, parsed, validated, published, summarised and verified."""
+    root = shared_place(spark, "import")
+    e = _points(spark, sf_dir).withColumn("y", F.col("y").cast("string")).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    broken = spark.range(2).select(F.lit("1").alias("track_id"), F.col("id").cast("string").alias("point_id"), F.lit("never").alias("ts"), F.lit("x").alias("x"), F.lit("y").alias("y"))
+    e.select(*[F.col(c).cast("string") for c in broken.columns]).unionByName(broken).write.csv(f"{root}/upload")
+    done = imports.import_upload(spark, root, f"{root}/upload", "csv", "v1", [Rule("y up to 300", F.col("y") <= 300, fatal=False)], timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    by = F.map_from_entries(F.collect_list(F.struct("check", F.struct("status", "n_failed"))))
+    checks = done.validation.agg(by.alias("c")).select(F.col("c")["y up to 300"]["n_failed"].alias("above"), F.col("c")["parsed"]["status"].alias("parsed"), F.col("c")["unique(track_id, point_id)"]["status"].alias("keyed"))
+    top = done.quality.filter("column = 'y' AND metric = 'max'").agg(F.max("value").alias("top"))
+    whole = raw.verify_raw(spark, root, done.dataset_id).agg(F.bool_and(F.col("status") == "unchanged").alias("unchanged"))
+    one = [done.points.agg(F.count("*").alias("points")), done.bad.agg(F.count("*").alias("bad")), done.summary.agg(F.count("*").alias("segments")), checks, top, whole]
+    out = one[0]
+    for x in one[1:]:  # each is one row
+        out = out.crossJoin(x)
+    return out
+
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+_STREAMS = {
+    "stream_tumbling": (streams.tumbling, f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS t0, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {_CLOSED}"),
+    "stream_sliding": (streams.sliding, "SELECT t0, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS t0 FROM events) GROUP BY 1"),
+    "stream_session": (
+        streams.sessions,
+        f"""WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        b AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+        SELECT user_id, min(ts) AS t0, max(ts) + INTERVAL 30 MINUTE AS t1, count(*) AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}""",
+    ),
+    "stream_dedup": (streams.dedup, "SELECT DISTINCT event_id, user_id FROM events"),
+    "stream_interval_join": (
+        streams.interval_join,
+        """SELECT v.user_id, v.event_id AS view_id, c.event_id AS click_id FROM events v JOIN events c ON v.user_id = c.user_id AND c.ts BETWEEN v.ts AND v.ts + INTERVAL 2 HOUR
+        WHERE v.event_type = 'view' AND c.event_type = 'click'""",
+    ),
+    "stream_running_count": (streams.running_count, "SELECT user_id, count(*) AS n FROM events GROUP BY user_id"),
+    "stream_running_total": (streams.running_total, "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(100 * value) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY user_id"),
+    "stream_rate": (streams.rate, "SELECT CAST(v % 10 AS BIGINT) AS k, CAST(v AS BIGINT) AS value FROM range(100) r(v)"),
+}
+_QUERIES.update(_STREAMS)
 
 
 _load()

@@ -55,11 +55,26 @@ def register(sql: Callable[..., None]) -> None:
     sql("statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_samp(l_quantity, l_discount), 6) AS cv FROM {lineitem} GROUP BY l_returnflag")
     sql("percentiles", "SELECT event_type, round(median(value), 6) AS med, round(percentile(value, 0.9), 6) AS p90 FROM {events} GROUP BY event_type", "SELECT event_type, round(median(value), 6) AS med, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
     sql("arg_max", "SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS top, bool_and(o_totalprice > 1000) AS all_big FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, {'a': o_totalprice, 'b': o_orderkey}) AS top, bool_and(o_totalprice > 1000) AS all_big FROM orders GROUP BY o_custkey")
-    sql("mode", "SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM {orders} GROUP BY o_orderstatus", oracle=False)
+    sql("mode", "SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM {orders} GROUP BY o_orderstatus", "SELECT o_orderstatus, o_orderpriority AS m FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) = 1")
     sql("list_aggregate", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
     sql("decimal_sum", "SELECT l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS total FROM {lineitem} GROUP BY l_linestatus")
-    sql("approx_distinct", "SELECT approx_count_distinct(l_partkey) AS parts, hll_sketch_estimate(hll_sketch_agg(l_partkey)) AS sketched FROM {lineitem}", oracle=False)
-    sql("approx_percentile", "SELECT l_returnflag, approx_percentile(l_extendedprice, array(0.1, 0.5, 0.9)) AS q FROM {lineitem} GROUP BY l_returnflag", oracle=False)
+    # sketches: the exact value, and whether the estimate is within its bound
+    sql(
+        "approx_distinct",
+        "SELECT count(DISTINCT l_partkey) AS exact, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS near, abs(hll_sketch_estimate(hll_sketch_agg(l_partkey)) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS sketched FROM {lineitem}",
+        "SELECT count(DISTINCT l_partkey) AS exact, true AS near, true AS sketched FROM lineitem",
+    )
+    sql(
+        "approx_percentile",
+        "SELECT l_returnflag, round(percentile(l_extendedprice, 0.5), 4) AS exact, approx_percentile(l_extendedprice, 0.5) BETWEEN percentile(l_extendedprice, 0.49) AND percentile(l_extendedprice, 0.51) AS near FROM {lineitem} GROUP BY l_returnflag",
+        "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS exact, true AS near FROM lineitem GROUP BY l_returnflag",
+    )
+    sql(
+        "moments",
+        "SELECT l_returnflag, round(skewness(l_quantity), 6) AS sk, round(kurtosis(l_quantity), 6) AS ku FROM {lineitem} GROUP BY l_returnflag",
+        "SELECT f AS l_returnflag, round(avg(pow(q - m, 3)) / pow(avg(pow(q - m, 2)), 1.5), 6) AS sk, round(avg(pow(q - m, 4)) / pow(avg(pow(q - m, 2)), 2) - 3, 6) AS ku FROM (SELECT l_returnflag AS f, l_quantity AS q, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS m FROM lineitem) GROUP BY f",
+    )
+    sql("sort_aggregate", "SELECT o_custkey, max(o_orderpriority) AS top, min(o_orderstatus) AS low FROM {orders} GROUP BY o_custkey")
     sql("distinct_rows", "SELECT DISTINCT p_brand, p_size FROM {part}")
     # windows
     sql("ranking", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)".replace("row_number() OVER w", "CAST(row_number() OVER w AS BIGINT)").replace("dense_rank() OVER w", "CAST(dense_rank() OVER w AS BIGINT)").replace(" rank() OVER w", " CAST(rank() OVER w AS BIGINT)").replace("ntile(4) OVER w", "CAST(ntile(4) OVER w AS BIGINT)"))
@@ -82,6 +97,8 @@ def register(sql: Callable[..., None]) -> None:
         "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS len, substring(p_name, 1, 5) AS sub, replace(p_name, 'a', 'b') AS rep, lpad(p_brand, 12, '*') AS pad, reverse(p_brand) AS rev, regexp_replace(p_name, '[aeiou]', '') AS rx, CAST(locate('a', p_name) AS BIGINT) AS loc, CAST(levenshtein(p_name, p_brand) AS BIGINT) AS lev, split_part(p_name, ' ', 1) AS first FROM {part}",
         "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS len, substring(p_name, 1, 5) AS sub, replace(p_name, 'a', 'b') AS rep, lpad(p_brand, 12, '*') AS pad, reverse(p_brand) AS rev, regexp_replace(p_name, '[aeiou]', '', 'g') AS rx, CAST(instr(p_name, 'a') AS BIGINT) AS loc, levenshtein(p_name, p_brand) AS lev, split_part(p_name, ' ', 1) AS first FROM part",
     )
+    sql("trim_functions", "SELECT n_nationkey, trim('  ' || n_name || ' ') AS t, ltrim('  ' || n_name) AS l, rtrim(n_name || '  ') AS r FROM {nation}")
+    sql("xxhash64", "SELECT count(DISTINCT xxhash64(c_name)) AS hashes, count(DISTINCT c_name) AS names FROM {customer}", "SELECT count(DISTINCT c_name) AS hashes, count(DISTINCT c_name) AS names FROM customer")
     sql("hash_functions", "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s FROM {customer}", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s FROM customer")
     sql(
         "date_functions",
@@ -97,6 +114,7 @@ def register(sql: Callable[..., None]) -> None:
     )
     sql("map_functions", "SELECT n_regionkey, map_from_entries(array_sort(collect_list(struct(n_name, n_nationkey))))['FRANCE'] AS fr, CAST(count(*) AS BIGINT) AS n FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, max(n_nationkey) FILTER (WHERE n_name = 'FRANCE') AS fr, count(*) AS n FROM nation GROUP BY n_regionkey")
     sql("json_functions", "SELECT event_id, CAST(get_json_object(props, '$.k') AS STRING) AS k FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+    sql("from_json", "SELECT event_id, from_json(props, 'k STRING').k AS k FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
     sql("variant_functions", "SELECT event_id, variant_get(parse_json(props), '$.k', 'string') AS k FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
     sql("collation", "SELECT count(*) AS n FROM {customer} WHERE c_mktsegment COLLATE UTF8_LCASE = 'building'", "SELECT count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building'")
     # batch time windows

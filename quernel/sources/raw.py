@@ -1,18 +1,24 @@
-"""Raw uploads: registered once, identified, never changed.
+"""Raw uploads: copied once, identified, never changed.
 
-A raw file stays where it is; a row of the manifest holds its SHA-256 digest,
-so any later change is found by reading it again.
+An import claims a dataset id, copies the upload's files to a folder of their
+own that must not exist, and records their SHA-256 digests in a manifest, so
+that any later change is found by reading them again. Files are copied and
+hashed by tasks, a file each, in blocks: none has to fit in memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BLOCK = 8 << 20
 MANIFEST = T.StructType(
     [
         T.StructField("dataset_id", T.StringType()),
@@ -29,57 +35,111 @@ MANIFEST = T.StructType(
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     """All manifest rows; empty if nothing has been registered."""
     try:
-        return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+        return spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select(*MANIFEST.names)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], MANIFEST)
 
 
-def new_dataset_id(spark: SparkSession, root: str) -> str:
-    """An id that the manifest does not hold."""
-    while True:
-        found = uuid.uuid4().hex
-        if read_manifest(spark, root).filter(F.col("dataset_id") == found).isEmpty():
-            return found
+def new_dataset_id() -> str:
+    """A random id; ``register_raw`` claims it."""
+    return uuid.uuid4().hex
+
+
+def _hash(path: str, copy_to: str | None = None) -> tuple[str, int]:
+    """Digest and size of a file that is read, and copied if asked, block by block."""
+    from pyarrow import fs
+
+    source, place = fs.FileSystem.from_uri(path)
+    digest, size, out = hashlib.sha256(), 0, None
+    if copy_to is not None:
+        target, where = fs.FileSystem.from_uri(copy_to)
+        if target.get_file_info(where).type != fs.FileType.NotFound:
+            target.delete_file(where)  # of an earlier attempt of this task: the folder is this import's own
+        target.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        out = target.open_output_stream(where)
+    with source.open_input_stream(place) as f:
+        while block := f.read(BLOCK):
+            digest.update(block)
+            size += len(block)
+            if out is not None:
+                out.write(block)
+    if out is not None:
+        out.close()
+    return digest.hexdigest(), size
+
+
+def hash_files(paths: DataFrame) -> DataFrame:
+    """(raw_path, raw_sha256, n_bytes) for (raw_path, copy_to); a file that is not there has nulls. Files are copied where ``copy_to`` is not null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, copy_to in zip(batch["raw_path"], batch["copy_to"]):
+                try:
+                    digest, size = _hash(path, copy_to)
+                except FileNotFoundError:
+                    digest, size = None, None
+                yield pd.DataFrame({"raw_path": [copy_to or path], "raw_sha256": [digest], "n_bytes": pd.array([size], "Int64")})
+
+    return paths.select("raw_path", "copy_to").repartition("raw_path").mapInPandas(run, "raw_path string, raw_sha256 string, n_bytes long")
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """The paths of a file or of the files of a folder. Their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("raw_path"))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(raw_path, raw_sha256, n_bytes) of a file or of the files of a folder."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("raw_path"), F.sha2("content", 256).alias("raw_sha256"), F.col("length").alias("n_bytes"))
+    return hash_files(files_of(spark, path).withColumn("copy_to", F.lit(None).cast("string")))
 
 
-def register_raw(spark: SparkSession, root: str, path: str, code_version: str, params: dict[str, str] | None = None, dataset_id: str | None = None) -> str:
-    """Add an upload's files to the manifest and return its dataset id.
+def _claim(spark: SparkSession, root: str, dataset_id: str) -> None:
+    """Create the id's claim; of several at once one succeeds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/claims/{dataset_id}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    try:
+        done = fs.createNewFile(path)
+    except Exception as e:
+        if not fs.exists(path):
+            raise
+        raise ValueError(f"dataset id {dataset_id} is taken") from e
+    if not done:
+        raise ValueError(f"dataset id {dataset_id} is taken")
+
 
-    An id that is taken is an error: an import never gets another one's id.
-    The manifest row is written as a partition of its own that must not
-    exist, so a second registration under one id fails.
+def register_raw(spark: SparkSession, root: str, path: str, code_version: str, params: dict[str, str] | None = None, dataset_id: str | None = None, copy: bool = True) -> str:
+    """Take in an upload and return its dataset id.
+
+    The id is claimed first, by creating a file that must not exist: an
+    import never gets another one's id, also when both register at once. The
+    files are then copied to ``raw/dataset_id=<id>`` (with ``copy=False`` they
+    stay where they are and are only recorded), and the manifest gets a
+    partition of its own for the id, which must not exist either.
     """
-    dataset_id = dataset_id or new_dataset_id(spark, root)
-    if not read_manifest(spark, root).filter(F.col("dataset_id") == dataset_id).isEmpty():
-        raise ValueError(f"dataset id {dataset_id} is taken")
+    dataset_id = dataset_id or new_dataset_id()
+    _claim(spark, root, dataset_id)
+    base = root if "://" in root else f"file://{root}"
+    name = F.element_at(F.split("raw_path", "/"), -1)
+    target = F.concat(F.lit(f"{base}/raw/dataset_id={dataset_id}/"), name) if copy else F.lit(None).cast("string")
     options = F.create_map(*[F.lit(x) for pair in sorted((params or {}).items()) for x in pair]) if params else F.lit(None)
-    rows = digests(spark, path).select(
-        F.lit(dataset_id).alias("dataset_id"), "raw_path", "raw_sha256", "n_bytes", F.lit(code_version).alias("code_version"), options.cast("map<string,string>").alias("params"), F.current_timestamp().alias("imported_at")
+    rows = hash_files(files_of(spark, path).withColumn("copy_to", target)).select(
+        "raw_path", "raw_sha256", "n_bytes", F.lit(code_version).alias("code_version"), options.cast("map<string,string>").alias("params"), F.current_timestamp().alias("imported_at")
     )
-    rows.write.mode("append").parquet(f"{root}/manifest")
+    rows.write.mode("errorifexists").parquet(f"{root}/manifest/dataset_id={dataset_id}")
     return dataset_id
 
 
+def raw_paths(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
+    """(raw_path, raw_sha256, n_bytes) of an upload, from the manifest."""
+    return read_manifest(spark, root).filter(F.col("dataset_id") == dataset_id).select("raw_path", "raw_sha256", "n_bytes")
+
+
 def verify_raw(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    """(raw_path, status) of an upload's files: unchanged, changed or missing."""
-    known = read_manifest(spark, root).filter(F.col("dataset_id") == dataset_id).select("raw_path", F.col("raw_sha256").alias("old"))
-    now = None
-    for row in known.select("raw_path").toLocalIterator():
-        try:
-            one = digests(spark, row.raw_path)
-        except AnalysisException:
-            continue
-        now = one if now is None else now.union(one)
-    if now is None:
-        return known.select("raw_path", F.lit("missing").alias("status"))
-    now = now.select("raw_path", F.col("raw_sha256").alias("new"))
+    """(raw_path, status) of an upload's files: unchanged, changed or missing, in one job."""
+    known = raw_paths(spark, root, dataset_id).select("raw_path", F.col("raw_sha256").alias("old"))
+    now = hash_files(known.withColumn("copy_to", F.lit(None).cast("string"))).select("raw_path", F.col("raw_sha256").alias("new"))
     status = F.when(F.col("new").isNull(), "missing").when(F.col("new") == F.col("old"), "unchanged").otherwise("changed")
     return known.join(now, "raw_path", "left").select("raw_path", status.alias("status"))

@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quernel.sources.shared import shared_place
+
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The events table as a file stream; times become instants, as watermarks need."""
+    """The events table, a file or a folder, as a file stream; times become instants, as watermarks need."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    # streams read folders: a table that is a file is picked from its folder by its name
+    stream = reader.parquet(f"{sf_dir}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drain(df: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFrame:
     """Run a streaming query over what is there now and return its result table.
 
-    The memory sink holds the result on the driver: it serves checks of a
-    bounded stream. Production streams use ``writeStream`` with a file or
-    foreachBatch sink and a checkpoint location in the shared folder.
+    The table is files in the shared folder, beside the query's checkpoint;
+    nothing comes to the driver. Each batch replaces its own folder, so one
+    that is run again after a failure does not repeat rows. In complete mode
+    the last batch is the result, otherwise all are.
     """
-    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    place = shared_place(spark, "stream")
     provider = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(provider, None)
+    batches: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+        batches.append(number)
+
     if rocksdb:
-        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        spark.conf.set(provider, ROCKSDB)
     try:
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         if rocksdb:
             spark.conf.set(provider, old) if old else spark.conf.unset(provider)
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], df.schema)
+    wanted = [max(batches)] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(df.schema).parquet(*[f"{place}/rows/batch={n}" for n in wanted])
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None) -> Callable[[], None]:
@@ -100,3 +119,32 @@ def running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user, by a custom stateful operator."""
     s = events_stream(spark, sf_dir).select("user_id", "event_id").groupBy("user_id").transformWithStateInPandas(RunningCount(), "user_id long, n long", "Update", "None")
     return drain(s, "update", rocksdb=True)
+
+
+class RunningTotal(StatefulProcessor):
+    """Number and total of the values so far of each key, row by row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long, cents long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:  # noqa: N802
+        n, cents = self.seen.get() if self.seen.exists() else (0, 0)
+        for r in rows:
+            n, cents = n + 1, cents + round(100 * r.value)
+        self.seen.update((n, cents))
+        yield Row(user_id=key[0], n=n, cents=cents)
+
+    def close(self) -> None:
+        pass
+
+
+def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and cents of each user, by the row interface of custom state."""
+    s = events_stream(spark, sf_dir).select("user_id", "value").groupBy("user_id").transformWithState(RunningTotal(), "user_id long, n long, cents long", "Update", "None")
+    return drain(s, "update", rocksdb=True)
+
+
+def rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the rate source, by remainder: a stream that needs no files."""
+    s = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 100).option("numPartitions", 4).load()
+    return drain(s.select((F.col("value") % 10).alias("k"), "value"))

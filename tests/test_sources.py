@@ -15,19 +15,81 @@ def points(spark, rows):
 
 
 def test_register_and_verify(spark, tmp_path):
-    f = tmp_path / "up.csv"
+    f, root = tmp_path / "up.csv", str(tmp_path / "root")
     f.write_text("1,2\n")
-    first = raw.register_raw(spark, str(tmp_path / "root"), str(f), "v1", {"gap": "6"})
-    assert raw.read_manifest(spark, str(tmp_path / "root")).count() == 1
-    assert {r.status for r in raw.verify_raw(spark, str(tmp_path / "root"), first).collect()} == {"unchanged"}
+    first = raw.register_raw(spark, root, str(f), "v1", {"gap": "6"})
+    assert raw.read_manifest(spark, root).count() == 1
+    assert {r.status for r in raw.verify_raw(spark, root, first).collect()} == {"unchanged"}
     with pytest.raises(ValueError):
-        raw.register_raw(spark, str(tmp_path / "root"), str(f), "v1", dataset_id=first)
-    second = raw.register_raw(spark, str(tmp_path / "root"), str(f), "v1")
+        raw.register_raw(spark, root, str(f), "v1", dataset_id=first)
+    second = raw.register_raw(spark, root, str(f), "v1", copy=False)
     assert second != first
-    f.write_text("1,3\n")
-    assert {r.status for r in raw.verify_raw(spark, str(tmp_path / "root"), first).collect()} == {"changed"}
+    f.write_text("1,3\n")  # the copy is not touched; what was only recorded is found to differ
+    assert {r.status for r in raw.verify_raw(spark, root, first).collect()} == {"unchanged"}
+    assert {r.status for r in raw.verify_raw(spark, root, second).collect()} == {"changed"}
+    copy = tmp_path / "root/raw" / f"dataset_id={first}" / "up.csv"
+    copy.write_text("1,9\n")
+    assert {r.status for r in raw.verify_raw(spark, root, first).collect()} == {"changed"}
+    copy.unlink()
     f.unlink()
-    assert {r.status for r in raw.verify_raw(spark, str(tmp_path / "root"), first).collect()} == {"missing"}
+    assert {r.status for i in (first, second) for r in raw.verify_raw(spark, root, i).collect()} == {"missing"}
+
+
+def test_one_of_two_registrations_at_once_succeeds(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    f, root = tmp_path / "up.csv", str(tmp_path / "root")
+    f.write_text("1,2\n")
+
+    def register(_):
+        try:
+            return raw.register_raw(spark, root, str(f), "v1", dataset_id="one")
+        except ValueError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(map(str, pool.map(register, range(4)))) == ["None"] * 3 + ["one"]
+    assert raw.read_manifest(spark, root).count() == 1
+
+
+def test_digests_are_read_in_blocks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    body = bytes(range(256)) * 50_000
+    (tmp_path / "up").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "up" / name).write_bytes(body + name.encode())
+    got = {r.raw_path.rsplit("/", 1)[1]: (r.raw_sha256, r.n_bytes) for r in raw.digests(spark, str(tmp_path / "up")).collect()}
+    assert got == {n: (hashlib.sha256(body + n.encode()).hexdigest(), len(body) + 1) for n in ("a", "b")}
+
+
+def test_formats_and_modes(spark, tmp_path):
+    schema = points(spark, []).schema
+    (tmp_path / "p.xml").write_text("<all><p><track_id>1</track_id><point_id>2</point_id><ts>2024-01-01T00:00:00</ts><x>0.5</x><y>1.5</y></p><p><track_id>no</track_id></p></all>")
+    good, bad = tables.import_points(spark, str(tmp_path / "p.xml"), "xml", "d", rowTag="p")
+    assert [(r.track_id, r.point_id, r.x) for r in good.collect()] == [(1, 2, 0.5)] and bad.count() == 1
+    (tmp_path / "p.json").write_text('{"track_id": 1, "point_id": 5}\n{"track_id": \n')
+    good, bad = tables.import_points(spark, str(tmp_path / "p.json"), "json", "d")
+    assert [r.point_id for r in good.collect()] == [5] and bad.count() == 1
+    (tmp_path / "p.csv").write_text("1,1,2024-01-01T00:00:00,oops,1.5\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST"):
+        tables.read_files(spark, str(tmp_path / "p.csv"), "csv", schema, mode="FAILFAST").collect()
+    (tmp_path / "p.txt").write_text("a b\n\nc\n")
+    assert [r.value for r in tables.read_files(spark, str(tmp_path / "p.txt"), "text").collect()] == ["a b", "", "c"]
+
+
+def test_import_flow_of_an_upload_twice(spark, tmp_path):
+    from quernel.sources import imports
+
+    f = tmp_path / "p.csv"
+    f.write_text("1,1,2024-01-01T00:00:00,0.5,1.5\n1,2,2024-01-01T09:00:00,0.5,400\n1,x,,,\n")
+    root, rules = str(tmp_path / "root"), [Rule("y up to 300", F.col("y") <= 300, fatal=False)]
+    one, two = (imports.import_upload(spark, root, str(f), "csv", "v1", rules) for _ in range(2))
+    assert one.dataset_id != two.dataset_id and one.points.count() == 2 and one.bad.count() == 1
+    assert {r.check: (r.status, r.n_failed) for r in one.validation.collect()} == {"y up to 300": ("warn", 1), "unique(track_id, point_id)": ("pass", 0), "parsed": ("warn", 1)}
+    # the same bytes, code and parameters: one product
+    assert one.summary.inputFiles() == two.summary.inputFiles() and one.summary.count() == 2
+    assert not any((tmp_path / "root/working" / d).exists() and list((tmp_path / "root/working" / d).iterdir()) for d in (one.dataset_id, two.dataset_id))
 
 
 def test_import_sets_bad_records_aside(spark, tmp_path):
@@ -132,5 +194,37 @@ def test_iterative_simplification_against_brute_force(spark):
 def test_asof_join_ties_and_nulls(spark):
     left = spark.createDataFrame([(1, 10, "a"), (1, 5, "b"), (None, 10, "c"), (2, 1, "d"), (1, None, "e")], "k int, t int, v string")
     right = spark.createDataFrame([(1, 10, 1), (1, 10, 2), (1, 4, 0), (None, 1, 9)], "k int, t int, w int")
-    got = {r.v: r.w_asof for r in joins.asof_join(left, right, "k", "t", ["w"]).collect()}
-    assert got == {"a": 2, "b": 0, "c": None, "d": None, "e": None}
+    for block in (None, 1, 4, 1000):
+        got = {r.v: r.w_asof for r in joins.asof_join(left, right, "k", "t", ["w"], block=block).collect()}
+        assert got == {"a": 2, "b": 0, "c": None, "d": None, "e": None}
+
+
+def test_asof_join_in_blocks_of_time(spark):
+    import random
+
+    r = random.Random(3)
+    side = lambda n: [(r.randint(1, 3), r.randint(0, 500), i) for i in range(n)]
+    left, right = side(200), side(60)
+    a, b = spark.createDataFrame(left, "k int, t int, v int"), spark.createDataFrame(right, "k int, t int, w int")
+    want = {v: max(((t2, w) for k2, t2, w in right if k2 == k and t2 <= t), default=(0, None))[1] for k, t, v in left}
+    for block in (None, 7, 100):
+        assert {x.v: x.w_asof for x in joins.asof_join(a, b, "k", "t", ["w"], block=block).collect()} == want
+
+
+def test_salted_join_of_hot_keys(spark):
+    big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(900)] + [(None, -1)], "k int, v int")
+    other = spark.createDataFrame([(i, f"n{i}") for i in range(0, 900, 2)] + [(1, "one"), (1, "uno"), (None, "x")], "k int, s string")
+    assert sorted(map(tuple, joins.salted_join(big, other, "k", 4).collect())) == sorted(map(tuple, big.join(other, "k").collect()))
+
+
+def test_reports_use_sketches_beyond_a_bound(spark):
+    df = spark.range(50)
+    plan = lambda **how: quality_report(df, "d", "t", **how)._jdf.queryExecution().toString()
+    assert "approx_count_distinct" in plan(exact_rows=10) and "approx_count_distinct" not in plan()
+
+
+def test_plans(spark):
+    from quernel.plans import catalogue
+
+    df = catalogue.queries()["sort_aggregate"](spark, "/root/testdata/sf0.001")
+    assert "SortAggregate" in df._jdf.queryExecution().toString()

@@ -35,3 +35,5 @@ def test_state_counts_all_rows(spark, tmp_path):
     batch(spark, str(tmp_path), 0, [(i, "2024-01-01 00:10:00") for i in range(5)])
     batch(spark, str(tmp_path), 1, [(i, "2024-01-01 00:20:00") for i in range(5, 8)])
     assert streams.running_count(spark, str(tmp_path)).agg(F.max("n")).head()[0] == 8
+    assert streams.running_total(spark, str(tmp_path)).agg(F.max("n"), F.max("cents")).head() == (8, 800)
+    assert streams.sliding(spark, str(tmp_path)).agg(F.sum("n")).head()[0] == 16
