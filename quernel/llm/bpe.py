@@ -86,14 +86,14 @@ class ByteBpe:
         m = 8
         while True:
             a, b = max(0, len(left) - m), min(len(right), m)
-            head, tail = self.token_bytes(left[a:]), self.token_bytes(right[:b])
-            if self._whole_start(left, a) and self._whole_end(right, b):
-                window = self.encode((head + tail).decode("utf-8"))
-                if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
-                    return left[:a] + window + right[b:]
-            if a == 0 and b == len(right):
-                raise ValueError("the sides are not whole characters")
-            m *= 2
+            while not self._whole(left, a):
+                a -= 1
+            while not self._whole(right, b):
+                b += 1
+            window = self.encode((self.token_bytes(left[a:]) + self.token_bytes(right[:b])).decode("utf-8"))
+            if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
+                return left[:a] + window + right[b:]
+            m = 2 * max(len(left) - a, b)
 
     def _even(self, before: bytes, after: bytes) -> bool:
         """Whether the pattern sees the same at this place from either side."""
@@ -107,11 +107,8 @@ class ByteBpe:
             return kinds[1] != " " != kinds[3]
         return kinds[0] != " " and len(set(kinds)) == 1 and "'" not in b + a
 
-    def _whole_start(self, ids: list[int], at: int) -> bool:
-        return at == 0 or self._even(self.token_bytes(ids[max(0, at - 8) : at]), self.token_bytes(ids[at : at + 8]))
-
-    def _whole_end(self, ids: list[int], at: int) -> bool:
-        return at == len(ids) or self._even(self.token_bytes(ids[max(0, at - 8) : at]), self.token_bytes(ids[at : at + 8]))
+    def _whole(self, ids: list[int], at: int) -> bool:
+        return at in (0, len(ids)) or self._even(self.token_bytes(ids[max(0, at - 8) : at]), self.token_bytes(ids[at : at + 8]))
 
     def join_tree(self, parts: list[list[int]]) -> list[int]:
         """Neighbours are joined level by level."""
