@@ -56,7 +56,11 @@ def repeated_words(ws: Column, n: int = 8) -> Column:
             at = F.transform(_equal_neighbours(ordered, lambda a, b: whole(a) == whole(b)), lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
             return bound(F.sort_array(at), lambda p: _spread(p, n))
 
-        return bound(F.sort_array(F.transform(hs, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))), count)
+        def mixed(ordered: Column) -> Column:
+            """Whether windows with equal upper bits differ, so that equal ones may be no neighbours."""
+            return F.exists(F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.coalesce((F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)) & (whole(a) != whole(b)), F.lit(False))), lambda x: x)
+
+        return bound(F.sort_array(F.transform(hs, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))), lambda o: F.when(mixed(o), plain(hs)).otherwise(count(o)))
 
     def plain(hs: Column) -> Column:
         def count(ordered: Column) -> Column:
@@ -94,7 +98,8 @@ def score_quality(
     whole table.
 
     Null text has no words and fails. Null hosts are one host. Repeated rows
-    are documents of their own. Results replace columns of the same names.
+    are documents of their own. A very long text is one row, its windows an
+    array of hashes. Results replace columns of the same names.
     An empty table gives an empty result.
 
     A document adds each distinct line once, so documents per line are a

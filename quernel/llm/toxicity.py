@@ -253,7 +253,8 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
     Null and empty texts get the score of a text without evidence. Ids may be
     null or repeated; rows are scored one by one, by their text alone. Other
-    columns are ignored. An empty table gives an empty result. The model,
+    columns are ignored. A very long text is scored whole. An empty table gives
+    an empty result. The model,
     whose size ``train`` bounds, is broadcast; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

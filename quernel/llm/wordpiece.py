@@ -151,8 +151,8 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     Words are maximal runs outside ``[\x20\x09-\x0D]``, A-Z lower-cased; a
     text's tokens are the greedy longest-match pieces of its words. Null,
     empty and blank texts have none. Ids may be null or repeated; other
-    columns are ignored. An empty table gives an empty result. Nothing is
-    shuffled; the vocabulary's automaton, a fixed size, is built once in each
+    columns are ignored. A very long text is read whole, in step. An empty table
+    gives an empty result. Nothing is shuffled; the vocabulary's automaton, a fixed size, is built once in each
     Python worker.
     """
     path = vocabulary or default_vocabulary()
