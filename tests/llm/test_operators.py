@@ -138,20 +138,17 @@ def mirrored_words(n=1024):
     return ("".join("ab"[x] for x in out), "".join("ba"[x] for x in out))
 
 
-@pytest.mark.parametrize("n", [64, 256, 1024])
-def test_words_of_a_known_construction_differ(spark, n):
-    x, y = mirrored_words(n)
-    data = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
-    h = tokens.words_of(data, np.array([0, len(data)])).hashes
-    assert h[0] == h[2] != h[1]
-    df = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
-    assert {r.component_id for r in neardup.near_duplicates(df, k=3, per_cent=85).collect()} == {1, 2}
-    assert {(r.doc_id, r.n_known) for r in ngramlm.score_texts(df, F.col("doc_id") == 2).collect()} == {(1, 2), (2, 1)}
-    pieces = {b"a", b"b", x.encode()}
-    machine = wordpiece.LongestMatch(pieces)
-    assert machine.counts(tokens.words_of(data, np.array([0, len(data)]))).tolist() == [1, greedy(y.encode(), pieces, pieces), 1]
-    ws = tokens.words_of(data, np.array([0, len(data)]))
-    assert len(toxicity.distinct_words(ws)[0]) == 2
+def test_words_of_a_known_construction_differ(spark):
+    pairs = [mirrored_words(n) for n in (64, 256, 1024)]
+    for x, y in pairs:
+        data = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
+        ws = tokens.words_of(data, np.array([0, len(data)]))
+        assert ws.hashes[0] == ws.hashes[2] != ws.hashes[1] and len(toxicity.distinct_words(ws)[0]) == 2
+        pieces = {b"a", b"b", x.encode()}
+        assert wordpiece.LongestMatch(pieces).counts(ws).tolist() == [1, greedy(y.encode(), pieces, pieces), 1]
+    df = spark.createDataFrame([(2 * i + j, w) for i, pair in enumerate(pairs) for j, w in enumerate(pair)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df, k=3, per_cent=85).collect()} == {(i, i) for i in range(6)}
+    assert {(r.doc_id, r.n_known) for r in ngramlm.score_texts(df, F.col("doc_id") % 2 == 1).collect()} == {(i, 2 if i % 2 == 0 else 1) for i in range(6)}
 
 
 def test_near_duplicates_odd_rows(spark, rows):
@@ -508,6 +505,29 @@ def test_bpe_join_is_exact():
         assert mine.decode(got) == theirs.decode(got, skip_special_tokens=False)
 
 
+def test_bpe_joins_re_encode_little_in_any_script(monkeypatch):
+    """A join looks at a window around it, whatever the script: of long texts little is encoded a second time."""
+    mine = bpe.load(bpe.default_vocabulary())
+    r = random.Random(5)
+    texts = {
+        "latin": " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(9000)),
+        "cyrillic": " ".join("".join(r.choice("абвгдежз") for _ in range(r.randint(1, 9))) for _ in range(9000)),
+        "japanese": "".join(r.choice("日本語テキストかな漢字、。") for _ in range(40000)),
+        "digits": "".join(r.choice("0123456789 ") for _ in range(40000)),
+        "signs": "".join(r.choice("+-*/=<>!?") for _ in range(40000)),
+    }
+    done = []
+    plain = bpe.ByteBpe.encode
+    monkeypatch.setattr(bpe.ByteBpe, "encode", lambda self, text: done.append(len(text)) or plain(self, text))
+    for name, text in texts.items():
+        parts = [mine.encode(text[i : i + 4096]) for i in range(0, len(text), 4096)]
+        done.clear()
+        got = mine.join_tree(parts)
+        again = sum(done)
+        assert got == mine.encode(text), name
+        assert again < 0.2 * len(text), (name, again / len(text))
+
+
 def test_bpe_texts(spark, rows):
     from tokenizers import Tokenizer
 
@@ -697,3 +717,33 @@ def test_word_places(rows):
             ws = tokens.words_of(data, offsets)
             got += [[ws.data[a:b].tobytes().decode() for a, b in zip(ws.starts[x:y], ws.ends[x:y])] for x, y in zip(ws.first, ws.first[1:])]
         assert got == [words(t or "") for _, t, _ in rows[2:]]
+
+
+def test_very_long_texts(spark):
+    """Texts far beyond a batch's or a leaf's size go through every operator whole."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(17)
+    vocab = ["".join(r.choice("abcdeé日") for _ in range(r.randint(1, 7))) for _ in range(3000)]
+    long = "\n".join(" ".join(r.choice(vocab) for _ in range(40)) for _ in range(3000))
+    near = long.replace("a", "b", 3)
+    rows = [(1, long, "h"), (2, near, "h"), (3, "short text", "h"), (4, "w" * 300_000, "h"), (5, long.split("\n")[0], "h")]
+    df = frame(spark, rows)
+    w = {i: words(t) for i, t, _ in rows}
+    assert {(x.doc_id, x.component_id) for x in neardup.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
+    cut = {x.doc_id: x for x in linededup.dedup_lines(df).collect()}
+    assert cut[1].n_dropped == 0 and cut[2].n_dropped > 2990 and cut[5].text == ""
+    assert {x.doc_id: x.n_words for x in wordpiece.token_counts(df).collect()} == {i: len(x) for i, x in w.items()}
+    scored = {x.doc_id: x for x in ngramlm.score_texts(df, F.col("doc_id") == 2).collect()}
+    want = dict(zip(w, brute_lm(list(w.values()), [i == 2 for i in w])))
+    assert all(abs(scored[i].score - want[i][4]) < 0.01 * want[i][0] for i in w)
+    item = " ".join(w[1][5000:5030])
+    assert {x.doc_id for x in decontam.find_leaks(df, spark.createDataFrame([(1, item)], "item_id int, text string")).collect()} == {1, 2}
+    theirs = Tokenizer.from_file(bpe.default_vocabulary())
+    assert {x.doc_id: x.ids for x in bpe.encode_texts(df).collect()} == {i: theirs.encode(t, add_special_tokens=False).ids for i, t, _ in rows}
+    assert {x.doc_id: x.n_words for x in quality.score_quality(df).collect()} == {i: len(x) for i, x in w.items()}
+    assert {x.doc_id for x in licenses.scan_licenses(df).collect()} == set(w)
+    model = toxicity.train(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int"))
+    assert toxicity.score_toxicity(df, model).count() == toxicity.keep_clean(df, model, 2.0).count() == 5
+    talk = spark.createDataFrame([(1, 1, "user", long), (1, 2, "assistant", near)], "conv_id int, turn int, role string, text string")
+    assert chat.digest(chat.format_conversations(talk)).head().loss_chars == len(near)

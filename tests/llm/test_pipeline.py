@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quernel.llm import bpe
@@ -91,3 +92,24 @@ def test_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_odd_rows(spark, sf_dir):
+    """Repeated ids, nulls, blank and long texts, and columns with working names go through every stage, each with all its columns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    more = spark.createDataFrame([(5, "a second text under a known id, of its own words", None, None, 1), (5, "a second text under a known id, of its own words", None, None, 1), (2000, long, "en", "s", 2), (2001, long + " end", "en", "s", 2), (2002, " \n ", "en", "s", 2)], docs.schema)
+    docs = docs.unionByName(more)
+    for name in ("row", "score", "version", "uid", "h", "now_id", "lines"):
+        docs = docs.withColumn(name, F.lit(name))
+    ids = sorted((x.doc_id for x in docs.collect()), key=str)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns
+        have = sorted((x.doc_id for x in kept.collect()), key=str)
+        assert not [i for i in set(have) if have.count(i) > ids.count(i)]
+        assert None in have and {1000, 1001, 2002} <= set(have), name
+        assert all(x.row == "row" and x.lines == "lines" for x in kept.collect())
+    assert 2000 in have and 2001 not in have
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).count() == len(have)
