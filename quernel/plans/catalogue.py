@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quernel.functions import udfs
 from quernel.functions.geo import haversine
@@ -45,8 +46,17 @@ def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in _QUERIES.items() if sql is not None}
 
 
+_SCHEMAS: dict[tuple[str, int], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder. Its footer is read once for each state of the file, which a modification time tells."""
+    where = f"{sf_dir}/{name}.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    key = where, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(where).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(where)
 
 
 def sql(name: str, spark_sql: str, duck_sql: str | None = None, oracle: bool = True) -> None:
