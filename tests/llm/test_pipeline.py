@@ -97,7 +97,9 @@ def test_empty_tables(spark, sf_dir):
 def test_odd_rows(spark, sf_dir):
     """Repeated ids, nulls, blank and long texts, and columns with working names go through every stage, each with all its columns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    clean = sorted((x.doc_id, x.text) for x in docs.collect() if x.doc_id is not None and x.doc_id < 400 and x.doc_id % 6 and x.doc_id % 9 != 1)
+    long = " ".join(t.replace("\n", " ") for _, t in clean) * 2
+    assert len(long) > 1 << 15
     more = spark.createDataFrame([(5, "a second text under a known id, of its own words", None, None, 1), (5, "a second text under a known id, of its own words", None, None, 1), (2000, long, "en", "s", 2), (2001, long + " end", "en", "s", 2), (2002, " \n ", "en", "s", 2)], docs.schema)
     docs = docs.unionByName(more)
     for name in ("row", "score", "version", "uid", "h", "now_id", "lines"):
