@@ -112,3 +112,18 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(x.labels, [])))), ',') AS labels,
   greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0))::DOUBLE AS score
 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id"""
+
+SQL["op13_prefix_trie"] = """
+WITH z AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS z FROM range(256) r(i)),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS idx, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+e AS (SELECT c, c - c % 5 AS b, xor(4294967295, list_reduce(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda j: ascii(CAST(c AS VARCHAR)[j])::BIGINT), lambda x, y: xor(z[(xor(x, y) & 255) + 1], x >> 8), 4294967295)) % 9 AS h FROM (SELECT DISTINCT c FROM o), z),
+r AS (SELECT e.c, idx, role, text FROM o JOIN e ON o.c = e.b AND idx <= h UNION ALL SELECT o.c, idx, role, text FROM o JOIN e ON o.c = e.c WHERE idx > h),
+l AS (SELECT e.c, coalesce(list({'role': role, 'text': text} ORDER BY idx) FILTER (WHERE idx IS NOT NULL), []) AS turns FROM e LEFT JOIN r ON r.c = e.c GROUP BY e.c),
+m AS (SELECT c, len(turns) AS n, d, turns[1:d] AS said FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM l)),
+a AS (SELECT c, n, d, min(c) OVER (PARTITION BY d, said) AS id, CASE WHEN d > 0 THEN strlen(said[d].text) ELSE 0 END AS size FROM m),
+v AS (SELECT id, d, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM a GROUP BY id, d),
+p AS (SELECT v.*, a.id AS parent FROM v LEFT JOIN a ON a.c = v.id AND a.d = v.d - 1),
+k AS (SELECT parent AS id, d - 1 AS d, count(*) AS n FROM p WHERE d > 0 GROUP BY ALL),
+w AS (SELECT p.*, coalesce(k.n, 0) AS n_children FROM p LEFT JOIN k ON k.id = p.id AND k.d = p.d),
+t AS (SELECT a.id, a.d, count(*) FILTER (WHERE w.n_children = 0) AS leaves, sum((w.n_convs - 1) * w.size) AS saved FROM w JOIN a ON a.c = w.id AND a.d <= w.d GROUP BY a.id, a.d)
+SELECT w.id AS conv_id, w.d AS depth, parent AS parent_conv_id, n_convs, n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256 FROM w JOIN t ON t.id = w.id AND t.d = w.d"""

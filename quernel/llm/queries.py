@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, chat, decontam, licenses, linededup, neardup, ngramlm, quality, toxicity, wordpiece
+from quernel.llm import bpe, chat, decontam, licenses, linededup, neardup, ngramlm, quality, toxicity, trie, wordpiece
 from quernel.llm.text import sha256_hex
 
 
@@ -76,3 +76,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.filter(~out), labels.filter(~out))
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt on the first turns of the first of its five."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = F.col("c")
+    return trie.prefix_trie(turns, head=F.crc32(c.cast("string").cast("binary")) % 9, base=c - c % 5, longest_head=8)
