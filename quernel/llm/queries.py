@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, chat, decontam, divergence, licenses, linededup, neardup, ngramlm, quality, toxicity, trie, wordpiece
+from quernel.llm import bpe, chat, decontam, divergence, licenses, linededup, neardup, ngramlm, packing, quality, toxicity, trie, wordpiece
 from quernel.llm.text import sha256_hex
 
 
@@ -78,6 +78,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and packed into sequences of 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language are from each other, and the terms that set each apart."""
     return divergence.source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
