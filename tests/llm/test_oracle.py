@@ -31,4 +31,4 @@ def test_query(spark, duck, name):
 
 def test_each_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
