@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from quernel.llm.scratch import Scratch
 from quernel.llm.text import wide_hash
 
-#: Ids of one node that are joined into one value: those of a range of so many numbers.
-ID_BLOCK = 4096
-NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+#: Ids of one node that are joined into one value: those that differ in so many last bits.
+ID_BITS = 12
 
 
 def order_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -64,15 +63,17 @@ def rebuild(ordered: DataFrame, head: Column, base: Column, longest_head: int) -
 
 def _with_rests(rebuilt: DataFrame) -> DataFrame:
     """(c, pos, k, size, n, rest1, rest2, later): the place of each turn, the number of turns, and of the turns after it a hash and the bytes."""
-    order = W.partitionBy("c").orderBy("idx")
-    after = order.rowsBetween(1, W.unboundedFollowing)
-    placed = rebuilt.withColumn("pos", F.row_number().over(order) - 1)
+    # from the last turn on: frames that end before the row are running sums
+    order = W.partitionBy("c").orderBy(F.desc("idx"))
+    after = order.rowsBetween(W.unboundedPreceding, -1)
+    numbered = rebuilt.withColumns({"left": F.row_number().over(order) - 1, "n": (F.count("*").over(W.partitionBy("c")) - 1).cast("int")})
+    placed = numbered.withColumn("pos", F.col("n") - F.col("left"))
     h1, h2 = wide_hash(F.col("pos"), F.col("k"))
     none = F.lit(0).cast("long")
     return (
         placed.withColumns({"h1": h1, "h2": h2})
-        .withColumns({"rest1": F.coalesce(F.bit_xor("h1").over(after), none), "rest2": F.coalesce(F.bit_xor("h2").over(after), none), "later": F.coalesce(F.sum("size").over(after), none), "left": F.count("*").over(after)})
-        .select("c", "pos", "k", "size", (F.col("pos") + F.col("left")).alias("n"), "rest1", "rest2", "later")
+        .withColumns({"rest1": F.coalesce(F.bit_xor("h1").over(after), none), "rest2": F.coalesce(F.bit_xor("h2").over(after), none), "later": F.coalesce(F.sum("size").over(after), none)})
+        .select("c", "pos", "k", "size", "n", "rest1", "rest2", "later")
     )
 
 
@@ -89,7 +90,7 @@ def _digests(spark: SparkSession, ends: DataFrame) -> DataFrame:
     through one streaming digest, which holds none of them. SHA-256 has to
     see a node's ids one after another, so that much is one task's work.
     """
-    block = F.floor(F.col("c") / ID_BLOCK)
+    block = F.shiftright("c", ID_BITS)
     ids = ends.groupBy("id", "depth", block.alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda x: x.cast("string")), ",").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,8 @@ def prefix_trie(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     while not (live := levels[-1].filter("NOT closed AND n > depth")).isEmpty():
         depth = len(levels)
         rows = held.filter(F.col("pos") == depth).join(live.select("c", F.col("id").alias("parent")), "c")
-        nodes = _grouped(rows, ["parent", "k"])
+        # read back, so that both sides of the join are plain exchanges, of which adaptive execution splits a hot one
+        nodes = scratch.keep(_grouped(rows, ["parent", "k"]))
         levels.append(scratch.keep(rows.join(nodes, ["parent", "k"]).select(*shape)))
 
     # from the deepest level up; a closed node's chain has its leaf and its later bytes
@@ -193,7 +195,7 @@ def prefix_trie(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     last = levels[0].filter("closed OR n = depth")
     for x in levels[1:]:
         last = last.unionByName(x.filter("closed OR n = depth"))
-    ends = _digests(spark, last.select("id", F.col("n").cast("int").alias("depth"), "c"))
+    ends = _digests(spark, last.select("id", F.col("n").alias("depth"), "c"))
     nodes = found.unionByName(chain).withColumn("depth", F.col("depth").cast("int"))
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return nodes.join(ends, ["id", "depth"], "left").select(
