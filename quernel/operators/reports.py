@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernel.operators import selection
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,26 +46,35 @@ def validate(df: DataFrame, rules: list[Rule], dataset_id: str, unique: tuple[st
     return out.select(F.lit(dataset_id).alias("dataset_id"), "check", status.alias("status"), "n_failed", F.concat(F.col("n_failed").cast("string"), F.lit(" rows")).alias("detail"))
 
 
-def quality_report(df: DataFrame, dataset_id: str, table: str, columns: list[str] | None = None, quantiles: tuple[float, ...] = (0.5,), approximate: bool | None = None, exact_rows: int = 5_000_000) -> DataFrame:
+def quality_report(df: DataFrame, dataset_id: str, table: str, columns: list[str] | None = None, quantiles: tuple[float, ...] = (0.5,), sketches: bool = False, sort_rows: int = selection.SORT_ROWS) -> DataFrame:
     """One row per column and metric: dataset_id, table, column, metric, value.
 
     Metrics: rows, nulls and distinct values of every column; minimum,
-    maximum and quantiles of numeric ones. Exact distinct values
-    and quantiles gather all values of a column in the last task, so beyond
-    ``exact_rows`` rows, or with ``approximate``, sketches take their place,
-    which merge map-side and keep one row per partition in the shuffle.
+    maximum and quantiles (``p50``, ``p99_9``) of numeric ones. All are exact at any size:
+    distinct values are exchanged by value, quantiles found by histogram
+    rounds (``selection.quantiles``, which run when this is called), so no
+    task holds a column. With ``sketches`` the metrics ``approx_distinct``
+    and ``approx_p50`` come beside them, under these names of their own.
     """
-    if approximate is None:
-        approximate = df.count() > exact_rows
     kinds = {f.name: f.dataType for f in df.schema}
     columns = [c for c in (columns or df.columns) if not isinstance(kinds[c], (T.MapType, T.VariantType))]
+    numeric = [c for c in columns if isinstance(kinds[c], T.NumericType)]
+    names = {p: "p" + f"{100 * p:04.1f}".removesuffix(".0").replace(".", "_") for p in quantiles}
     cells: list[tuple[str, str, Column]] = [("*", "rows", F.count("*"))]
     for c in columns:
         q = F.col(f"`{c}`")
-        cells += [(c, "nulls", F.count_if(q.isNull())), (c, "distinct", F.approx_count_distinct(q) if approximate else F.count_distinct(q))]
-        if isinstance(kinds[c], T.NumericType):
+        cells.append((c, "nulls", F.count_if(q.isNull())))
+        if c in numeric:
             cells += [(c, "min", F.min(q)), (c, "max", F.max(q))]
-            cells += [(c, f"p{round(100 * p):02d}", F.approx_percentile(q, F.lit(p)) if approximate else F.percentile(q, F.lit(p))) for p in quantiles]
+        if sketches:
+            cells.append((c, "approx_distinct", F.approx_count_distinct(q)))
+            cells += [(c, f"approx_{names[p]}", F.approx_percentile(q, F.lit(p))) for p in quantiles if c in numeric]
     wide = df.agg(*[e.cast("double").alias(f"v{i}") for i, (_, _, e) in enumerate(cells)])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), F.col(f"v{i}").alias("value")) for i, (c, m, _) in enumerate(cells)])
-    return wide.select(F.explode(rows).alias("x")).select(F.lit(dataset_id).alias("dataset_id"), F.lit(table).alias("table"), "x.column", "x.metric", "x.value")
+    out = wide.select(F.explode(rows).alias("x")).select("x.*")
+    if columns:
+        out = out.unionByName(selection.distinct_counts(df, columns).select("column", F.lit("distinct").alias("metric"), F.col("n").cast("double").alias("value")))
+    held = [(c, names[p], v) for c in numeric for p, v in zip(quantiles, selection.quantiles(df, c, list(quantiles), sort_rows))]
+    if held:
+        out = out.unionByName(df.sparkSession.createDataFrame(held, "column string, metric string, value double"))
+    return out.select(F.lit(dataset_id).alias("dataset_id"), F.lit(table).alias("table"), "column", "metric", "value")

@@ -140,21 +140,28 @@ def dq_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(whole, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count("*").alias("orphans"))
 
 
+_QUANTILES = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+
+
 @query(
     "quality_metrics",
     """
-    SELECT 'd' AS dataset_id, 'events' AS "table", c AS "column", m AS metric, CAST(v AS DOUBLE) AS value FROM (
-      SELECT '*' AS c, 'rows' AS m, count(*) AS v FROM events
-      UNION ALL SELECT 'event_type', 'nulls', count(*) - count(event_type) FROM events
-      UNION ALL SELECT 'event_type', 'distinct', count(DISTINCT event_type) FROM events
-      UNION ALL SELECT 'value', 'nulls', count(*) - count(value) FROM events
-      UNION ALL SELECT 'value', 'distinct', count(DISTINCT value) FROM events
-      UNION ALL SELECT 'value', 'min', min(value) FROM events
-      UNION ALL SELECT 'value', 'max', max(value) FROM events
-      UNION ALL SELECT 'value', 'p50', quantile_cont(value, 0.5) FROM events)""",
+    SELECT 'd' AS dataset_id, 'lineitem' AS "table", c AS "column", m AS metric, CAST(v AS DOUBLE) AS value FROM (
+      SELECT '*' AS c, 'rows' AS m, count(*) AS v FROM lineitem
+      UNION ALL SELECT 'l_shipdate', 'nulls', count(*) - count(l_shipdate) FROM lineitem UNION ALL SELECT 'l_shipdate', 'distinct', count(DISTINCT l_shipdate) FROM lineitem"""
+    + "".join(
+        f"""
+      UNION ALL SELECT '{c}', 'nulls', count(*) - count({c}) FROM lineitem UNION ALL SELECT '{c}', 'distinct', count(DISTINCT {c}) FROM lineitem
+      UNION ALL SELECT '{c}', 'min', min({c}) FROM lineitem UNION ALL SELECT '{c}', 'max', max({c}) FROM lineitem"""
+        + "".join(f" UNION ALL SELECT '{c}', '{m}', quantile_cont(CAST({c} AS DOUBLE), {p}) FROM lineitem" for m, p in _QUANTILES.items())
+        for c in ("l_orderkey", "l_extendedprice", "l_discount")
+    )
+    + ")",
 )
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "events"), "d", "events", ["event_type", "value"])
+    """The report of four columns; intervals of over 1000 values go through histogram rounds."""
+    columns = ["l_shipdate", "l_orderkey", "l_extendedprice", "l_discount"]
+    return quality_report(table(spark, sf_dir, "lineitem"), "d", "lineitem", columns, tuple(_QUANTILES.values()), sort_rows=1000)
 
 
 @query(
