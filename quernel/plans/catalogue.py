@@ -95,11 +95,38 @@ def track_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.simplify(_points(spark, sf_dir), 50.0).select(F.col("track_id").alias("user_id"), F.col("point_id").alias("event_id"))
 
 
+#: Every other event belongs to track 0, which so has half of all rows.
+_HOT = "(SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS user_id, event_id, ts, value FROM events)"
+
+
+def _hot(points: DataFrame) -> DataFrame:
+    return points.withColumn("track_id", F.when(F.col("point_id") % 2 == 0, F.lit(0)).otherwise(F.col("track_id")))
+
+
+@query("hot_track_segment", oracle_sql()["track_segment"].replace("FROM events)", f"FROM {_HOT})", 1))
+def hot_track_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments where one track has half of all points: tracks in blocks of a day."""
+    e = _hot(_points(spark, sf_dir))
+    return tracks.summarise(e, gap_hours=6, block=86400).select(F.col("track_id").alias("user_id"), "seg", "n_points", "t0", "t1", F.round("min_y", 6).alias("min_value"), F.round("max_y", 6).alias("max_value"))
+
+
+@query("hot_track_simplify", oracle_sql()["track_simplify"].replace("FROM events)", f"FROM {_HOT})", 1))
+def hot_track_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-pass simplification where one track has half of all points, in blocks of a day."""
+    return tracks.simplify(_hot(_points(spark, sf_dir)), 50.0, block=86400).select(F.col("track_id").alias("user_id"), F.col("point_id").alias("event_id"))
+
+
 @query("track_simplify_iterative")
 def track_simplify_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.simplify_iterative(_points(spark, sf_dir), 50.0).select(F.col("track_id").alias("user_id"), F.col("point_id").alias("event_id"))
 
 
+@query("hot_track_simplify_iterative")
+def hot_track_simplify_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where one track has half of all points: each track by many tasks, a day a block."""
+    return tracks.simplify_iterative(_hot(_points(spark, sf_dir)), 50.0, block=86400).select(F.col("track_id").alias("user_id"), F.col("point_id").alias("event_id"))
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000.0)
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("point_id"), "ts", hours.alias("x"), F.col("value").alias("y"))
