@@ -296,11 +296,13 @@ def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
       (SELECT CAST(max(value) AS DOUBLE) FROM events) AS top FROM s""",
 )
 def import_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upload of events and two broken lines: registered, parsed, validated, published, summarised and verified."""
+    """An upload of events and two broken lines in folders of odd names: registered, parsed, validated, published, summarised and verified."""
     root = shared_place(spark, "import")
     e = _points(spark, sf_dir).withColumn("y", F.col("y").cast("string")).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     broken = spark.range(2).select(F.lit("1").alias("track_id"), F.col("id").cast("string").alias("point_id"), F.lit("never").alias("ts"), F.lit("x").alias("x"), F.lit("y").alias("y"))
-    e.select(*[F.col(c).cast("string") for c in broken.columns]).unionByName(broken).write.csv(f"{root}/upload")
+    lines = e.select(*[F.col(c).cast("string") for c in broken.columns]).unionByName(broken)
+    for half, name in enumerate(("first half", "100% of #2/nested")):
+        lines.filter(F.col("point_id").cast("long") % 2 == half).write.csv(f"{root}/upload/{name}")
     done = imports.import_upload(spark, root, f"{root}/upload", "csv", "v1", [Rule("y up to 300", F.col("y") <= 300, fatal=False)], timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     by = F.map_from_entries(F.collect_list(F.struct("check", F.struct("status", "n_failed"))))
     checks = done.validation.agg(by.alias("c")).select(F.col("c")["y up to 300"]["n_failed"].alias("above"), F.col("c")["parsed"]["status"].alias("parsed"), F.col("c")["unique(track_id, point_id)"]["status"].alias("keyed"))

@@ -1,13 +1,23 @@
-"""Derived products that are built once per input, code version and parameters."""
+"""Derived products that are built once per input, code version and parameters.
+
+A builder writes to a folder of its own and then puts a pointer to it that
+must not exist. So a product is read only when it is whole, nothing is
+overwritten while it is read, and of two builders at once one gives the
+product; the other removes what it built and reads that.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
+from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from quernel.sources.commits import hadoop_path, put_if_absent
 
 
 def derivation_key(raw_sha256: str | list[str], code_version: str, params: dict | None = None) -> str:
@@ -17,15 +27,73 @@ def derivation_key(raw_sha256: str | list[str], code_version: str, params: dict
     return hashlib.sha256(told.encode()).hexdigest()
 
 
+def _pointed(spark: SparkSession, pointer: str) -> str | None:
+    path, fs = hadoop_path(spark, pointer)
+    return spark.read.text(pointer, wholetext=True).head().value if fs.exists(path) else None
+
+
+def _build(spark: SparkSession, folder: str, key: str, df: DataFrame) -> str:
+    """Write ``df`` under ``folder`` and point the key to it, unless another builder was first; returns what it points to."""
+    own = f"{folder}/build={uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(own)
+    if put_if_absent(spark, f"{folder}/key={key}.pointer", own):
+        return own
+    path, fs = hadoop_path(spark, own)
+    fs.delete(path, True)
+    return _pointed(spark, f"{folder}/key={key}.pointer")
+
+
 def load_or_build(spark: SparkSession, root: str, product: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The product under ``key``: read if it was written whole, else built, written and read."""
-    path = f"{root}/generated/{product}/key={key}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(done):
-        build().write.mode("overwrite").parquet(path)
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        raise FileNotFoundError(path) from e
+    """The product under ``key``: read if it has been built, else built, written and read."""
+    folder = f"{root}/generated/{product}"
+    place = _pointed(spark, f"{folder}/key={key}.pointer") or _build(spark, folder, key, build())
+    return spark.read.parquet(place)
+
+
+def load_or_build_parts(spark: SparkSession, root: str, product: str, inputs: dict[str, str | list[str]], code_version: str, params: dict | None, build: Callable[[str], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """(the product over all partitions with a column ``part``, the partitions that were built now).
+
+    ``inputs`` gives each partition the digests of what it is made from;
+    ``build(part)`` is its plan. A partition whose digests, code version and
+    parameters have a product already is not built, nor are its inputs read.
+    The partitions of this state of the inputs are then named by a version
+    file of their own, ``versions/<n>.json``, which ``latest`` reads.
+    """
+    keys = {part: derivation_key(digests, code_version, params) for part, digests in sorted(inputs.items())}
+    places, built = {}, []
+    for part, key in keys.items():
+        folder = f"{root}/generated/{product}/part={quote(part, safe='')}"
+        place = _pointed(spark, f"{folder}/key={key}.pointer")
+        if place is None:
+            place = _build(spark, folder, key, build(part))
+            built.append(part)
+        places[part] = place
+    if _versions(spark, root, product)[1] != places:
+        while not put_if_absent(spark, f"{root}/generated/{product}/versions/{_versions(spark, root, product)[0] + 1:012d}.json", json.dumps(places)):
+            pass
+    return _read(spark, places), built
+
+
+def _versions(spark: SparkSession, root: str, product: str) -> tuple[int, dict[str, str]]:
+    path, fs = hadoop_path(spark, f"{root}/generated/{product}/versions")
+    names = sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+    names = [n for n in names if n[0] not in "_."]
+    if not names:
+        return 0, {}
+    return int(names[-1].removesuffix(".json")), json.loads(_pointed(spark, f"{root}/generated/{product}/versions/{names[-1]}"))
+
+
+def latest(spark: SparkSession, root: str, product: str) -> DataFrame:
+    """A partitioned product as of its last version."""
+    version, places = _versions(spark, root, product)
+    if not version:
+        raise FileNotFoundError(f"{root}/generated/{product}")
+    return _read(spark, places)
+
+
+def _read(spark: SparkSession, places: dict[str, str]) -> DataFrame:
+    paths = list(places.values())
+    rows = spark.read.parquet(paths[0]).schema
+    shape = T.StructType([*rows.fields, T.StructField("part", T.StringType()), T.StructField("build", T.StringType())])
+    # the folders part=... above the builds name the partitions
+    return spark.read.schema(shape).option("basePath", paths[0].rpartition("/part=")[0]).parquet(*paths).drop("build")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernel.sources.commits import hadoop_path
+
 CORRUPT = "_corrupt_record"
 
 TRACK_POINTS = T.StructType(
@@ -59,32 +61,40 @@ def replace_partitions(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 class Staging:
-    """The temporary folder of one import run, published by a rename."""
+    """The temporary folder of one import run; its tables are moved to names of the run's own and become visible by a commit."""
 
     def __init__(self, spark: SparkSession, root: str, dataset_id: str, run_id: str):
-        self.spark, self.root, self.dataset_id = spark, root, dataset_id
+        self.spark, self.root, self.dataset_id, self.run_id = spark, root, dataset_id, run_id
         self.path = f"{root}/working/{dataset_id}/{run_id}"
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return hadoop_path(self.spark, path)
+
+    def _target(self, name: str, product: str) -> str:
+        return f"{self.root}/{product}/dataset_id={self.dataset_id}/run={self.run_id}"
+
+    def _whole(self, path: str) -> bool:
+        done, fs = self._fs(f"{path}/_SUCCESS")
+        return fs.exists(done)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table of this run and read it back."""
-        df.write.mode("errorifexists").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+    def write(self, df: DataFrame, name: str, product: str | None = None) -> DataFrame:
+        """Write a table of this run and read it back; one that the run has whole already, here or published, is kept."""
+        place = self._target(name, product) if product and self._whole(self._target(name, product)) else f"{self.path}/{name}"
+        if not self._whole(place):
+            df.write.mode("overwrite").parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
 
     def publish(self, name: str, product: str) -> str:
-        """Move a staged table to its final place; an existing one is an error."""
+        """Move a staged table to its final place, which is this run's own."""
+        place = self._target(name, product)
+        if self._whole(place):
+            return place
         source, fs = self._fs(f"{self.path}/{name}")
-        target, _ = self._fs(f"{self.root}/{product}/dataset_id={self.dataset_id}")
-        if fs.exists(target):
-            raise FileExistsError(str(target))
+        target, _ = self._fs(place)
         fs.mkdirs(target.getParent())
         if not fs.rename(source, target):
             raise OSError(f"{source} could not be moved to {target}")
-        return str(target)
+        return place
 
     def discard(self) -> None:
         path, fs = self._fs(self.path)
