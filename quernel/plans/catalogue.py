@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from quernel.functions import udfs
 from quernel.functions.geo import haversine
 from quernel.functions.vectors import cosine
-from quernel.operators import joins, tracks
+from quernel.operators import joins, pyramid, tracks
 from quernel.operators.reports import Rule, quality_report, validate
 from quernel.sources import generator, imports, raw
 from quernel.sources.shared import shared_place
@@ -143,6 +143,31 @@ def map_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.map_cache(points, 86400, 16)
 
 
+_PYRAMID = "\n    UNION ALL ".join(
+    f"""SELECT {z} AS zoom, CAST(floor(floor(epoch_us(ts) / 1000000.0 / 3600) / {1 << z}) AS BIGINT) AS cx, CAST(floor(floor(value / 4) / {1 << z}) AS BIGINT) AS cy, count(*) AS n, count(DISTINCT user_id) AS n_tracks FROM events GROUP BY 2, 3"""
+    for z in range(6)
+)
+
+
+@query("map_pyramid", _PYRAMID)
+def map_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six zooms from one scan of events."""
+    points = _points(spark, sf_dir).withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0))
+    return pyramid.map_pyramid(points, 3600, 4, zooms=6)
+
+
+@query("map_pyramid_refresh", f"SELECT *, CAST(1 AS INTEGER) AS days_built FROM ({_PYRAMID})")
+def map_pyramid_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after all days but the last had been built: one more day is built, the others' sets are reused."""
+    root = shared_place(spark, "pyramid")
+    points = _points(spark, sf_dir).withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0))
+    day = F.to_date("ts")
+    last = points.agg(F.max(day).alias("d")).head().d
+    pyramid.refresh_pyramid(spark, root, points.filter(day < F.lit(last)), day, 3600, 4)
+    cells, built = pyramid.refresh_pyramid(spark, root, points, day, 3600, 4)
+    return cells.withColumn("days_built", F.lit(len(built)))
+
+
 @query(
     "dq_report",
     """
@@ -333,6 +358,11 @@ _STREAMS = {
     ),
     "stream_running_count": (streams.running_count, "SELECT user_id, count(*) AS n FROM events GROUP BY user_id"),
     "stream_running_total": (streams.running_total, "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(100 * value) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY user_id"),
+    "stream_top": (
+        streams.top_of_hours,
+        f"""SELECT t0, CAST(r AS INTEGER) AS rank, event_id, value FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS t0, event_id, value,
+        row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3 AND t0 + INTERVAL 1 HOUR <= {_CLOSED}""",
+    ),
     "stream_rate": (streams.rate, "SELECT CAST(v % 10 AS BIGINT) AS k, CAST(v AS BIGINT) AS value FROM range(100) r(v)"),
 }
 _QUERIES.update(_STREAMS)

@@ -50,28 +50,35 @@ def load_or_build(spark: SparkSession, root: str, product: str, key: str, build:
     return spark.read.parquet(place)
 
 
-def load_or_build_parts(spark: SparkSession, root: str, product: str, inputs: dict[str, str | list[str]], code_version: str, params: dict | None, build: Callable[[str], DataFrame]) -> tuple[DataFrame, list[str]]:
-    """(the product over all partitions with a column ``part``, the partitions that were built now).
-
-    ``inputs`` gives each partition the digests of what it is made from;
-    ``build(part)`` is its plan. A partition whose digests, code version and
-    parameters have a product already is not built, nor are its inputs read.
-    The partitions of this state of the inputs are then named by a version
+def load_or_build_parts(spark: SparkSession, root: str, product: str, inputs: dict[str, str | list[str]], code_version: str, params: dict | None, build: Callable[[list[str]], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """(the product over all partitions, with a column ``part``, and the partitions that were built now).
+
+    ``inputs`` gives each partition the digests of what it is made from. A
+    partition whose digests, code version and parameters have a product
+    already is not built, nor are its inputs read: ``build`` gets the others
+    and returns their rows, with a column ``part``, in one plan. The
+    partitions of this state of the inputs are then named by a version
     file of their own, ``versions/<n>.json``, which ``latest`` reads.
     """
-    keys = {part: derivation_key(digests, code_version, params) for part, digests in sorted(inputs.items())}
-    places, built = {}, []
-    for part, key in keys.items():
-        folder = f"{root}/generated/{product}/part={quote(part, safe='')}"
-        place = _pointed(spark, f"{folder}/key={key}.pointer")
-        if place is None:
-            place = _build(spark, folder, key, build(part))
-            built.append(part)
-        places[part] = place
+    base = f"{root}/generated/{product}"
+    pointers = {part: f"{base}/pointers/part={quote(part, safe='')}/key={derivation_key(digests, code_version, params)}" for part, digests in sorted(inputs.items())}
+    places = {part: place for part, pointer in pointers.items() if (place := _pointed(spark, pointer)) is not None}
+    if missing := [part for part in pointers if part not in places]:
+        own = f"{base}/build={uuid.uuid4().hex}"
+        build(missing).write.mode("errorifexists").partitionBy("part").parquet(own)
+        for part in missing:
+            place = f"{own}/part={quote(part, safe='-._~ ')}"
+            path, fs = hadoop_path(spark, place)
+            if put_if_absent(spark, pointers[part], place if fs.exists(path) else ""):
+                places[part] = place if fs.exists(path) else ""
+            else:
+                fs.delete(path, True)
+                places[part] = _pointed(spark, pointers[part])
+    places = dict(sorted(places.items()))
     if _versions(spark, root, product)[1] != places:
-        while not put_if_absent(spark, f"{root}/generated/{product}/versions/{_versions(spark, root, product)[0] + 1:012d}.json", json.dumps(places)):
+        while not put_if_absent(spark, f"{base}/versions/{_versions(spark, root, product)[0] + 1:012d}.json", json.dumps(places)):
             pass
-    return _read(spark, places), built
+    return _read(spark, places), missing
 
 
 def _versions(spark: SparkSession, root: str, product: str) -> tuple[int, dict[str, str]]:
@@ -92,8 +99,10 @@ def latest(spark: SparkSession, root: str, product: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, places: dict[str, str]) -> DataFrame:
-    paths = list(places.values())
+    paths = [p for p in places.values() if p]
+    if not paths:
+        raise FileNotFoundError("no partition has rows")
     rows = spark.read.parquet(paths[0]).schema
-    shape = T.StructType([*rows.fields, T.StructField("part", T.StringType()), T.StructField("build", T.StringType())])
-    # the folders part=... above the builds name the partitions
-    return spark.read.schema(shape).option("basePath", paths[0].rpartition("/part=")[0]).parquet(*paths).drop("build")
+    shape = T.StructType([*rows.fields, T.StructField("build", T.StringType()), T.StructField("part", T.StringType())])
+    # the folders part=... below the builds name the partitions
+    return spark.read.schema(shape).option("basePath", paths[0].rpartition("/build=")[0]).parquet(*paths).drop("build")

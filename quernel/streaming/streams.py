@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,13 +29,14 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataF
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drain(df: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFrame:
+def drain(df: DataFrame, mode: str = "append", rocksdb: bool = False, then: Callable[[DataFrame], DataFrame] = lambda batch: batch, progress: list | None = None) -> DataFrame:
     """Run a streaming query over what is there now and return its result table.
 
     The table is files in the shared folder, beside the query's checkpoint;
     nothing comes to the driver. Each batch replaces its own folder, so one
     that is run again after a failure does not repeat rows. In complete mode
-    the last batch is the result, otherwise all are.
+    the last batch is the result, otherwise all are. ``then`` is applied to
+    the rows of each batch, ``progress`` is given Spark's reports.
     """
     spark = df.sparkSession
     place = shared_place(spark, "stream")
@@ -41,7 +45,7 @@ def drain(df: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFra
     batches: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+        then(batch).write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
         batches.append(number)
 
     if rocksdb:
@@ -49,13 +53,15 @@ def drain(df: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFra
     try:
         q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
+        if progress is not None:
+            progress += q.recentProgress
     finally:
         if rocksdb:
             spark.conf.set(provider, old) if old else spark.conf.unset(provider)
     if not batches:
-        return spark.createDataFrame([], df.schema)
+        return spark.createDataFrame([], then(spark.createDataFrame([], df.schema)).schema)
     wanted = [max(batches)] if mode == "complete" else sorted(set(batches))
-    return spark.read.schema(df.schema).parquet(*[f"{place}/rows/batch={n}" for n in wanted])
+    return spark.read.schema(then(spark.createDataFrame([], df.schema)).schema).parquet(*[f"{place}/rows/batch={n}" for n in wanted])
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None) -> Callable[[], None]:
@@ -144,6 +150,63 @@ def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(s, "update", rocksdb=True)
 
 
+class TopOfWindow(StatefulProcessor):
+    """The ``k`` largest values of each (window, share), kept as a bounded list and emitted by a timer when the window closes.
+
+    Keys are (w, share), with w the window's end in seconds. Rows hold value
+    and event_id; among equal values the smaller id is first, null values and ids are last.
+    """
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getListState("best", "value double, event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:  # noqa: N802
+        held = list(self.best.get()) if self.best.exists() else []
+        if not held:
+            self.handle.registerTimer(1000 * key[0])
+        order = lambda x: (x[0] is None, -x[0] if x[0] is not None else 0.0, x[1] is None, x[1] or 0)
+        self.best.put(heapq.nsmallest(self.k, itertools.chain(map(tuple, held), ((r.value, r.event_id) for r in rows)), key=order))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        held = list(map(tuple, self.best.get()))
+        self.best.clear()
+        for value, event_id in held:
+            yield Row(w=key[0], value=value, event_id=event_id)
+
+    def close(self) -> None:
+        pass
+
+
+def top_of_windows(stream: DataFrame, seconds: int, k: int, shares: int = 8, delay: str = "1 hour", progress: list | None = None) -> DataFrame:
+    """The ``k`` events of largest value of each closed window: t0, rank, event_id, value.
+
+    A window is ``shares`` keys, by a hash of the event, so a busy one is
+    several tasks; each keeps ``k`` rows at most, whatever the window holds.
+    All shares of a window close with one watermark, in one batch, in which
+    their few rows are ranked. Late events are dropped, rows without a time
+    are in no window.
+    """
+    end = (F.floor(F.unix_seconds("ts") / seconds) + 1) * seconds
+    keyed = stream.filter("ts IS NOT NULL").withWatermark("ts", delay).select("ts", "value", "event_id", end.cast("long").alias("w"), F.pmod(F.xxhash64("event_id"), F.lit(shares)).cast("int").alias("share"))
+    best = keyed.groupBy("w", "share").transformWithState(TopOfWindow(k), "w long, value double, event_id long", "Append", "EventTime")
+
+    def rank(batch: DataFrame) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("w").orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("event_id")))
+        return batch.withColumn("rank", place).filter(F.col("rank") <= k).select(F.timestamp_seconds(F.col("w") - seconds).cast("timestamp_ntz").alias("t0"), "rank", "event_id", "value")
+
+    return drain(best, "append", rocksdb=True, then=rank, progress=progress)
+
+
+def top_of_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three events of largest value of each closed hour."""
+    return top_of_windows(events_stream(spark, sf_dir), 3600, 3)
+
+
 def rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the rate source, by remainder: a stream that needs no files."""
     s = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 100).option("numPartitions", 4).load()

@@ -138,17 +138,17 @@ def test_only_changed_partitions_are_built(spark, tmp_path):
     root = str(tmp_path)
     read = []
 
-    def build(part):
-        read.append(part)
-        return spark.createDataFrame([(len(part),)], "n int")
+    def build(parts):
+        read.extend(parts)
+        return spark.createDataFrame([(p, len(p)) for p in parts if p != "empty"], "part string, n int")
 
     inputs = {"2024-01-01": "a", "2024-01-02": ["b", "c"], "odd/part": "d"}
     first, built = products.load_or_build_parts(spark, root, "days", inputs, "v1", None, build)
     assert built == read == sorted(inputs) and sorted(map(tuple, first.select("part", "n").collect())) == [(p, len(p)) for p in sorted(inputs)]
     again, built = products.load_or_build_parts(spark, root, "days", inputs, "v1", None, build)
     assert built == [] and len(read) == 3 and set(again.inputFiles()) == set(first.inputFiles())
-    changed, built = products.load_or_build_parts(spark, root, "days", inputs | {"2024-01-02": ["b", "x"], "2024-01-03": "e"}, "v1", None, build)
-    assert built == ["2024-01-02", "2024-01-03"] and {f.rsplit("/", 1)[0] for f in set(changed.inputFiles()) & set(first.inputFiles())} == {f.rsplit("/", 1)[0] for f in first.inputFiles() if "2024-01-02" not in f}
+    changed, built = products.load_or_build_parts(spark, root, "days", inputs | {"2024-01-02": ["b", "x"], "2024-01-03": "e", "empty": "f"}, "v1", None, build)
+    assert built == ["2024-01-02", "2024-01-03", "empty"] and {f.rsplit("/", 1)[0] for f in set(changed.inputFiles()) & set(first.inputFiles())} == {f.rsplit("/", 1)[0] for f in first.inputFiles() if "2024-01-02" not in f}
     assert first.count() == 3  # what a reader of the version before holds is still there
     assert products.latest(spark, root, "days").count() == 4
     assert products.load_or_build_parts(spark, root, "days", inputs, "v2", None, build)[1] == sorted(inputs)

@@ -37,3 +37,28 @@ def test_state_counts_all_rows(spark, tmp_path):
     assert streams.running_count(spark, str(tmp_path)).agg(F.max("n")).head()[0] == 8
     assert streams.running_total(spark, str(tmp_path)).agg(F.max("n"), F.max("cents")).head() == (8, 800)
     assert streams.sliding(spark, str(tmp_path)).agg(F.sum("n")).head()[0] == 16
+
+
+def test_top_of_closed_windows_and_empty_state(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(i, f"2024-01-01 00:{i % 60:02d}:00") for i in range(50)] + [(100 + i, f"2024-01-01 01:{i:02d}:00") for i in range(5)]
+    values = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    put = lambda some: spark.createDataFrame([(i, datetime.fromisoformat(t), 1, "view", v, "{}") for i, t, v in some], values).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    put([(i, t, float(i % 7)) for i, t in rows] + [(900, "2024-01-01 00:05:00", None)])
+    put([(200, "2024-01-01 05:00:00", 1.0)])
+    put([(202, "2024-01-01 06:00:00", 1.0)])
+    put([(201, "2024-01-01 00:30:00", 99.0), (300, "2024-01-01 12:00:00", 1.0)])  # the first is late
+    progress = []
+    got = {(str(x.t0), x["rank"], x.event_id) for x in streams.top_of_windows(streams.events_stream(spark, folder), 3600, 3, shares=4, progress=progress).collect()}
+    want = set()
+    for hour, some in (("00", rows[:50]), ("01", rows[50:])):
+        best = sorted(((i, float(i % 7)) for i, _ in some), key=lambda x: (-x[1], x[0]))[:3]
+        want |= {(f"2024-01-01 {hour}:00:00", k + 1, i) for k, (i, _) in enumerate(best)}
+    assert got == want | {("2024-01-01 05:00:00", 1, 200), ("2024-01-01 06:00:00", 1, 202)}
+    # of all windows only the open one is left in the state, with its one event
+    assert progress[-1].stateOperators[0].numRowsTotal <= 3
+    assert max(p.stateOperators[0].numRowsTotal for p in progress) >= 6
+
+
+def test_a_window_of_fewer_events_and_nulls(spark, tmp_path):
+    assert streams.top_of_windows(streams.events_stream(spark, "/root/testdata/sf0.001").filter("event_id < 0"), 60, 2).count() == 0
