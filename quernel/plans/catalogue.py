@@ -14,7 +14,7 @@ from quernel.functions.geo import haversine
 from quernel.functions.vectors import cosine
 from quernel.operators import joins, pyramid, tracks
 from quernel.operators.reports import Rule, quality_report, validate
-from quernel.sources import generator, imports, raw
+from quernel.sources import imports, raw, segments
 from quernel.sources.shared import shared_place
 from quernel.streaming import streams
 
@@ -290,10 +290,16 @@ def udf_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", udfs.digit_sum(F.col("n_nationkey").cast("long")).alias("v"))
 
 
-@query("source_tracks", "SELECT CAST(t AS BIGINT) AS track_id, CAST(50 AS BIGINT) AS n FROM range(7) r(t)")
+@query("source_tracks", "SELECT user_id AS track_id, count(*) AS n, round(max(value), 6) AS top FROM events WHERE user_id >= 5 AND user_id < 90 GROUP BY user_id")
 def source_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    generator.register(spark)
-    return spark.read.format("tracks").options(tracks="7", points="50").load().groupBy("track_id").agg(F.count("*").alias("n"))
+    """Events through the custom sink, in two commits, and the custom source, which leaves out segments of other tracks."""
+    segments.register(spark)
+    place = f"{shared_place(spark, 'segments')}/events"
+    e = _points(spark, sf_dir).select("track_id", "point_id", F.col("y").alias("value"))
+    for half in range(2):
+        e.filter(F.col("point_id") % 2 == half).repartitionByRange(8, "track_id").write.format("segments").mode("append").save(place)
+    back = spark.read.format("segments").load(place)
+    return back.filter("track_id >= 5 AND track_id < 90").groupBy("track_id").agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("top"))
 
 
 @query("raw_digests", "SELECT true AS same, true AS whole")
@@ -363,7 +369,8 @@ _STREAMS = {
         f"""SELECT t0, CAST(r AS INTEGER) AS rank, event_id, value FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS t0, event_id, value,
         row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3 AND t0 + INTERVAL 1 HOUR <= {_CLOSED}""",
     ),
-    "stream_rate": (streams.rate, "SELECT CAST(v % 10 AS BIGINT) AS k, CAST(v AS BIGINT) AS value FROM range(100) r(v)"),
+    "stream_segments": (streams.from_segments, "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type"),
+    "stream_rate": (streams.rate, "SELECT c_custkey AS value, c_name FROM customer"),
 }
 _QUERIES.update(_STREAMS)
 

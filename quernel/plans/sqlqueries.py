@@ -19,7 +19,11 @@ def register(sql: Callable[..., None]) -> None:
     sql("lateral_subquery", "SELECT c_custkey, t.top FROM {customer} c, LATERAL (SELECT max(o_totalprice) AS top FROM {orders} o WHERE o.o_custkey = c.c_custkey) t")
     sql("pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_linenumber FROM {lineitem}) PIVOT (count(l_linenumber) FOR l_linestatus IN ('O' AS open, 'F' AS filled))", "SELECT l_returnflag, nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS open, nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS filled FROM lineitem GROUP BY 1")
     sql("unpivot", "SELECT * FROM (SELECT n_nationkey, n_regionkey AS a, n_nationkey * 2 AS b FROM {nation}) UNPIVOT (v FOR k IN (a, b))", "SELECT n_nationkey, 'a' AS k, n_regionkey AS v FROM nation UNION ALL SELECT n_nationkey, 'b', n_nationkey * 2 FROM nation")
-    sql("recursive_cte", "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r")
+    # a calendar of quarters, grown from the first order to the last
+    sql("recursive_cte", """WITH RECURSIVE m(t, z) AS (SELECT CAST(date_trunc('quarter', min(o_orderdate)) AS DATE), CAST(max(o_orderdate) AS DATE) FROM {orders}
+      UNION ALL SELECT CAST(t + INTERVAL 3 MONTH AS DATE), z FROM m WHERE CAST(t + INTERVAL 3 MONTH AS DATE) <= z),
+    c AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, count(*) AS n FROM {orders} WHERE o_orderstatus = 'P' GROUP BY 1)
+    SELECT CAST(m.t AS DATE) AS quarter, coalesce(c.n, 0) AS orders FROM m LEFT JOIN c ON c.q = m.t""")
     sql("pipe_syntax", "FROM {orders} |> WHERE o_orderstatus = 'F' |> AGGREGATE count(*) AS n GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
     sql("qualify", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) WHERE rn = 1", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
     # joins

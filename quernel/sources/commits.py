@@ -40,6 +40,20 @@ def hadoop_path(spark: SparkSession, where: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def link_new(name: str, text: str) -> bool:
+    """Write a file of a mounted file system whole, unless it exists."""
+    own = f"{os.path.dirname(name)}/_{uuid.uuid4().hex}"
+    with open(own, "x", encoding="utf-8") as f:
+        f.write(text)
+    try:
+        os.link(own, name)
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(own)
+
+
 def put_if_absent(spark: SparkSession, where: str, text: str) -> bool:
     """Write a small file whole unless it exists; of several writers at once one succeeds.
 
@@ -52,17 +66,7 @@ def put_if_absent(spark: SparkSession, where: str, text: str) -> bool:
     path = fs.makeQualified(path)
     fs.mkdirs(path.getParent())
     if path.toUri().getScheme() == "file":
-        name = path.toUri().getPath()
-        own = f"{os.path.dirname(name)}/_{uuid.uuid4().hex}"
-        with open(own, "x", encoding="utf-8") as f:
-            f.write(text)
-        try:
-            os.link(own, name)
-            return True
-        except FileExistsError:
-            return False
-        finally:
-            os.unlink(own)
+        return link_new(path.toUri().getPath(), text)
     own = jvm.org.apache.hadoop.fs.Path(path.getParent(), f"_{uuid.uuid4().hex}")
     out = fs.create(own, False)
     out.write(bytearray(text.encode()))

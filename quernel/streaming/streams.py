@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quernel.sources import segments
 from quernel.sources.shared import shared_place
 
 
@@ -207,7 +208,19 @@ def top_of_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_of_windows(events_stream(spark, sf_dir), 3600, 3)
 
 
+def from_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type: written by the custom sink in two commits and read as a stream of them."""
+    segments.register(spark)
+    place = f"{shared_place(spark, 'segments')}/events"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type")
+    for half in range(2):
+        e.filter(F.col("event_id") % 2 == half).write.format("segments").mode("append").save(place)
+    s = spark.readStream.format("segments").load(place)
+    return drain(s.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")), "complete")
+
+
 def rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the rate source, by remainder: a stream that needs no files."""
-    s = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 100).option("numPartitions", 4).load()
-    return drain(s.select((F.col("value") % 10).alias("k"), "value"))
+    """Customers by number, as a stream of numbers meets them: the rate source, one batch of as many rows as there are customers, joined to the table."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    s = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", max(1, customers.count())).option("numPartitions", 4).load()
+    return drain(s.join(customers, F.col("value") == F.col("c_custkey")).select("value", "c_name"))
