@@ -74,6 +74,19 @@ def _slots(canon: str, plain: str, start: Column, size: int) -> Column:
     return F.transform(F.filter(pairs, lambda x: F.substring(x.getField("c"), 1, 1) == "<"), lambda x: F.concat(F.substring(x.getField("c"), 1, 2), F.lower(x.getField("p"))))
 
 
+def _rare_windows(item_windows: DataFrame, met: DataFrame, min_share: float, min_run: int) -> DataFrame:
+    """The windows of each item without the most frequent places, as many as may be hit without the item being reported: item_id, of, size, h."""
+    weight = item_windows.groupBy("h").agg(F.count("*").alias("items")).join(met.groupBy("h").agg(F.count("*").alias("docs")), "h", "left")
+    heavy = item_windows.join(weight, "h").withColumn("weight", F.col("items") * F.coalesce("docs", F.lit(0)))
+    item = ["item_id", "of", "size"]
+    places = heavy.groupBy(*item, "at").agg(F.sum("weight").alias("weight"), F.collect_set("h").alias("hs"))
+    # a thousandth off, so that rounding never asks for one place more
+    needed = F.greatest(F.lit(1), F.least(F.ceil(F.col("of") * min_share - 0.001), F.lit(min_run) - F.col("size") + 1))
+    order = W.partitionBy(*item).orderBy(F.desc("weight"), "at")
+    rare = places.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") > needed - 1)
+    return rare.select(*item, F.explode("hs").alias("h")).distinct()
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -108,9 +121,14 @@ def find_leaks(
     windows that hit leave it. Other columns are ignored. Empty tables give
     an empty result.
 
-    A first pass finds the documents that have any window of the benchmark,
-    by a join that moves none of the texts while the benchmark's windows are
-    few enough to broadcast; only these documents are then looked at closely.
+    A first pass finds which windows of the benchmark each document has, by
+    a join that moves none of the texts while the benchmark's windows are
+    few enough to broadcast. A pair that is to be reported needs some number
+    of the item's windows; of each item that many but one, the most frequent
+    by documents and items, need not be asked for, since one of the others
+    must be there too. So a window that many items and many documents share,
+    a common opening, brings no pairs about. Only pairs with one of the rarer
+    windows are then looked at closely, and only their documents read again.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontaminate")
@@ -138,12 +156,17 @@ def find_leaks(
     def maybe_broadcast(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
-    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
-    worded = own.withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical)).withColumn("low", _lowered("plain"))
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+
+    def worded(df: DataFrame) -> DataFrame:
+        return df.withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical)).withColumn("low", _lowered("plain"))
+
     every = F.concat(*[window_hashes(words, s) for s in sizes for words in (F.col("canon"), F.col("low"))]) if sizes else F.array().cast("array<bigint>")
-    touched = scratch.keep(worded.select("doc_id", "version", F.explode(every).alias("h")).join(maybe_broadcast(item_windows.select("h").distinct()), "h", "left_semi").select("doc_id", "version").distinct())
-    near = own.alias("o").join(touched.alias("t"), F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("o.version") == F.col("t.version")), "left_semi").select("o.doc_id", "o.text")
-    near = near.withColumn("uid", F.monotonically_increasing_id()).withColumn("plain", license_words(F.col("text"))).withColumn("canon", F.transform("plain", canonical)).withColumn("low", _lowered("plain"))
+    searched = maybe_broadcast(item_windows.select("h").distinct())
+    met = scratch.keep(worded(own).select("doc_id", "uid", F.explode(every).alias("h")).join(searched, "h", "left_semi").distinct())
+    pairs = scratch.keep(met.join(maybe_broadcast(_rare_windows(item_windows, met, min_share, min_run)), "h").select("doc_id", "uid", "item_id", "of", "size").distinct())
+    wanted = pairs.select("doc_id", "uid").distinct()
+    near = worded(own.alias("o").join(wanted.alias("t"), (F.col("o.uid") == F.col("t.uid")) & F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")), "left_semi").select("o.uid", "o.doc_id", "o.text"))
 
     def windows(s: int) -> Column:
         templates = F.transform(window_hashes(F.col("canon"), s), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), _slots("canon", "plain", i + 1, s).alias("slots")))
@@ -152,7 +175,10 @@ def find_leaks(
 
     places = F.concat(*[windows(s) for s in sizes]) if sizes else F.array().cast("array<struct<h:bigint,at:int,slots:array<string>>>")
     found = near.select("uid", "doc_id", F.explode(places).alias("w")).select("uid", "doc_id", F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("slots"))
-    found = found.join(maybe_broadcast(item_windows), "h").filter(F.col("slots").isNull() == F.col("item_slots").isNull())
+    found = found.join(searched, "h", "left_semi")
+    same_item = [F.col("p.item_id").eqNullSafe(F.col("w.item_id")), F.col("p.of") == F.col("w.of"), F.col("p.size") == F.col("w.size")]
+    asked = pairs.alias("p").join(maybe_broadcast(item_windows).alias("w"), same_item).select("p.uid", F.col("p.doc_id").alias("own_id"), "w.*")
+    found = found.join(asked, ["uid", "h"]).filter(F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("slots").isNull() == F.col("item_slots").isNull()))
     values = F.array_distinct(F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x.getField("item_slots").alias("i"), x.getField("slots").alias("d"))))
     key = ["uid", "doc_id", "item_id", "of", "size", "diagonal"]
     hits = scratch.keep(

@@ -489,6 +489,23 @@ def test_decontamination_against_brute_force(spark):
     assert len(want) > 100 and (0, 10) not in want
 
 
+def test_decontamination_of_a_shared_opening(spark, monkeypatch):
+    """An opening that all items and documents have brings no pairs about; what else they share does."""
+    r = random.Random(31)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijk") for _ in range(7)) for _ in range(n))
+    opening = say(12)
+    items = [f"{opening} {say(20)}" for _ in range(40)]
+    docs = [" ".join(f"{opening} {say(3)}" for _ in range(20)) for _ in range(15)] + [f"{say(5)} {items[3]} {say(2)}", " ".join(items[7].split()[2:15]), items[9].upper(), " ".join(items[11].split()[:12])]
+    kept = []
+    keep = decontam.Scratch.keep
+    monkeypatch.setattr(decontam.Scratch, "keep", lambda self, df, *a: kept.append(keep(self, df, *a)) or kept[-1])
+    got = leaks(spark, items, docs)
+    assert {k: (round(x.share, 9), x.run_words, x.verbatim) for k, x in got.items()} == {(i, j): (round(y[0], 9), *y[1:]) for i, d in enumerate(docs) for j, t in enumerate(items) if (y := leaks_brute(d, t))}
+    assert {(15, 3), (16, 7), (17, 9)} <= set(got)
+    pairs = next(x for x in kept if x.columns == ["doc_id", "uid", "item_id", "of", "size"])
+    assert pairs.count() < 10  # of 760
+
+
 def test_bpe_join_is_exact():
     from tokenizers import Tokenizer
 
