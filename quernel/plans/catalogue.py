@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quernel.functions import udfs
+from quernel.functions import udfs, wkb
 from quernel.functions.geo import haversine
 from quernel.functions.vectors import cosine
-from quernel.operators import joins, pyramid, tracks
+from quernel.operators import joins, pyramid, regions, tracks
 from quernel.operators.reports import Rule, quality_report, validate
 from quernel.sources import imports, raw, segments
 from quernel.sources.shared import shared_place
@@ -168,6 +168,36 @@ def map_pyramid_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("days_built", F.lit(len(built)))
 
 
+#: Two parts of a region, the first with a hole, in units of its size around its middle.
+_PARTS = [[[(-1, -1), (1, -1), (1, 1), (0, 0.25), (-1, 1)], [(-0.5, -0.75), (0.5, -0.75), (0, -0.25)]], [[(1.5, 0), (2, 0), (2, 0.5), (1.5, 0.5)]]]
+_REGION_EDGES = " UNION ALL ".join(
+    f"SELECT c_custkey, mx + {a[0]} * r AS x1, my + {a[1]} * r AS y1, mx + {b[0]} * r AS x2, my + {b[1]} * r AS y2 FROM g"
+    for part in _PARTS
+    for ring in part
+    for a, b in zip(ring, [*ring[1:], ring[0]])
+)
+
+
+@query(
+    "region_points",
+    f"""
+    WITH g AS (SELECT c_custkey, CAST(473352 + c_custkey * 37 % 720 AS DOUBLE) AS mx, CAST(c_custkey * 17 % 300 AS DOUBLE) AS my, CAST(4 + c_custkey % 29 AS DOUBLE) AS r FROM customer),
+    e AS ({_REGION_EDGES}),
+    p AS (SELECT event_id, user_id, epoch_us(ts) / 3600000000.0 AS x, CAST(value AS DOUBLE) AS y FROM events),
+    h AS (SELECT c_custkey, event_id, user_id FROM e JOIN p ON (y1 > y) <> (y2 > y) WHERE x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+    SELECT c_custkey, count(*) AS n, count(DISTINCT user_id) AS n_tracks, CAST(sum(event_id) AS BIGINT) AS ids FROM h GROUP BY c_custkey""",
+)
+def region_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in regions of two parts, one with a hole, that each customer draws; regions go through well-known binary."""
+    c = table(spark, sf_dir, "customer")
+    mx, my, r = (473352 + F.col("c_custkey") * 37 % 720).cast("double"), (F.col("c_custkey") * 17 % 300).cast("double"), (4 + F.col("c_custkey") % 29).cast("double")
+    place = lambda p: F.struct((mx + p[0] * r).alias("x"), (my + p[1] * r).alias("y"))
+    shape = F.array(*[F.array(*[F.array(*[place(p) for p in [*ring, ring[0]]]) for ring in part]) for part in _PARTS])
+    drawn = c.select("c_custkey", wkb.multipolygon(shape).alias("shape"))
+    found = regions.points_in_regions(_points(spark, sf_dir), drawn, "c_custkey", "shape", 2, 2, depth=3, name="c_custkey")
+    return found.groupBy("c_custkey").agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("n_tracks"), F.sum("point_id").alias("ids"))
+
+
 @query(
     "dq_report",
     """
