@@ -14,7 +14,7 @@ from quernel.functions.geo import haversine
 from quernel.functions.vectors import cosine
 from quernel.operators import joins, pyramid, regions, tracks
 from quernel.operators.reports import Rule, quality_report, validate
-from quernel.sources import imports, raw, segments
+from quernel.sources import database, imports, raw, segments
 from quernel.sources.shared import shared_place
 from quernel.streaming import streams
 
@@ -348,6 +348,29 @@ def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.bool_and(F.contains("file_path", F.lit("nation.parquet"))).alias("named"), F.bool_and(F.col("file_size") > 0).alias("sized"))
 
 
+@query(
+    "database_orders",
+    """
+    SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate,
+      CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_totalprice > 100""",
+)
+def database_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders into a database table and back in ranges of keys; a first run had other prices and half of the rows.
+
+    The database that comes with Spark lives in one process, so this needs a local session.
+    """
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the embedded database needs a local session")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:{shared_place(spark, 'database').removeprefix('file:').replace('//', '/')};create=true"
+    database.execute(spark, url, 'CREATE TABLE orders ("o_orderkey" BIGINT PRIMARY KEY, "o_orderstatus" VARCHAR(8), "o_totalprice" DOUBLE, "o_orderdate" TIMESTAMP, "o_orderpriority" VARCHAR(40))')
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    database.merge_table(o.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)), url, "orders", ["o_orderkey"], "first")
+    for _ in range(2):  # a run that is repeated adds nothing
+        database.merge_table(o, url, "orders", ["o_orderkey"], "second")
+    return database.read_table(spark, url, "orders", "o_orderkey").filter("o_totalprice > 100")
+
+
 @query(
     "import_flow",
     """
