@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from quernel.functions import udfs, wkb
 from quernel.functions.geo import haversine
 from quernel.functions.vectors import cosine
-from quernel.operators import joins, pyramid, regions, tracks
+from quernel.operators import joins, neighbours, pyramid, regions, tracks
 from quernel.operators.reports import Rule, quality_report, validate
 from quernel.sources import database, imports, raw, segments
 from quernel.sources.shared import shared_place
@@ -294,6 +294,20 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(10)
 
 
+@query(
+    "nearest_vectors",
+    """
+    WITH p AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS s
+      FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS r FROM p)
+    SELECT query, neighbour, CAST(r AS INTEGER) AS rank, round(s, 6) AS similarity FROM r WHERE r <= 10""",
+)
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every twentieth vector among all, exact."""
+    e = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+
+
 @query("udf_pandas", "SELECT event_id, least(greatest(value, 10.0), 100.0) AS v FROM events")
 def udf_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", udfs.clipped("value", F.lit(10.0), F.lit(100.0)).alias("v"))
