@@ -7,8 +7,11 @@ both classes share, an interpolated Kneser-Ney model of the pooled
 continuation counts. A word that neither class knows well is thus explained
 by the same shared counts in both and says little, one that only toxic texts
 use says much. A text is judged by the toxic minus the ordinary
-log-likelihood, normalised by length, over the whole text and over its
-worst windows, calibrated on labelled texts that the counts have not seen.
+log-likelihood, normalised by length, over the whole text, over its worst
+windows and over its strongest words, and by how many words speak clearly for
+toxic. A word counts up to a limit, so that several words of some weight say
+as much as one that no ordinary text has. The calibration sees every labelled
+text through counts that have not seen it.
 """
 
 from __future__ import annotations
@@ -25,9 +28,15 @@ from quernel.llm import tokens
 from quernel.llm.scratch import Scratch
 from quernel.llm.text import boxed, unboxed
 
-ORDER = 6
-DISCOUNT = 0.75
+#: Bytes of a gram: seven and its length fill a 64-bit integer.
+ORDER = 7
+DISCOUNT = 0.95
 WINDOWS = (8, 64)
+#: Numbers of strongest words, the most that a word counts, and the ratio from which it speaks clearly for toxic.
+STRONGEST, LIMIT, CLEAR = (3, 8), 5.0, 2.5
+WIDTH = 5 + len(WINDOWS) + len(STRONGEST)
+#: Parts of the labelled texts: each is calibrated on counts of the others.
+FOLDS = 4
 START, STOP = 0x20, 0x0A
 _U = np.uint64
 
@@ -104,31 +113,20 @@ class Model:
             longer = now[(now >> _U(56)) == _U(order + 1)]
             # longest grams of this order end at the word's start: they extend by nothing and count once
             own = grams[(grams >> _U(56)) == _U(order)]
-            keys, n = _grouped(np.concatenate([shorter(longer), own]), np.ones(len(longer) + len(own)))
-            ctx, total, types = _grouped(context(keys), n, np.ones(len(n)))
-            levels[order] = (keys, n, ctx, total, types)
-            now = np.unique(np.concatenate([keys, grams]))
-
-        def shared(g: np.ndarray) -> np.ndarray:
-            """Kneser-Ney probability of the last byte given the others."""
-            out = np.full(len(g), 1 / 256)
-            order_of = (g >> _U(56)).astype(int)
-            for order in range(1, ORDER):
-                at = np.flatnonzero(order_of >= order)
-                if not len(at):
-                    continue
-                tail = g[at]
-                for _ in range(ORDER):
-                    tail = np.where((tail >> _U(56)) > _U(order), shorter(tail), tail)
-                keys, n, ctx, total, types = levels[order]
-                c, t, k = _lookup(keys, n, tail), _lookup(ctx, total, context(tail)), _lookup(ctx, types, context(tail))
-                seen = t > 0
-                p = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * k * out[at]) / np.where(seen, t, 1)
-                out[at] = np.where(seen, p, out[at])
-            return out
+            levels[order] = _grouped(np.concatenate([shorter(longer), own]), np.ones(len(longer) + len(own)))
+            now = levels[order][0]
+        # Kneser-Ney probabilities of the last byte given the others, from the shortest grams up; every shorter gram is in its level
+        shared = {}
+        for order, (keys, n) in sorted(levels.items()):
+            _, back, types = np.unique(context(keys), return_inverse=True, return_counts=True)
+            lower = _lookup(*shared[order - 1], shorter(keys)) if order > 1 else 1 / 256
+            shared[order] = keys, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * types[back] * lower) / np.bincount(back, n, len(types))[back] if len(keys) else n
 
         ctx = context(grams)
-        below = shared(np.where((grams >> _U(56)) > _U(1), shorter(grams), grams))
+        below = np.empty(len(grams))
+        for order in range(1, ORDER + 1):
+            at = np.flatnonzero((grams >> _U(56)) == _U(order))
+            below[at] = _lookup(*shared[max(order - 1, 1)], shorter(grams[at]) if order > 1 else grams[at])
         contexts, n_toxic, n_plain, k_toxic, k_plain = _grouped(ctx, toxic, plain, (toxic > 0).astype(float), (plain > 0).astype(float))
 
         def log_p(c, total, types):
@@ -152,15 +150,16 @@ class Model:
         return np.bincount(word, each, len(at))[back]
 
     def features(self, ws: tokens.Words) -> np.ndarray:
-        """Of each text: 1, the ratio per word over the whole text and over its worst windows, and the most that any word says; 0 without words."""
+        """Of each text: 1, the ratio per word over the whole text and its worst windows, the most that any word says, the means of its strongest words, and how many are clear, as a logarithm and by the root of the length; 0 without words."""
         ratios, n = self.word_ratios(ws), len(ws.first) - 1
-        out = np.zeros((n, 3 + len(WINDOWS)))
+        out = np.zeros((n, WIDTH))
         out[:, 0] = 1
-        total = np.concatenate([[0], np.cumsum(ratios)])
         counts = np.diff(ws.first)
         some = np.flatnonzero(counts)
         if not len(some):
             return out
+        limited = np.minimum(ratios, LIMIT)
+        total = np.concatenate([[0], np.cumsum(limited)])
         out[:, 1] = (total[ws.first[1:]] - total[ws.first[:-1]]) / np.maximum(counts, 1)
         doc = np.repeat(np.arange(n), counts)
         place = np.arange(len(ratios))
@@ -169,7 +168,17 @@ class Model:
             begin = np.maximum(end - size, ws.first[:-1][doc])
             sums = (total[end] - total[begin]) / size
             out[some, 2 + j] = np.maximum.reduceat(sums, ws.first[:-1][some])
-        out[some, -1] = np.maximum.reduceat(ratios, ws.first[:-1][some])
+        at = 2 + len(WINDOWS)
+        out[some, at] = np.maximum(np.maximum.reduceat(ratios, ws.first[:-1][some]), 0)
+        # words that speak for toxic, the strongest of each text first
+        bad = np.flatnonzero(ratios > 0)
+        bad = bad[np.lexsort((-ratios[bad], doc[bad]))]
+        rank = np.arange(len(bad)) - np.searchsorted(doc[bad], doc[bad])
+        for j, k in enumerate(STRONGEST):
+            best = bad[rank < k]
+            out[:, at + 1 + j] = np.bincount(doc[best], limited[best], n) / k
+        clear = np.bincount(doc, ratios > CLEAR, n)
+        out[:, -2], out[:, -1] = np.log1p(clear), clear / np.sqrt(np.maximum(counts, 1))
         return out
 
     def score(self, ws: tokens.Words) -> np.ndarray:
@@ -189,63 +198,96 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the ordinary and the toxic texts of each fold have each gram."""
     for batch in batches:
-        toxic = batch.column("toxic").to_numpy()
+        part = 2 * batch.column("fold").to_numpy() + batch.column("toxic").to_numpy()
         for lo, hi, data, offsets in tokens.text_slices(batch.column("text")):
             ws = tokens.words_of(data, offsets)
             if not len(ws.starts):
                 continue
             at, back = distinct_words(ws)
-            bad = np.repeat(toxic[lo:hi] == 1, np.diff(ws.first))
-            n_bad, n_all = np.bincount(back, bad, len(at)), np.bincount(back, minlength=len(at))
+            of_word = np.bincount(back * 2 * FOLDS + np.repeat(part[lo:hi], np.diff(ws.first)), minlength=len(at) * 2 * FOLDS).reshape(len(at), 2 * FOLDS)
             gram, word, _ = grams_of(ws, at)
-            keys, t, p = _grouped(gram, n_bad[word], (n_all - n_bad)[word])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(t.astype(np.int64)), pa.array(p.astype(np.int64))], ["gram", "toxic", "plain"])
-
-
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 20_000, scratch: Scratch | None = None) -> Model:
-    """A model from about ``max_docs`` labelled texts at most, a documented bound.
-
-    Where more are labelled, those with the smallest hashes of doc_id are
-    taken: each row is chosen by its id alone. Three quarters give the counts,
-    the rest the calibration. What comes to the driver, the distinct grams
-    and a few numbers per calibration text, is bounded by ``max_docs``.
-    Labels that are null, and ids that are null or repeated among the labels
-    with both values, are not used. Without texts of both classes for the
-    calibration every text scores the share of toxic labels.
+            keys, *sums = _grouped(gram, *(of_word[word, j] for j in range(2 * FOLDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in sums]], ["gram", *_PARTS])
+
+
+_PARTS = [f"{kind}{fold}" for fold in range(FOLDS) for kind in ("plain", "toxic")]
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    max_docs: int = 20_000,
+    max_bytes: int = 32 << 20,
+    scratch: Scratch | None = None,
+) -> Model:
+    """A model from a sample of the labelled texts: about ``max_docs`` of them and ``max_bytes`` in all at most.
+
+    Both bounds are documented ones of the sample that the classifier is
+    fitted on. Where more is labelled, the ids with the smallest hashes are
+    taken, and of their texts those with the smallest hashes of text, so that
+    an id with very many texts cannot exceed them; texts over a sixteenth of
+    ``max_bytes`` are not learned from. What comes to the driver, distinct
+    grams of at most seven bytes (not more than the sample has bytes and ends
+    of words) and a few numbers per text, is bounded by these. Each of FOLDS
+    parts is calibrated on counts of the others; the model's counts are those
+    of all. Labels that are null, and ids that are null or repeated among the
+    labels with both values, are not used. Without texts of both classes every
+    text scores the share of toxic labels.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "toxicity")
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "toxicity")
     marks = labels.select(F.col(f"`{doc_id}`").alias("l_id"), F.col(f"`{label}`").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND l_id IS NOT NULL").groupBy("l_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     n = marks.count()
     spot = F.pmod(F.xxhash64("l_id"), F.lit(1 << 20))
-    chosen = marks.filter(spot < (1 << 20) * min(1.0, max_docs / max(n, 1))).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "l_id"), F.lit(4)))
+    chosen = marks.filter(spot < (1 << 20) * min(1.0, max_docs / max(n, 1))).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "l_id"), F.lit(FOLDS)))
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    # chosen has about max_docs rows at most, so it is broadcast; the texts are read once and kept, in a table of bounded size
-    rows = own.join(F.broadcast(chosen), own.doc_id == chosen.l_id).select("text", "toxic", "fold")
-    rows = scratch.keep(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism))
-    counted = rows.filter("fold > 0").select("text", "toxic").mapInArrow(_count, "gram long, toxic long, plain long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).toArrow()
+    # chosen has about max_docs rows at most, so it is broadcast; the texts are read once and kept as a table
+    rows = own.join(F.broadcast(chosen), own.doc_id == chosen.l_id).select("text", "toxic", "fold").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 16)
+    rows = scratch.keep(rows.repartition(spark.sparkContext.defaultParallelism))
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).head()
+    share = min(1.0, max_bytes / max(size, 1), max_docs / max(n_rows, 1))
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("text"), "text"), F.lit(1 << 20)) < int((1 << 20) * share))
+    counted = rows.mapInArrow(_count, "gram long, " + ", ".join(f"{p} long" for p in _PARTS)).groupBy("gram").agg(*[F.sum(p).cast("int").alias(p) for p in _PARTS]).toArrow()
     grams = counted.column("gram").to_numpy().view(_U)
     order = np.argsort(grams)
-    model = Model.fit(grams[order], counted.column("toxic").to_numpy()[order].astype(float), counted.column("plain").to_numpy()[order].astype(float))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    grams, parts = grams[order], [counted.column(p).to_numpy()[order] for p in _PARTS]
+    del counted, order
+
+    def fitted(folds: list[int]) -> Model:
+        plain, toxic = (sum(parts[2 * f + j] for f in folds) if folds else np.zeros(len(grams), np.int32) for j in (0, 1))
+        some = np.flatnonzero(plain + toxic)
+        return Model.fit(grams[some], toxic[some].astype(float), plain[some].astype(float))
+
+    found = [_calibration(rows.filter(F.col("fold") == f), fitted([g for g in range(FOLDS) if g != f])) for f in range(FOLDS)]
+    x, y = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+    model = fitted(list(range(FOLDS)))
+    if 0 < y.sum() < len(y):
+        order = np.lexsort((y, *x.T))
+        model.weights = calibrate(x[order], y[order])
+    else:
+        share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.001
+        model.weights = np.array([np.log(share / (1 - share)), *[0.0] * (WIDTH - 1)])
+    return model
+
+
+def _calibration(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Features under the model, and the label, of each row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tokens.text_slices(batch.column("text")):
                 x = shared.value.features(tokens.words_of(data, offsets))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), *[pa.array(x[:, j].copy()) for j in range(x.shape[1])]], ["toxic", *[f"x{j}" for j in range(x.shape[1])]])
-
-    width = 3 + len(WINDOWS)
-    held = rows.filter("fold = 0").select("text", "toxic").mapInArrow(features, "toxic int, " + ", ".join(f"x{j} double" for j in range(width))).toArrow()
-    y = held.column("toxic").to_numpy().astype(float)
-    x = np.stack([held.column(f"x{j}").to_numpy() for j in range(width)], axis=1) if len(y) else np.zeros((0, width))
-    order = np.lexsort(x.T) if len(y) else np.zeros(0, int)
-    if len(y) and 0 < y.sum() < len(y):
-        model.weights = calibrate(x[order], y[order])
-    else:
-        share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.001
-        model.weights = np.array([np.log(share / (1 - share)), *[0.0] * (width - 1)])
-    return model
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), *[pa.array(x[:, j].copy()) for j in range(WIDTH)]], ["toxic", *[f"x{j}" for j in range(WIDTH)]])
+
+    got = rows.select("text", "toxic").mapInArrow(features, "toxic int, " + ", ".join(f"x{j} double" for j in range(WIDTH))).toArrow()
+    return np.stack([got.column(f"x{j}").to_numpy() for j in range(WIDTH)], axis=1).reshape(-1, WIDTH), got.column("toxic").to_numpy().astype(float)
 
 
 def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

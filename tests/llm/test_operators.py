@@ -672,6 +672,38 @@ def test_toxicity_held_out(spark):
     assert {round(x.score, 6) for x in toxicity.score_toxicity(df, none).collect()} == {0.001}
 
 
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    """An id with very many and long texts: the model's grams stay within the bytes of the sample, all rows are scored."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    rows = [(1, " ".join(word() for _ in range(60))) for _ in range(300)] + [(2, " ".join(word() for _ in range(60))) for _ in range(300)] + [(1, " ".join(word() for _ in range(9000))), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, max_bytes=40_000)
+    assert 1000 < len(model.grams) < 60_000
+    scores = [x.score for x in toxicity.score_toxicity(df, model).collect()]
+    assert len(scores) == len(rows) and all(0 <= x <= 1 for x in scores)
+
+
+def test_toxicity_many_words_of_one_stem(spark):
+    """Each toxic word is rare and none is in a training text of the same document: their number and stem give them away."""
+    rng = np.random.default_rng(6)
+    part = lambda: "".join(rng.choice(["ka", "lo", "mi", "ser", "tun", "vel"], rng.integers(2, 5)))
+    rows = []
+    for i in range(600):
+        words = [part() for _ in range(80)]
+        stems = 12 if i % 8 == 0 else 1 if i % 3 == 0 else 0
+        for at in rng.integers(0, 80, stems):
+            words[at] = "milose" + part()
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(4)
+    model = toxicity.train(df, spark.createDataFrame([(i, y) for i, _, y in rows if i % 5], "doc_id long, toxic int"))
+    got = {x.doc_id: x.score >= 0.3 for x in toxicity.score_toxicity(df, model).collect()}
+    held = [(got[i], bool(y)) for i, _, y in rows if i % 5 == 0]
+    assert sum(g and y for g, y in held) >= 0.9 * sum(y for _, y in held)
+    assert sum(g and not y for g, y in held) <= 0.05 * len(held)
+
+
 def kneser_ney_brute(grams, d=toxicity.DISCOUNT, order=toxicity.ORDER):
     """p(class, context, byte) from {gram: (toxic, plain)}, grams being tuples of bytes, by recursion on dictionaries."""
     counts = {order: Counter(), **{n: Counter() for n in range(1, order)}}
