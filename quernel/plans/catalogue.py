@@ -59,12 +59,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(where)
 
 
+#: A table of more rows is not broadcast, whatever a hint asks for: hashed, these are some 100 MB on the driver.
+BROADCAST_ROWS = 1_000_000
+
+
 def sql(name: str, spark_sql: str, duck_sql: str | None = None, oracle: bool = True) -> None:
-    """Register a SQL query. Tables stand in braces; the same text serves both engines unless ``duck_sql`` is given."""
+    """Register a SQL query. Tables stand in braces; the same text serves both engines unless ``duck_sql`` is given.
+
+    A hint to broadcast a table holds up to ``BROADCAST_ROWS``; beyond, the
+    planner chooses the join.
+    """
     names = sorted(set(re.findall(r"\{([a-z]\w*)\}", spark_sql)))
+    hint = r"/\*\+ broadcast\((\w+)\) \*/ "
+    aliases = re.findall(hint, spark_sql)
+    sent = [n for a in aliases for n in names if f"{{{n}}} {a} " in spark_sql]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(spark_sql, **{n: table(spark, sf_dir, n) for n in names})
+        tables = {n: table(spark, sf_dir, n) for n in names}
+        fits = all(tables[n].count() <= BROADCAST_ROWS for n in sent)
+        return spark.sql(spark_sql if fits else re.sub(hint, "", spark_sql), **tables)
 
     _QUERIES[name] = (run, re.sub(r"\{([a-z]\w*)\}", r"\1", duck_sql or spark_sql) if oracle else None)
 

@@ -56,3 +56,19 @@ def test_query(spark, duck, name):
     other = duck.sql(sql)
     assert sorted(df.columns) == sorted(other.columns)
     assert mine == rows_of(other.columns, other.fetchall())
+
+
+def test_a_broadcast_is_bounded(spark, monkeypatch):
+    """A hinted table of more rows than the bound is joined by a shuffle, with the same rows."""
+    query = catalogue.queries()["join_broadcast"]
+    small = query(spark, DATA)
+    monkeypatch.setattr(catalogue, "BROADCAST_ROWS", 100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # the test's table is small enough for the planner, too
+    try:
+        large = query(spark, DATA)
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (small, large)]
+        assert "BroadcastHashJoin" in plans[0] and "Broadcast" not in plans[1]
+        assert rows_of(small.columns, small.collect()) == rows_of(large.columns, large.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
