@@ -72,17 +72,24 @@ def simplify(points: DataFrame, tolerance: float, key: str = "track_id", block:
     return points.withColumns(cols | ends).filter(keep).select(*points.columns)
 
 
-def simplify_iterative(points: DataFrame, tolerance: float, key: str = "track_id", segment: str | None = None, block: int | None = None) -> DataFrame:
+def simplify_iterative(points: DataFrame, tolerance: float, key: str = "track_id", segment: str | None = None, block: int | None = None, whole: int = 0) -> DataFrame:
     """Visvalingam-Whyatt: remove the point of the smallest triangle, re-evaluate its neighbours, until all exceed ``tolerance``.
 
     Removal depends on what was removed before, so a track is worked on as
     one unit, in a grouped function. With ``block``, a number of
     seconds, it is worked on by many tasks, with the same result (see
-    ``simplification``). ``segment`` names a column that splits tracks
-    otherwise; each segment keeps its ends.
+    ``simplification``); tracks of up to ``whole`` points are one unit all
+    the same, since cutting many short ones costs more than their points.
+    ``segment`` names a column that splits tracks otherwise; each segment
+    keeps its ends.
     """
     if block is not None:
-        return simplification.simplify_in_blocks(points, tolerance, key, block)
+        if not whole:
+            return simplification.simplify_in_blocks(points, tolerance, key, block)
+        long = points.groupBy(F.col(f"`{key}`").alias("__long")).count().filter(F.col("count") > whole).select("__long")
+        hot = F.col(f"`{key}`").eqNullSafe(F.col("__long"))
+        cut = simplification.simplify_in_blocks(points.join(long, hot, "left_semi"), tolerance, key, block)
+        return simplify_iterative(points.join(long, hot, "left_anti"), tolerance, key).unionByName(cut)
 
     def run(track: pa.Table) -> pa.Table:
         track = track.take(pc.sort_indices(track, [("ts", "ascending"), ("point_id", "ascending")], null_placement="at_start"))

@@ -76,3 +76,17 @@ def test_the_hot_query_against_the_heap(spark):
     sf = "/root/testdata/sf0.001"
     plain = tracks.simplify_iterative(catalogue._hot(catalogue._points(spark, sf)), 50.0).select("track_id", "point_id")
     assert same(catalogue.queries()["hot_track_simplify_iterative"](spark, sf).toDF("track_id", "point_id"), plain)
+
+
+def test_short_tracks_are_one_unit(spark, monkeypatch):
+    """With ``whole`` only long tracks are cut, and all come out as by the sequential rule."""
+    df = spark.createDataFrame(tracks_of(7), SCHEMA).filter("ts IS NOT NULL").repartition(4)
+    cut = []
+    blocks = simplification.simplify_in_blocks
+    monkeypatch.setattr(simplification, "simplify_in_blocks", lambda d, *a: cut.extend(r.track_id for r in d.select("track_id").distinct().collect()) or blocks(d, *a))
+    sizes = {r.track_id: r["count"] for r in df.groupBy("track_id").count().collect()}
+    whole = sorted(sizes.values())[-2]
+    assert same(tracks.simplify_iterative(df, 1.0, block=900, whole=whole), tracks.simplify_iterative(df, 1.0))
+    assert cut == [0] and sizes[0] > whole and len(sizes) > 4
+    whole = sizes[None] - 1  # a track without a key may be long, too
+    assert same(tracks.simplify_iterative(df, 1.0, block=900, whole=whole), tracks.simplify_iterative(df, 1.0)) and None in cut
