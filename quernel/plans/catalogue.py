@@ -202,13 +202,13 @@ _REGION_EDGES = " UNION ALL ".join(
 )
 def region_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in regions of two parts, one with a hole, that each customer draws; regions go through well-known binary."""
-    c = table(spark, sf_dir, "customer")
+    # a small file, but each of its rows draws a shape
+    c = table(spark, sf_dir, "customer").select("c_custkey").repartition(2 * spark.sparkContext.defaultParallelism)
     mx, my, r = (473352 + F.col("c_custkey") * 37 % 720).cast("double"), (F.col("c_custkey") * 17 % 300).cast("double"), (4 + F.col("c_custkey") % 29).cast("double")
     place = lambda p: F.struct((mx + p[0] * r).alias("x"), (my + p[1] * r).alias("y"))
     shape = F.array(*[F.array(*[F.array(*[place(p) for p in [*ring, ring[0]]]) for ring in part]) for part in _PARTS])
     drawn = c.select("c_custkey", wkb.multipolygon(shape).alias("shape"))
-    found = regions.points_in_regions(_points(spark, sf_dir), drawn, "c_custkey", "shape", 2, 2, depth=3, name="c_custkey")
-    return found.groupBy("c_custkey").agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("n_tracks"), F.sum("point_id").alias("ids"))
+    return regions.summarise(_points(spark, sf_dir), drawn, "c_custkey", "shape", 2, 2, name="c_custkey")
 
 
 @query(

@@ -114,3 +114,26 @@ def test_plan_and_edges_kept(spark):
     assert not any(x in plan for x in ("NestedLoop", "Cartesian", "Python", "Arrow")) and found.count() > 0
     cells = regions.cover(g, "id", "shape", 1, 1, depth=5)
     assert cells.filter("inner AND edges IS NOT NULL").count() == 0 and cells.agg(F.avg(F.size("edges"))).head()[0] < 200
+
+
+@pytest.mark.parametrize("most", [(10**6, 10**6), (40, 3)])
+def test_summaries_without_pairs(spark, monkeypatch, most):
+    """Per region what grouping the pairs gives, however tiles are dealt; no join makes a row for each pair."""
+    monkeypatch.setattr(regions, "TILE_POINTS", most[0])
+    monkeypatch.setattr(regions, "TILE_SHAPES", most[1])
+    r = random.Random(8)
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    shapes = [(i, [star(r, r.uniform(-60, 60), r.uniform(-60, 60), r.choice([0.1, 3, 20, 90]), r.randint(3, 40))]) for i in range(25)]
+    shapes += [(100, [box(0.0, 0.0, 8.0), box(2.0, 2.0, 4.0)]), (101, [box(0.0, 0.0, 8.0), box(2.0, 2.0, 4.0)]), (102, [box(-16.0, -16.0, 2.0), box(32.0, 32.0, 1.0)]), (103, [box(500.0, 0.0, 4.0)]), (104, [box(-64.0, -64.0, 128.0)])]
+    points = [(i, r.uniform(-100, 100), r.uniform(-100, 100), r.choice([None, *range(9)])) for i in range(500)]
+    points += [(1000 + i, float(r.randint(-2, 9) * 2), float(r.randint(-2, 9)), i % 4) for i in range(200)] + [(2000, None, 1.0, 1), (2001, math.nan, 1.0, 1), (2002, math.inf, 1.0, 1), (2003, 1.0, None, 1)]
+    p = spark.createDataFrame(points, "point_id long, x double, y double, track_id long").repartition(4)
+    rows = [(i, bytearray(multi([polygon([x]) for x in parts]) if i == 102 else polygon(parts))) for i, parts in shapes] + [(200, None), (201, bytearray(b"junk")), (202, bytearray(polygon([[(0, 0), (math.nan, 1), (1, 1)]])))]
+    g = spark.createDataFrame(rows, "id int, shape binary")
+    track, want = {i: t for i, _, _, t in points}, {}
+    for i, region in brute([x[:3] for x in points], shapes):
+        want.setdefault(region, []).append(i)
+    want = sorted((k, len(v), len({track[i] for i in v} - {None}), sum(v)) for k, v in want.items())
+    found = regions.summarise(p, g, "id", "shape", 1, 1, name="k")
+    assert found.columns == ["k", "n", "n_tracks", "ids"] and sorted(map(tuple, found.collect())) == want
+    assert regions.summarise(p, g.limit(0), "id", "shape", 1, 1).count() == regions.summarise(p.limit(0), g, "id", "shape", 1, 1).count() == 0
