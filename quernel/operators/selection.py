@@ -155,6 +155,20 @@ def quantiles(df: DataFrame, column: str, fractions: list[float], sort_rows: int
     return out
 
 
+def group_quantiles(df: DataFrame, group: str, column: str, fractions: list[float], sort_rows: int = SORT_ROWS) -> DataFrame:
+    """One row per group: ``group`` and ``q``, the exact quantiles of the column within it, null where it has no values.
+
+    ``percentile`` by group gathers a group's different values in one task.
+    Here each group is read alone, in the rounds of ``quantiles``, which run
+    when this is called: for columns of few groups.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    key = F.col(f"`{group}`")
+    groups = [r[0] for r in df.select(key).distinct().collect()]
+    held = [(g, quantiles(df.filter(key.eqNullSafe(F.lit(g).cast(kind))), column, fractions, sort_rows)) for g in groups]
+    return df.sparkSession.createDataFrame(held, f"`{group}` {kind}, q array<double>")
+
+
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n): the number of different values that are not null, of each column.
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from quernel.functions import udfs, wkb
 from quernel.functions.geo import haversine
 from quernel.functions.vectors import cosine
-from quernel.operators import joins, neighbours, pyramid, regions, tracks
+from quernel.operators import joins, neighbours, pyramid, regions, selection, tracks
 from quernel.operators.reports import Rule, quality_report, validate
 from quernel.sources import database, imports, raw, segments
 from quernel.sources.shared import shared_place
@@ -259,6 +259,22 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "lineitem"), "d", "lineitem", columns, tuple(_QUANTILES.values()), sort_rows=1000)
 
 
+@query("percentiles", "SELECT event_type, round(median(value), 6) AS med, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.group_quantiles(table(spark, sf_dir, "events"), "event_type", "value", [0.5, 0.9])
+    return found.select("event_type", F.round(F.col("q")[0], 6).alias("med"), F.round(F.col("q")[1], 6).alias("p90"))
+
+
+@query("approx_percentile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS exact, true AS near FROM lineitem GROUP BY l_returnflag")
+def approx_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact median of each flag's prices by histogram rounds, and whether the sketch is within a hundredth of its rank."""
+    l = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    exact = selection.group_quantiles(l, "l_returnflag", "l_extendedprice", [0.49, 0.5, 0.51]).withColumnRenamed("l_returnflag", "__flag")
+    sketch = l.groupBy("l_returnflag").agg(F.approx_percentile("l_extendedprice", F.lit(0.5)).alias("about"))
+    both = sketch.join(exact, F.col("l_returnflag").eqNullSafe(F.col("__flag")))
+    return both.select("l_returnflag", F.round(F.col("q")[1], 4).alias("exact"), F.col("about").between(F.col("q")[0], F.col("q")[2]).alias("near"))
+
+
 @query(
     "asof_join",
     """

@@ -71,3 +71,23 @@ def test_no_task_holds_a_column(spark):
     assert "hashpartitioning(v" in plan
     single = plan.split("Exchange SinglePartition")[1].split("\n")[1]
     assert "partial_count(1)" in single  # what meets in one task is one count of each partition
+
+
+def test_quantiles_by_group(spark):
+    """What ``percentile`` gives by group; no plan of it gathers a group's values."""
+    df = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("g"), F.col("id") % 3)).alias("g h"), F.when(F.col("id") % 11 > 0, F.exp(F.col("id") * 7919 % 5003 / 100)).alias("v"))
+    df = df.union(spark.sql("SELECT 'none', CAST(NULL AS DOUBLE)"))
+    got = selection.group_quantiles(df, "g h", "v", [0.1, 0.5, 0.99], sort_rows=20)
+    want = df.groupBy("g h").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.99))).alias("q"))
+    rows = lambda d: {r[0]: r[1] or [None] * 3 for r in d.collect()}
+    mine, other = rows(got), rows(want)
+    assert mine.keys() == other.keys() == {"g0", "g1", "g2", None, "none"}
+    assert all(mine[k] == (pytest.approx(other[k], rel=1e-12) if k != "none" else [None] * 3) for k in mine)
+
+
+def test_percentile_queries_gather_no_values(spark):
+    from quernel.plans import catalogue
+
+    for name in ("percentiles", "approx_percentile"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(f"{f}(" in plan.replace("percentile_approx", "").replace("approx_percentile", "") for f in ("percentile", "median"))
