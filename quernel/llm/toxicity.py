@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from quernel.llm import tokens
 from quernel.llm.scratch import Scratch
-from quernel.llm.text import boxed, unboxed
 
 #: Bytes of a gram: seven and its length fill a 64-bit integer.
 ORDER = 7
@@ -277,7 +276,7 @@ def train(
 
 
 def _calibration(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Features under the model, and the label, of each row."""
+    """Features under the model, and the label, of each row; the model goes from the executors when they are here."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +286,7 @@ def _calibration(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), *[pa.array(x[:, j].copy()) for j in range(WIDTH)]], ["toxic", *[f"x{j}" for j in range(WIDTH)]])
 
     got = rows.select("text", "toxic").mapInArrow(features, "toxic int, " + ", ".join(f"x{j} double" for j in range(WIDTH))).toArrow()
+    shared.destroy()
     return np.stack([got.column(f"x{j}").to_numpy() for j in range(WIDTH)], axis=1).reshape(-1, WIDTH), got.column("toxic").to_numpy().astype(float)
 
 
@@ -314,15 +314,14 @@ def keep_clean(docs: DataFrame, model: Model, below: float, text: str = "text")
     """The rows whose texts score less than ``below``, with all their columns.
 
     Rows are scored and kept one by one, in place: nothing is shuffled or
-    joined. Null and empty texts, null and repeated ids are rows like others.
+    joined, and only texts go to Python, from which a score comes back. Null
+    and empty texts, null and repeated ids are rows like others.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in tokens.text_slices(batch.column("text")):
-                clean = shared.value.score(tokens.words_of(data, offsets)) < below
-                yield batch.slice(lo, hi - lo).select(["row"]).filter(pa.array(clean))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.score(tokens.words_of(data, offsets)) for _, _, data, offsets in tokens.text_slices(texts, 1 << 20)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    rows = boxed(docs, text=text)
-    return unboxed(rows.mapInArrow(run, rows.select("row").schema), docs.columns)
+    return docs.filter(score(F.col(f"`{text}`")) < below)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -685,6 +686,24 @@ def test_toxicity_sample_is_bounded_in_bytes(spark):
     assert len(scores) == len(rows) and all(0 <= x <= 1 for x in scores)
 
 
+def test_toxicity_keeps_rows_in_place(spark):
+    """Only texts go to Python, and the models of the calibration do not stay: the memory and disk of executors follow neither other columns nor the folds."""
+    rows = [(i % 40 if i % 7 else None, None if i % 11 == 0 else f"{'vile scum' if i % 5 == 0 else 'fine day'} number {i} " * (1 + i % 3), "x" * i) for i in range(200)] + [(9, "", "y"), (9, "vile scum " * 200_000, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, `the text` string, other string").repartition(3)
+    folder = spark.sparkContext._temp_dir
+    before = set(os.listdir(folder))
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, toxic int"), text="the text")
+    assert set(os.listdir(folder)) == before
+    kept = toxicity.keep_clean(df, model, 0.3, text="the text")
+    assert kept.columns == df.columns
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [score(the text#" in plan and "MapInArrow" not in plan
+    whole = F.xxhash64("doc_id", "the text", "other")  # no row equals another
+    scored = toxicity.score_toxicity(df.select(whole.alias("doc_id"), "the text"), model, text="the text")
+    want = sorted(x.doc_id for x in scored.filter("score < 0.3").collect())
+    assert sorted(x.row for x in kept.select(whole.alias("row")).collect()) == want and 0 < len(want) < len(rows)
+
+
 def test_toxicity_many_words_of_one_stem(spark):
     """Each toxic word is rare and none is in a training text of the same document: their number and stem give them away."""
     rng = np.random.default_rng(6)
