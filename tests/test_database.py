@@ -1,9 +1,15 @@
 """Reads in ranges and repeated writes, with the embedded database that Spark comes with."""
 
+import tempfile
+from pathlib import Path
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
+from quernel.plans import catalogue
 from quernel.sources import database
+from quernel.sources.shared import shared_place
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +71,32 @@ def test_ranges_are_even_and_whole(spark, url):
     assert len(sizes) == 6 and max(sizes) < 3 * min(sizes)
     assert found.count() == df.count() + 2 and found.filter("k IS NULL").count() == 2 and found.distinct().count() == found.count()
     assert found.filter("k < 0").count() == 50
+
+
+@pytest.mark.parametrize("prefix", ["file://", "file:", ""])
+def test_orders_below_a_folder_named_in_any_form(spark, tmp_path, monkeypatch, prefix):
+    monkeypatch.setattr(catalogue, "shared_place", lambda _, name: f"{prefix}{tmp_path}/with space/{name}")
+    found = catalogue.database_orders(spark, "/root/testdata/sf0.001")
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_totalprice > 100")
+    want = o.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", F.expr("if(o_orderkey % 3 = 0, NULL, o_orderpriority)").alias("o_orderpriority"))
+    assert found.count() == want.count() > 0
+    assert found.exceptAll(want).count() == 0
+    assert (tmp_path / "with space" / "database" / "service.properties").exists()
+
+
+def test_embedded_database_is_refused_where_tasks_run_elsewhere(spark):
+    for master in ("local-cluster[3,2,3000]", "spark://host:7077", "yarn", "k8s://host"):
+        with pytest.raises(ValueError, match="driver's process"):
+            database.embedded_url(SimpleNamespace(sparkContext=SimpleNamespace(master=master)), "/tmp/x")
+    with pytest.raises(ValueError, match="local folder"):
+        database.embedded_url(spark, "hdfs://host/x")
+
+
+def test_orders_where_no_shared_folder_is_set(spark, tmp_path, monkeypatch):
+    get = spark.conf.get
+    monkeypatch.setattr(spark.conf, "get", lambda key, *default: None if key == "spark.checkpoint.dir" else get(key, *default))
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    places = [Path(shared_place(spark, "x").removeprefix("file:")) for _ in range(2)]
+    assert places[0] != places[1] and places[0].parent == places[1].parent and tmp_path in places[0].parents
+    n = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_totalprice > 100").count()
+    assert catalogue.database_orders(spark, "/root/testdata/sf0.001").count() == n > 0
