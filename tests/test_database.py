@@ -1,6 +1,7 @@
 """Reads in ranges and repeated writes, with the embedded database that Spark comes with."""
 
 import tempfile
+import time
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -43,6 +44,18 @@ def test_merge_is_idempotent(spark, url):
     assert rows(spark, url, "one") == want
 
 
+def test_merge_grows_with_the_rows(spark, url):
+    # so many that the database no longer hashes the staged keys: without an index it compared all pairs, for minutes
+    fresh(spark, url, "large")
+    df = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") / 4).alias("v"), F.lit("a row of some length").alias("s"))
+    database.merge_table(df.filter("k % 2 = 0").withColumn("v", F.lit(-1.0)), url, "large", ["k"], "g")
+    begun = time.monotonic()
+    database.merge_table(df, url, "large", ["k"], "g")
+    assert time.monotonic() - begun < 45
+    assert database.read_table(spark, url, "large", "k").exceptAll(df).count() == 0
+    assert database.read_table(spark, url, "large", "k").count() == 60_000
+
+
 def test_bad_rows_change_nothing(spark, url):
     fresh(spark, url, "two")
     first = spark.sql("SELECT 1L AS k, 1D AS v, 'a' AS s")
