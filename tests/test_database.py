@@ -45,7 +45,7 @@ def test_merge_is_idempotent(spark, url):
 
 
 def test_merge_grows_with_the_rows(spark, url):
-    # so many that the database no longer hashes the staged keys: without an index it compared all pairs, for minutes
+    # without an index on the staged keys this did not end in over a minute, while 30,000 rows took seconds
     fresh(spark, url, "large")
     df = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") / 4).alias("v"), F.lit("a row of some length").alias("s"))
     database.merge_table(df.filter("k % 2 = 0").withColumn("v", F.lit(-1.0)), url, "large", ["k"], "g")
