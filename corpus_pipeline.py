@@ -51,10 +51,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an empty text. Null ids stay, rows that share an id
     go or stay together, other columns are carried along.
     """
-    now = docs.select(F.col("doc_id").alias("now_id"), F.xxhash64("text").alias("now_hash"))
-    whole = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    whole = whole.join(now, (whole.doc_id == now.now_id) & (F.xxhash64("text") != now.now_hash), "left_semi")
-    return neardup.keep_one(docs, k=5, per_cent=80, further=whole)
+    return neardup.keep_one(docs, k=5, per_cent=80, further=_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

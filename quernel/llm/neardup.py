@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ MINIMA = 128
 BITS = 2
 #: Members that are compared with one copy of their centre.
 BLOCK = 512
+#: Bands are exchanged in so many rounds, so that a part of the keys is on disk at a time.
+ROUNDS = 2
 _U = np.uint64
 _SEEDS = np.random.default_rng(77)
 _A = _SEEDS.integers(0, 2**63, MINIMA, dtype=_U) * _U(2) + _U(1)
@@ -150,7 +153,7 @@ def similarity(x: str, y: str) -> Column:
     return (1.0 - differ / float(MINIMA) - chance) / (1.0 - chance)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, scratch: Scratch | None = None, further: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * |intersection| >= per_cent * |union| of
@@ -164,9 +167,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     their texts. Ids may be of any type that has an order. Very long texts
     are read whole, one at a time. Other columns are ignored. An empty table
     gives an empty result.
+
+    ``further`` holds other texts of the same documents, (doc_id, text): a
+    document has the links of all its texts, and a row for each of these as
+    well. Rows whose doc_id ``docs`` has not, or has with this text alone,
+    are passed over.
+
+    The result is a written table; tables on the way to it go as soon as
+    nothing reads them any more.
     """
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "near-dup")
+    result, scratch = scratch or Scratch(spark, "near-dup"), Scratch(spark, "near-dup")
     threshold = per_cent / 100
     rows = band_rows(threshold)
     # A pair at the threshold falls below this estimate with odds under 1e-9: 6.1 standard deviations.
@@ -174,18 +185,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = threshold - 6.1 * math.sqrt(agree * (1 - agree) / MINIMA) / (1 - 2.0**-BITS)
     up, down = 100 + per_cent, 100 - per_cent
 
-    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    sketch = scratch.keep(own.mapInArrow(_sketch(k, rows), f"doc_id {kind}, version long, n long, s1 long, s2 long, bands array<long>, planes array<long>"))
+    def versions(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+        return df.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+
+    def sketched(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(_sketch(k, rows), f"doc_id {kind}, version long, n long, s1 long, s2 long, bands array<long>, planes array<long>")
+
+    sources = [versions(docs, F.col(f"`{doc_id}`"), F.col(f"`{text}`"))]
+    kind = sources[0].schema["doc_id"].dataType.simpleString()
+    sketch = sketched(sources[0])
+    if further is not None:
+        sources.append(versions(further, F.col("doc_id").cast(kind), F.col("text")))
+        # Sketches are exchanged, not texts, which are several times as large.
+        now, old = sources[0].select(F.col("doc_id").alias("now_id"), F.col("version").alias("now")), sketched(sources[1])
+        sketch = sketch.unionByName(old.join(now, (old.doc_id == now.now_id) & (old.version != now.now), "left_semi"))
+    sketch = scratch.keep(sketch)
     live = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     first_row = F.min(F.struct("doc_id", "version"))
     # A doc_id may stand for several classes, if its rows have several texts; (rep, tag) is one of these.
     classes = live.groupBy("s1", "s2").agg(first_row.alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     classes = scratch.keep(classes.select("s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.version").alias("tag"), "n", "bands", "planes"))
+    full, sketch = sketch, scratch.keep(sketch.select("doc_id", "n", "s1", "s2"))
+    scratch.drop(full)
+    live = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     # Bands of two or more; the rows carry ids alone, as most bands have one member and go no further.
-    member = classes.select(F.explode("bands").alias("key"), "rep", "tag")
-    band = member.groupBy("key").agg(F.min("rep").alias("c_rep"), F.count("*").alias("size")).filter("size > 1")
-    member = scratch.keep(member.join(band, "key"))
+    members, step = [], -(-(MINIMA // rows) // ROUNDS)
+    for lo in range(1, MINIMA // rows + 1, step):
+        each = classes.select(F.explode(F.slice("bands", lo, step)).alias("key"), "rep", "tag")
+        band = each.groupBy("key").agg(F.min("rep").alias("c_rep"), F.count("*").alias("size")).filter("size > 1")
+        members.append(scratch.keep(each.join(band, "key")))
+    member = reduce(DataFrame.unionByName, members)
+    full, classes = classes, scratch.keep(classes.drop("bands"))
+    scratch.drop(full)
     of_a = classes.select(F.col("rep").alias("a"), F.col("tag").alias("a_tag"), "n", "planes").alias("x")
     of_b = classes.select(F.col("rep").alias("b"), F.col("tag").alias("b_tag"), "n", "planes").alias("y")
 
@@ -210,7 +241,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         wanted = scratch.keep(dealt.select("*", F.lit(1).alias("role"), F.col("b").alias("want"), F.col("b_tag").alias("w_tag")).unionByName(centres))
         full = wanted.join(texts, (wanted.want == texts.doc_id) & (wanted.w_tag == texts.version)).select("a", "a_tag", "b", "b_tag", "block", "role", "text")
         dense = full.repartition("a", "a_tag", "block").sortWithinPartitions("a", "a_tag", "block", "role")
-        return scratch.keep(dense.mapInArrow(_against(k, differences), f"a {kind}, a_tag long, b {kind}, b_tag long, a_n long, b_n long, both long, diff array<long>"))
+        out = scratch.keep(dense.mapInArrow(_against(k, differences), f"a {kind}, a_tag long, b {kind}, b_tag long, a_n long, b_n long, both long, diff array<long>"))
+        scratch.drop(wanted)
+        return out
 
     def links(found: DataFrame) -> DataFrame:
         return found.filter(100 * F.col("both") >= per_cent * (F.col("a_n") + F.col("b_n") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -221,14 +254,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = scratch.keep(candidates(stars))
     # The texts of all that either pass may compare are looked up once.
     ids = stars.select(F.col("a").alias("want"), F.col("a_tag").alias("w_tag")).union(stars.select("b", "b_tag")).union(member.filter("size > 2").select("rep", "tag")).distinct()
-    texts = scratch.keep(own.join(ids, (own.doc_id == ids.want) & (own.version == ids.w_tag), "left_semi").dropDuplicates(["doc_id", "version"]))
-    edges = links(compared(stars))
+    looked_up = []
+    for source in sources:
+        ids = scratch.keep(ids)
+        found = scratch.keep(source.join(ids, (source.doc_id == ids.want) & (source.version == ids.w_tag), "left_semi").dropDuplicates(["doc_id", "version"]))
+        looked_up.append(found)
+        ids = ids.join(found.select("doc_id", "version"), (ids.want == F.col("doc_id")) & (ids.w_tag == F.col("version")), "left_anti")
+    texts = reduce(DataFrame.unionByName, looked_up)
+    first = compared(stars)
+    edges = links(first)
     # Rows that share a doc_id join their classes.
     placed = live.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u"), F.count_distinct("rep").alias("n")).filter("n > 1").select("doc_id")
     shared = placed.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = scratch.keep(edges.union(shared.filter("u <> v")).distinct())
+    scratch.drop(first, stars)
     found = components(edges, scratch)
+    scratch.drop(edges)
 
     # Second pass: bands of three or more that hold several components.
     component = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
@@ -238,6 +280,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mates = placed.filter("rep <> c_rep").join(centre, "key")
     odd_keys = mates.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("comp") != F.col("main")).alias("odd")).filter("odd AND n > 1").select("key")
     mates = scratch.keep(mates.join(odd_keys, "key", "left_semi").select("a", "a_tag", F.col("rep").alias("b"), F.col("tag").alias("b_tag"), "comp", "main").distinct())
+    scratch.drop(*members)
     if not mates.isEmpty():
         more = scratch.keep(links(compared(_second_candidates(compared(mates.select("a", "a_tag", "b", "b_tag"), True), mates, candidates, up, down, scratch))))
         if not more.isEmpty():
@@ -247,7 +290,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = classes.join(found, classes.rep == found.node, "left").select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), F.coalesce("component", "rep").alias("component"))
     out = sketch.join(groups, (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = result.keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")))
+    scratch.clear()
+    return out
 
 
 def _second_candidates(against: DataFrame, mates: DataFrame, candidates: Callable[[DataFrame], DataFrame], up: int, down: int, scratch: Scratch) -> DataFrame:
@@ -260,11 +305,12 @@ def _second_candidates(against: DataFrame, mates: DataFrame, candidates: Callabl
     at least (S(x) + S(y)) / (2 * up) elements. Elements that only one
     member has are left out first; a member that then has too few left for
     its easiest partner is out, and of all others those elements count that
-    a partner cannot miss all of.
+    a partner cannot miss all of. ``against`` is removed once it is read.
     """
     group, me = ["a", "a_tag"], ["b", "b_tag"]
     rows = against.join(mates, [*group, *me]).select(*group, *me, "diff", "comp", (F.col("comp") != F.col("main")).alias("odd"), (F.size("diff") * F.lit(up) - F.col("b_n") * down).cast("long").alias("s"))
     rows = scratch.keep(rows)
+    scratch.drop(against)
     bounds = rows.groupBy(*group).agg(F.min("s").alias("s_all"), F.min(F.when(F.col("odd"), F.col("s"))).alias("s_odd"), F.min_by(F.struct(*me, "comp", "s"), F.struct("s", *me)).alias("near"))
     bounds = scratch.keep(bounds)
     # near the centre: all with the nearest one
@@ -300,18 +346,18 @@ def _second_candidates(against: DataFrame, mates: DataFrame, candidates: Callabl
 
     odd = entries.filter("odd")
     pairs = joined(odd.filter("tight"), odd.filter("tight"), True).union(joined(odd, entries.filter("NOT odd AND tight"), False)).distinct()
-    return scratch.keep(near.union(candidates(pairs)).distinct())
+    out = scratch.keep(near.union(candidates(pairs)).distinct())
+    scratch.drop(rows, bounds, entries)
+    return out
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, further: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The documents without the near-duplicates of a smaller doc_id; rows with a null doc_id stay.
 
-    ``further`` holds other texts of the same documents, (doc_id, text), as
-    they were before an earlier step cut them: a document has the links of
-    all its texts.
+    ``further`` holds texts of documents, (doc_id, text), as they were before
+    an earlier step cut or dropped them: a document has the links of all its
+    texts, those that ``docs`` does not have count for nothing.
     """
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    texts = texts if further is None else texts.unionByName(further.select("doc_id", "text"))
-    dropped = near_duplicates(texts, k=k, per_cent=per_cent, scratch=scratch).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = near_duplicates(docs, doc_id, text, k=k, per_cent=per_cent, scratch=scratch, further=further).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
     rows = boxed(docs, doc_id=doc_id)
     return unboxed(rows.join(dropped, rows.doc_id == dropped.dropped_id, "left_anti"), docs.columns)
